@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-PARTS = ("vectorsets", "splits", "scores", "classification", "quality", "relations", "text")
+PARTS = ("vectorsets", "splits", "scores", "classification", "quality", "relations", "text", "series", "models", "files", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.operators import curves, reduce, scoring, vectorsets
+from idmatch.session import durable
 
 
 @dataclass
@@ -48,7 +49,7 @@ def fit_gallery(train: DataFrame, calibration: DataFrame, pca_k: int = reduce.PC
     reduced = unit(reduce.project_vectors(scaled, pca, v), v)
     lda = reduce.lda_fit(reduced, lda_k, label, v)
     final = unit(reduce.project_vectors(reduced, lda, v), v)
-    templates = vectorsets.class_centroids(final, label, v)
+    templates = durable(vectorsets.class_centroids(final, label, v))
     fitted = FittedGallery(z, pca, lda, templates, templates, templates)
     probes = fitted.transform(calibration, v).select(
         F.col(key).cast("long").alias("probe_id"), F.col(label).cast("long").alias("label"), F.col(v).alias("v")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idmatch.sources.phrases import PHRASES
 
@@ -46,19 +47,25 @@ def read_table_jdbc(spark: SparkSession, url: str, name: str, key: str, bounds:
 
 
 def seed_phrases(spark: SparkSession, phrases: list[str] | None = None, limit: int = PHRASE_LIMIT) -> DataFrame:
-    """Initial phrase table: active, unused, with a limit of uses."""
-    rows = [(i, p, "activo", 0, limit) for i, p in enumerate(phrases or PHRASES, 1)]
-    return spark.createDataFrame(
-        rows, "id_texto long, frase string, estado_texto string, contador_usos int, limite_usos int"
+    """Initial phrase table from the stored list (or another one)."""
+    rows = list(enumerate(phrases or PHRASES, 1))
+    return phrase_rows(spark.createDataFrame(rows, "id_texto long, frase string"), limit)
+
+
+def phrase_rows(phrases: DataFrame, limit: int = PHRASE_LIMIT) -> DataFrame:
+    """Phrases (id_texto, frase) as new table rows: active, unused, with a limit of uses."""
+    return phrases.select(
+        "id_texto", "frase", F.lit("activo").alias("estado_texto"), F.lit(0).alias("contador_usos"),
+        F.lit(limit).alias("limite_usos"),
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _from_bytes(raw):
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f8"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _to_bytes(v):
     return v.map(lambda x: None if x is None else np.asarray(x, "<f8").tobytes())
 
