@@ -80,7 +80,7 @@ def window_frames_stream(spark, sf):
 
 @query(f"""WITH s AS (SELECT event_type AS series_id, ts, value AS x FROM events WHERE abs(value) >= 60.0), p AS (SELECT *, lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS b FROM s),
 g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS k FROM p)
-SELECT series_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n, {s6('max(abs(x))')} AS peak FROM g GROUP BY series_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT series_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n, {s6('max(abs(x))')} AS peak FROM g GROUP BY series_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM s) - INTERVAL 1 HOUR""")
 def segment_stream(spark, sf):
     out = scratch_path(spark, "sessions")
     sessions = jobs.activity_sessions(_samples(_stream(spark, sf, "events")), 60.0, "30 minutes", "1 hour")

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from idmatch.functions.draws import shuffle_bucket, shuffle_key
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
-MIN_BUCKETS = 8
+MAX_BUCKETS = 4096
 LABEL_RUN = 65_536
 
 BUCKET = "__bucket"
@@ -33,18 +32,22 @@ def running_offset(counts: DataFrame, by: Sequence[str], n: str) -> DataFrame:
     return counts.withColumn(OFFSET, before)
 
 
-def equi_depth(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def equi_depth(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``__bucket``: equal-depth ranges of a numeric column over the whole table.
 
     Ranges are cut at quantiles of all rows, so a group that holds a third of the rows spreads over
-    about a third of the buckets. Only the cut points (at most ``MAX_BUCKETS``) reach the driver.
+    about a third of the buckets. One aggregate finds the row count and the cut points; only those (at
+    most ``MAX_BUCKETS``) reach the driver. A small table is one bucket.
     """
-    if buckets is None:
-        rows = df.count()
-        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, shares, 10 * buckets).alias("cuts")).first()["cuts"] or []
-    cuts = sorted({float(c) for c in found})
+    shares = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))  # one parsed literal list
+    cuts = F.expr(f"percentile_approx(`{column}`, array({shares}), {10 * MAX_BUCKETS})")
+    found = df.agg(F.count("*").alias("n"), cuts.alias("cuts")).first()
+    buckets = min(MAX_BUCKETS, found["n"] // rows_per_bucket + 1)
+    grid = found["cuts"] or []
+    chosen = [grid[i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)] if grid else []
+    cuts = sorted({float(c) for c in chosen})
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0.0))
     splits = [-float("inf"), *cuts, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=BUCKET, handleInvalid="keep").transform(df)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
@@ -74,8 +75,7 @@ def near_pairs(train: DataFrame, test: DataFrame, dims: int, radius: float = NEA
     """
     a, b = _copies(test, v).withColumnRenamed("m", "m_test"), _copies(train, v)
     cell = _cells(F.col("v"), dims, radius)
-    near = cell
-    visits = a.withColumn("__c", near)
+    visits = a.withColumn("__c", cell)
     count = min(PROJECTIONS, dims)
     for i in range(count):
         visits = visits.withColumn(f"__c{i}", F.explode(F.array(*[F.col("__c")[i] + s for s in (-1, 0, 1)])))
@@ -108,8 +108,6 @@ def leakage_near(
     def drawn(df: DataFrame, column: str, s: int) -> DataFrame:
         picked = exact.mark_first(df.select(key, v), [], key, s, F.lit(pairs)).filter("chosen")
         digest = shuffle_key(F.col(key), s)
-        from pyspark.sql import Window as W
-
         i = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(digest, key))
         return picked.select(i.alias("i"), F.col(v).alias(column))
 

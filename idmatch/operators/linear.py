@@ -12,13 +12,14 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
 from idmatch.operators import exact, metrics, reduce, scoring, split
+from idmatch.session import durable
 
 # Shares and limits of the training rules.
 NEGATIVE_CLASS_SHARE = 0.75
@@ -29,6 +30,7 @@ PCA_SWEEP = (35, 45, 55, 65, 75, 85, 95)
 
 MODEL_SCHEMA = "class long, w array<double>, b double, platt_a double, platt_b double, thr double"
 PARALLEL_FITS = 4
+PARTITION_BYTES = 64 * 2**20
 
 
 def _model_rows(spark, rows: list[tuple[int, list[float], float]]) -> DataFrame:
@@ -43,16 +45,24 @@ def _features(df: DataFrame, v: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(V.as_vector(v)))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Fitting input kept for the passes to come, in partitions of about PARTITION_BYTES (never more than it has)."""
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size(vector_to_array("features"))).alias("d")).first()
+    wanted = (size["n"] * ((size["d"] or 0) * 8 + 16)) // PARTITION_BYTES + 1
+    return rows.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def ova_svm_fit(df: DataFrame, reg: float = 0.001, iterations: int = 50, label: str = "label", v: str = "v") -> DataFrame:
     """One hinge-loss classifier per class through OneVsRest."""
     labels = split.dense_labels(df, label).persist(StorageLevel.MEMORY_AND_DISK)
-    data = _features(df, v).join(labels.withColumnRenamed("ext_id", label), label).select(
+    data = _held(_features(df, v).join(labels.withColumnRenamed("ext_id", label), label).select(
         "features", F.col("class_idx").cast("double").alias("y")
-    )
+    ))
     fitted = OneVsRest(classifier=_svc(reg, iterations), labelCol="y", featuresCol="features",
                        parallelism=PARALLEL_FITS).fit(data)
     names = [r["ext_id"] for r in labels.orderBy("class_idx").collect()]
     labels.unpersist()
+    data.unpersist()
     rows = [(int(c), m.coefficients.toArray().tolist(), float(m.intercept)) for c, m in zip(names, fitted.models)]
     return _model_rows(df.sparkSession, rows)
 
@@ -82,7 +92,7 @@ def ova_svm_fit_weighted(df: DataFrame, c: float = 1.0, iterations: int = 50, la
     A weight that depends on the class cannot be one OneVsRest weight column, so the classes are fitted as
     separate jobs, a few at a time, over one shared input.
     """
-    data = _features(df, v).select("features", F.col(label).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _held(_features(df, v).select("features", F.col(label).alias("label")))
     counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     m = sum(counts.values())
     fit = lambda k: _fit_one(data, k, 1.0 / (c * m), iterations, positive_weight(m - counts[k], counts[k], logarithmic))
@@ -150,8 +160,9 @@ def add_class(model: DataFrame, df: DataFrame, new_class: int, reg: float = 0.00
     if model.filter(F.col("class") == new_class).limit(1).count():
         raise ValueError(f"class {new_class} is already in the model")
     rows = negative_class_sample(df, new_class, share, seed, label)
-    data = _features(rows, v).select("features", F.col(label).alias("label"))
+    data = _held(_features(rows, v).select("features", F.col(label).alias("label")))
     fitted = _model_rows(df.sparkSession, [_fit_one(data, new_class, reg, iterations, None)])
+    data.unpersist()
     return model.unionByName(bias_clamp(fitted, model))
 
 
@@ -164,7 +175,7 @@ def predict(df: DataFrame, model: DataFrame, key: str = "sample_id", label: str
 
 def evaluate(df: DataFrame, model: DataFrame, **names) -> DataFrame:
     """Summary metrics and MCC of a model on labelled rows, one row."""
-    counts = metrics.confusion(predict(df, model, **names))
+    counts = durable(metrics.confusion(predict(df, model, **names)))  # read by several metrics
     one = lambda x: x.withColumn("__one", F.lit(1))
     return one(metrics.summary_metrics(counts)).join(one(metrics.mcc_multiclass(counts)), "__one").drop("__one")
 

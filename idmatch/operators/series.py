@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from idmatch.functions.signal import soft_clip
 from idmatch.operators import exact
+from idmatch.session import durable
 
 # Levels, floors and gate limits.
 CLIP_LEVEL = 0.99
@@ -184,13 +185,15 @@ def active_frames(framed: DataFrame, cfg: Activity) -> DataFrame:
 def activity_segments(df: DataFrame, cfg: Activity) -> DataFrame:
     """Kept segments [start, stop) in samples: (series_id, segment, start, stop).
 
-    A series shorter than a frame, or without any segment, is kept whole.
+    A series shorter than a frame, or without any segment, is kept whole. Frames, flags and islands are
+    each read more than once, so they are checkpointed instead of being derived again from the samples.
     """
-    flags = active_frames(frames(df, cfg.frame, cfg.stride), cfg)
+    flags = active_frames(durable(frames(df, cfg.frame, cfg.stride)), cfg)
     on = exact.with_previous(flags, "series_id", "frame", "active", "__p").withColumn(
         "__start", (F.col("active") & ~F.coalesce(F.col("__p"), F.lit(False))).cast("int")
     )
-    islands = (
+    on = durable(on)
+    islands = durable(
         exact.running_sum(on, "series_id", "frame", "__start", "island").filter("active")
         .groupBy("series_id", "island").agg(F.min("frame").alias("f0"), (F.max("frame") + 1).alias("f1"))
     )
@@ -199,7 +202,7 @@ def activity_segments(df: DataFrame, cfg: Activity) -> DataFrame:
     stop = F.least(F.col("n"), F.col("f1") * cfg.stride + cfg.frame + cfg.padding)
     padded = islands.join(lengths, "series_id").select("series_id", "island", start.alias("start"), stop.alias("stop"))
     long = padded.withColumn("__keep", ((F.col("stop") - F.col("start")) >= cfg.min_length).cast("int"))
-    kept = exact.running_sum(long, "series_id", "island", "__keep", "pos").filter("__keep = 1")
+    kept = durable(exact.running_sum(long, "series_id", "island", "__keep", "pos").filter("__keep = 1"))
     linked = exact.with_previous(kept, "series_id", "pos", "stop", "__prev").withColumn(
         "__new", F.when((F.col("start") - F.col("__prev")) <= cfg.merge_gap, 0).otherwise(1)
     )

@@ -140,9 +140,10 @@ def activity_sessions(samples: DataFrame, level: float, gap: str, delay: str) ->
 
     Adaptive levels need whole-series statistics, so the stream form takes a fixed one.
     """
-    timed = samples.withWatermark("ts", delay) if samples.isStreaming else samples
+    loud = samples.filter(F.abs("x") >= level)
+    timed = loud.withWatermark("ts", delay) if samples.isStreaming else loud
     session = F.session_window("ts", gap).alias("session")
-    return timed.filter(F.abs("x") >= level).groupBy("series_id", session).agg(
+    return timed.groupBy("series_id", session).agg(
         F.count("*").alias("n"), F.max(F.abs("x")).alias("peak")
     ).select("series_id", F.col("session.start").alias("start"), F.col("session.end").alias("stop"), "n", "peak")
 
