@@ -33,8 +33,9 @@ def probes(df: DataFrame) -> DataFrame:
 
 
 def r6(column: Column | str, digits: int = 6) -> Column:
+    """Rounded output. The small shift sends exact ties one way, whatever order a sum was taken in."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, digits) + F.lit(0.0)
+    return F.round(column + 10.0 ** -(digits + 3), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -46,7 +47,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def s6(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr} + {10.0 ** -(digits + 3):g}, {digits}) + 0.0)"
 
 
 EMB = """emb AS (SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""

@@ -9,7 +9,7 @@ from idmatch.operators import curves, metrics, reduce, split, vectorsets
 from idmatch.session import scratch_path
 from idmatch.sources import folders, records, tables, text_files
 
-SUMS = """SELECT label, count(*) AS n, CAST(min(len(v)) AS BIGINT) AS d, (round(sum(list_sum(list_transform(v, lambda x, i: x * i))), 4) + 0.0) AS weighted FROM emb GROUP BY label"""
+SUMS = f"""SELECT label, count(*) AS n, CAST(min(len(v)) AS BIGINT) AS d, {s6('sum(list_sum(list_transform(v, lambda x, i: x * i)))', 4)} AS weighted FROM emb GROUP BY label"""
 
 
 def _sums(df):
@@ -121,7 +121,7 @@ def identity_tables(spark, sf):
     return tables.read_tables(spark, path, ["usuarios"])["usuarios"].select("id_usuario", "nombres")
 
 
-@query("SELECT event_type AS fase, CAST(count(*) AS BIGINT) AS n, (round(max(value), 6) + 0.0) AS t FROM events GROUP BY event_type")
+@query(f"SELECT event_type AS fase, CAST(count(*) AS BIGINT) AS n, {s6('max(value)')} AS t FROM events GROUP BY event_type")
 def phase_log(spark, sf):
     path = scratch_path(spark, "phases")
     e = table(spark, sf, "events").select(F.lit("job").alias("nombre"), F.col("event_type").alias("fase"), F.col("value").alias("tiempo_s"),

@@ -103,9 +103,9 @@ def fit_gallery(spark, sf):
     return rounded(gallery.fit_gallery(train, test, pca_k=32, lda_k=9, steps=200).threshold)
 
 
-@query("""WITH h AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) <= greatest(1, CAST(round(count(*) OVER () * 0.2) AS BIGINT)) AS held FROM embeddings),
+@query(f"""WITH h AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) <= greatest(1, CAST(round(count(*) OVER () * 0.2) AS BIGINT)) AS held FROM embeddings),
 a AS (SELECT (avg((label = 3)::INT) * 100) AS accuracy FROM h WHERE held), b AS (SELECT (avg((label = 3)::INT) * 100) AS baseline FROM h)
-SELECT (round(accuracy, 6) + 0.0) AS accuracy, (round(baseline, 6) + 0.0) AS baseline, (round(accuracy - baseline, 6) + 0.0) AS change, CASE WHEN accuracy - baseline < -2 THEN 'reject' ELSE 'keep' END AS verdict FROM a, b""")
+SELECT {s6('accuracy')} AS accuracy, {s6('baseline')} AS baseline, {s6('accuracy - baseline')} AS change, CASE WHEN accuracy - baseline < -2 THEN 'reject' ELSE 'keep' END AS verdict FROM a, b""")
 def regression_gate(spark, sf):
     """Accuracy of a constant guess on the holdout against the same on all rows."""
     df = vectors(spark, sf)

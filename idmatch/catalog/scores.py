@@ -143,16 +143,17 @@ def publish_threshold(spark, sf):
 
 @query(f"""WITH {SCORES}, r AS (SELECT round(score, 6) AS score, class = label AS genuine FROM scores),
 b AS (SELECT min(score) AS lo, max(score) AS hi, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS m FROM r)
-SELECT i, {s6('lo + (hi - lo) * i / 200.0')} AS threshold, {s6('(SELECT count(*) FROM r WHERE NOT genuine AND score >= lo + (hi - lo) * i / 200.0) * 100.0 / m')} AS far,
+SELECT i, {s6('lo + (hi - lo) * i / 200.0', 9)} AS threshold, {s6('(SELECT count(*) FROM r WHERE NOT genuine AND score >= lo + (hi - lo) * i / 200.0) * 100.0 / m')} AS far,
  {s6('(SELECT count(*) FROM r WHERE genuine AND score < lo + (hi - lo) * i / 200.0) * 100.0 / g')} AS frr FROM b, (SELECT unnest(range(201)) AS i)""")
 def gallery_calibration(spark, sf):
     """FAR / FRR of probes against a gallery, counted inside the scoring tasks."""
     p, g = _sides(spark, sf)
-    return rounded(gallery.calibrate(p, g, 200, digits=6).drop("gap"))
+    curve = gallery.calibrate(p, g, 200, digits=6)
+    return curve.select("i", r6("threshold", 9).alias("threshold"), r6("far").alias("far"), r6("frr").alias("frr"))
 
 
-@query("""SELECT o_orderkey, (round(coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN least(greatest(o_totalprice / 10000.0 - 10, 0), 10) END,
- CASE WHEN o_orderpriority = '2-HIGH' THEN 0.7 END, CASE WHEN o_orderstatus = 'F' THEN 0.3 END, 0.5), 6) + 0.0) AS threshold FROM orders""")
+@query(f"""SELECT o_orderkey, {s6("""coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN least(greatest(o_totalprice / 10000.0 - 10, 0), 10) END,
+ CASE WHEN o_orderpriority = '2-HIGH' THEN 0.7 END, CASE WHEN o_orderstatus = 'F' THEN 0.3 END, 0.5)""")} AS threshold FROM orders""")
 def resolve_threshold(spark, sf):
     o = table(spark, sf, "orders")
     asked = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 10000.0 - 10)

@@ -37,7 +37,7 @@ def phrase_match(spark, sf):
     return j.select("item_id", r6(X.text_similarity(a, b)).alias("similarity"), X.similar_at_least(a, b, 0.2).alias("matched"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(source || doc_id, '^\\d{3}') THEN 1 ELSE NULL END AS bad, CASE WHEN length(lpad(doc_id::VARCHAR, 3, '0')) = 3 THEN CAST(doc_id AS BIGINT) ELSE CAST(left(doc_id::VARCHAR, 3) AS BIGINT) END AS id,
+@query("""SELECT doc_id, CASE WHEN regexp_matches(source || doc_id, '^\\d{3}') THEN 1 ELSE NULL END AS bad, CASE WHEN doc_id < 1000 THEN doc_id ELSE CAST(left(doc_id::VARCHAR, 3) AS BIGINT) END AS id,
  CAST(coalesce(nullif(regexp_extract(source || '_' || doc_id, '(\\d+)', 1), ''), '-1') AS BIGINT) AS first_number FROM documents""")
 def id_from_name(spark, sf):
     d = table(spark, sf, "documents")
