@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from idmatch.catalog import query
 from idmatch.catalog.common import r6, s6, table
 from idmatch.functions import text as X
+from idmatch.operators import relations
 from idmatch.plans import login
 
 NORM = r"trim(regexp_replace(lower(regexp_replace({}, '[^A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g'))"
@@ -17,7 +18,8 @@ def normalize_text(spark, sf):
 
 
 def _turns(spark, sf):
-    t = table(spark, sf, "conversations").select("conv_id", "turn", X.normalize_text(F.col("text")).alias("s"))
+    turns = relations.spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    t = turns.select("conv_id", "turn", X.normalize_text(F.col("text")).alias("s"))
     after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("b"))
     return t.withColumnRenamed("s", "a").join(after, ["conv_id", "turn"])
 

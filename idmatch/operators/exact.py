@@ -32,33 +32,60 @@ def running_offset(counts: DataFrame, by: Sequence[str], n: str) -> DataFrame:
     return counts.withColumn(OFFSET, before)
 
 
-def equi_depth(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds ``__bucket``: equal-depth ranges of a numeric column over the whole table.
+def _cuts(df: DataFrame, column: str, rows_per_bucket: int) -> list[float]:
+    """Quantile cut points of a numeric column; a value that fills several buckets appears several times.
 
-    Ranges are cut at quantiles of all rows, so a group that holds a third of the rows spreads over
-    about a third of the buckets. One aggregate finds the row count and the cut points; only those (at
-    most ``MAX_BUCKETS``) reach the driver. A small table is one bucket.
+    One aggregate finds the row count and the cut points; only those (at most ``MAX_BUCKETS``) reach the
+    driver. A small table has none.
     """
     shares = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))  # one parsed literal list
     cuts = F.expr(f"percentile_approx(`{column}`, array({shares}), {10 * MAX_BUCKETS})")
     found = df.agg(F.count("*").alias("n"), cuts.alias("cuts")).first()
     buckets = min(MAX_BUCKETS, found["n"] // rows_per_bucket + 1)
     grid = found["cuts"] or []
-    chosen = [grid[i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)] if grid else []
-    cuts = sorted({float(c) for c in chosen})
-    if not cuts:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=BUCKET, handleInvalid="keep").transform(df)
+    return sorted(float(grid[i * MAX_BUCKETS // buckets - 1]) for i in range(1, buckets)) if grid else []
+
+
+def _cut_at(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    distinct = sorted(set(cuts))
+    if not distinct:
+        return df.withColumn(name, F.lit(0.0))
+    splits = [-float("inf"), *distinct, float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+
+
+def equi_depth(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``__bucket``: equal-depth ranges of a numeric column over the whole table.
+
+    Ranges are cut at quantiles of all rows, so a group that holds a third of the rows spreads over
+    about a third of the buckets.
+    """
+    return _cut_at(df, column, _cuts(df, column, rows_per_bucket), BUCKET)
+
+
+def equi_depth_pair(df: DataFrame, column: str, tie: str, rows_per_bucket: int) -> DataFrame:
+    """``__bucket`` monotone in (column, tie): a value repeated over several buckets is cut again by ``tie``."""
+    cuts = _cuts(df, column, rows_per_bucket)
+    heavy = sorted({c for c in cuts if cuts.count(c) > 1})
+    coarse = _cut_at(df, column, cuts, BUCKET)
+    if not heavy:
+        return coarse
+    ties = df.filter(F.col(column).isin(heavy)).withColumn("__tie", F.col(tie).cast("double"))
+    fine_cuts = _cuts(ties, "__tie", rows_per_bucket)
+    fine = _cut_at(coarse.withColumn("__tie", F.col(tie).cast("double")), "__tie", fine_cuts, "__fine")
+    # A heavy value opens its bucket, so its rows come before the rest of the bucket.
+    part = F.when(F.col(column).isin(heavy), F.col("__fine")).otherwise(float(MAX_BUCKETS))
+    return fine.withColumn(BUCKET, F.col(BUCKET) * (2.0 * MAX_BUCKETS) + part).drop("__tie", "__fine")
 
 
-def row_index(df: DataFrame, by: Sequence[str], order: str, tie: str, name: str = "idx") -> DataFrame:
-    """Dense 0-based position of each row in its group, by (``order``, ``tie``).
+def row_index(df: DataFrame, by: Sequence[str], order: str, tie: str, name: str = "idx",
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Dense 0-based position of each row in its group, by (``order``, ``tie``); both numeric.
 
-    ``order`` is numeric; use epoch microseconds for times.
+    Use epoch microseconds for times.
     """
     keyed = df.withColumn("__order", F.col(order).cast("double"))
-    bucketed = equi_depth(keyed, "__order").drop("__order")
+    bucketed = equi_depth_pair(keyed, "__order", tie, rows_per_bucket).drop("__order")
     offsets = running_offset(bucketed.groupBy(*by, BUCKET).agg(F.count("*").alias("__n")), by, "__n")
     within = F.row_number().over(W.partitionBy(*by, BUCKET).orderBy(order, tie))
     return (

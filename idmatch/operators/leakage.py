@@ -2,12 +2,16 @@
 
 Copies are combined before any join, so a group of copies that holds a third of the rows is one row with
 a multiplicity. Candidate pairs come from grid cells of fixed projections: two vectors within distance r
-differ by at most r in every unit projection, so looking in the neighbouring cells misses nothing.
+differ by at most r in every unit projection, so looking in the cells within r misses nothing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +28,8 @@ NEAR = 0.01
 EXTREME = 0.001
 SAMPLED_PAIRS = 100
 
-PROJECTIONS = 3
+MAX_AXES = 16
+MAX_VISITS = 32.0  # expected cells per vector
 
 
 def _copies(df: DataFrame, v: str) -> DataFrame:
@@ -61,30 +66,57 @@ def leakage_exact(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
     )
 
 
-def _cells(v: Column, dims: int, width: float) -> Column:
-    """Grid cell of a vector: fixed orthonormal projections, cut at ``width``."""
-    basis, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(dims, min(PROJECTIONS, dims))))
-    arrays = [F.array(*[F.lit(float(x)) for x in basis[:, i]]) for i in range(basis.shape[1])]
-    return F.array(*[F.floor(V.dot(v, a) / width) for a in arrays])
+@dataclass(frozen=True)
+class Grid:
+    """Cells of fixed orthonormal projections, ``width`` wide; at least four radii, so a ball meets two cells per axis."""
+
+    axes: tuple[tuple[float, ...], ...]
+    width: float
+    radius: float
+
+    def _along(self, v: Column) -> list[Column]:
+        return [V.dot(v, F.array(*[F.lit(x) for x in axis])) for axis in self.axes]
+
+    def home(self, v: Column) -> Column:
+        """The cell a vector lies in."""
+        return F.xxhash64(F.array(*[F.floor(p / self.width) for p in self._along(v)]))
+
+    def reached(self, v: Column) -> Column:
+        """All cells within the radius: both sides of each border that is near enough, combined over the axes."""
+        slack = self.radius * (1 + 1e-9) + 1e-12
+        combos = F.array(F.array().cast("array<bigint>"))
+        for p in self._along(v):
+            sides = V.let(p, lambda x: F.array_distinct(F.array(F.floor((x - slack) / self.width), F.floor((x + slack) / self.width))))
+            combos = _extended(combos, sides)
+        return F.transform(combos, lambda c: F.xxhash64(c))
+
+
+def _extended(combos: Column, sides: Column) -> Column:
+    bound = lambda found: F.flatten(F.transform(combos, lambda c: F.transform(found, lambda s: F.concat(c, F.array(s)))))
+    return V.let(sides, bound)
+
+
+def fit_grid(df: DataFrame, dims: int, radius: float, v: str = "v") -> Grid:
+    """A grid as fine as the data spread allows, with a bounded number of cells to visit per vector."""
+    spread = df.agg(Summarizer.variance(array_to_vector(V.as_vector(v))).alias("s")).first()["s"]
+    sd = float(np.sqrt(np.mean(spread.toArray()))) if spread is not None else 0.0
+    width = max(4 * radius, sd)
+    count = max(1, min(dims, MAX_AXES, int(np.log(MAX_VISITS) / np.log(1 + 2 * radius / width))))
+    basis, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(dims, count)))
+    return Grid(tuple(tuple(float(x) for x in basis[:, i]) for i in range(count)), width, radius)
 
 
 def near_pairs(train: DataFrame, test: DataFrame, dims: int, radius: float = NEAR, v: str = "v") -> DataFrame:
     """Every distinct (test, train) vector pair closer than ``radius``: (m_test, m_train, distance).
 
-    Exact, without comparing all pairs: each test vector visits the neighbouring cells of its own.
+    Exact, without comparing all pairs: a test vector visits its own cell and those within the radius.
     """
-    a, b = _copies(test, v).withColumnRenamed("m", "m_test"), _copies(train, v)
-    cell = _cells(F.col("v"), dims, radius)
-    visits = a.withColumn("__c", cell)
-    count = min(PROJECTIONS, dims)
-    for i in range(count):
-        visits = visits.withColumn(f"__c{i}", F.explode(F.array(*[F.col("__c")[i] + s for s in (-1, 0, 1)])))
-    keys = [f"__c{i}" for i in range(count)]
-    homes = b.select(F.col("v").alias("w"), F.col("m").alias("m_train"), cell.alias("__h")).select(
-        "w", "m_train", *[F.col("__h")[i].alias(f"__c{i}") for i in range(count)]
-    )
+    train, test = train.filter(F.size(v) == dims), test.filter(F.size(v) == dims)
+    grid = fit_grid(train, dims, radius, v)
+    visits = _copies(test, v).select("v", F.col("m").alias("m_test"), F.explode(grid.reached(F.col("v"))).alias("cell"))
+    homes = _copies(train, v).select(F.col("v").alias("w"), F.col("m").alias("m_train"), grid.home(F.col("v")).alias("cell"))
     distance = V.euclidean(F.col("v"), F.col("w"))
-    return visits.drop("__c").join(homes, keys).select("m_test", "m_train", distance.alias("distance")).filter(
+    return visits.join(homes, "cell").select("m_test", "m_train", distance.alias("distance")).filter(
         F.col("distance") < radius
     )
 

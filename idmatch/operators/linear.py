@@ -29,7 +29,7 @@ MIN_CURVE_ROWS = 42
 PCA_SWEEP = (35, 45, 55, 65, 75, 85, 95)
 
 MODEL_SCHEMA = "class long, w array<double>, b double, platt_a double, platt_b double, thr double"
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 PARTITION_BYTES = 64 * 2**20
 
 

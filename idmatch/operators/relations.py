@@ -28,6 +28,16 @@ PUSH_ITEM = T.StructType([
 ])
 
 
+def spread(df: DataFrame, *keys: str, rows_per_task: int = 20_000) -> DataFrame:
+    """Hash-partitions rows that are small in bytes but costly to process, so that every core gets some.
+
+    Size-based coalescing would put them into few tasks. A join on the same keys reuses the partitioning
+    when both sides are spread alike.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows_per_task + 1)
+    return df.repartition(tasks, *keys)
+
+
 def lookup_user(users: DataFrame, column: str, value) -> DataFrame:
     return users.filter(F.col(column) == value)
 

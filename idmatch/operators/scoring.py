@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idmatch.functions.vectors import NORM_FLOOR
+from idmatch.session import durable
 
 GALLERY_BYTES = 64 * 2**20
 BLOCK_BYTES = 32 * 2**20
@@ -65,6 +67,29 @@ class Gallery:
         return np.maximum.reduceat(s, self.first, axis=1) if self.many else s
 
 
+@dataclass(frozen=True)
+class Enrolled:
+    """A gallery written once with its size known; pass it instead of a table to score it repeatedly."""
+
+    table: DataFrame
+    n: int
+    d: int
+
+    @property
+    def bytes(self) -> int:
+        return self.n * self.d * 8
+
+
+def enrol(gallery: DataFrame | Enrolled) -> Enrolled:
+    if isinstance(gallery, Enrolled):
+        return gallery
+    b = F.col("b").cast("double") if "b" in gallery.columns else F.lit(0.0)
+    table = durable(gallery.select(F.col("class").cast("long"), F.col("t").cast("array<double>"), b.alias("b")))
+    d = table.agg(F.max(F.size("t"))).first()[0] or 0
+    table = table.filter(F.size("t") == d)
+    return Enrolled(table, table.count(), d)
+
+
 Reduce = Callable[[pa.Table, np.ndarray, Gallery], pa.RecordBatch]
 
 
@@ -74,13 +99,8 @@ def _steps(batch: pa.RecordBatch, gallery: Gallery) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def _gallery_columns(gallery: DataFrame) -> DataFrame:
-    b = F.col("b").cast("double") if "b" in gallery.columns else F.lit(0.0)
-    return gallery.select(F.col("class").cast("long"), F.col("t").cast("array<double>"), b.alias("b"))
-
-
 def _score(
-    probes: DataFrame, gallery: DataFrame, metric: str, schema: str, reduce: Reduce,
+    probes: DataFrame, gallery: DataFrame | Enrolled, metric: str, schema: str, reduce: Reduce,
     gallery_bytes: int = GALLERY_BYTES,
 ) -> DataFrame:
     """Apply ``reduce`` to every (probe batch, gallery block) score matrix.
@@ -88,14 +108,12 @@ def _score(
     ``probes`` has columns (probe_id, v, ...); rows whose dimension differs from the gallery's are dropped.
     """
     spark = probes.sparkSession
-    gallery = _gallery_columns(gallery)
-    size = gallery.agg(F.count("*").alias("n"), F.max(F.size("t")).alias("d")).first()
-    n, d = size["n"], size["d"] or 0
-    gallery = gallery.filter(F.size("t") == d)
+    enrolled = enrol(gallery)
+    gallery, n, d = enrolled.table, enrolled.n, enrolled.d
     probes = probes.withColumn("v", F.col("v").cast("array<double>")).filter(F.size("v") == d)
     if n == 0:
         return spark.createDataFrame([], schema)
-    if n * d * 8 <= gallery_bytes:
+    if enrolled.bytes <= gallery_bytes:
         shared = spark.sparkContext.broadcast(gallery.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +124,7 @@ def _score(
 
         return probes.mapInArrow(run, schema)
 
-    blocks = math.ceil(n * d * 8 / min(BLOCK_BYTES, gallery_bytes))
+    blocks = math.ceil(enrolled.bytes / min(BLOCK_BYTES, gallery_bytes))
     cells = math.ceil(probes.count() * d * 8 / min(BLOCK_BYTES, gallery_bytes)) or 1
     left = probes.withColumn("__p", F.pmod(F.xxhash64("probe_id"), F.lit(cells))).withColumn(
         "__g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -137,7 +155,7 @@ def _ids(part: pa.RecordBatch, name: str = "probe_id") -> np.ndarray:
     return part.column(name).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def score_all(probes: DataFrame, gallery: DataFrame, metric: str = COSINE, **options) -> DataFrame:
+def score_all(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
     """Every score: (probe_id, class, score)."""
 
     def everything(part, s, block):
@@ -171,7 +189,7 @@ def score_topk(probes: DataFrame, gallery: DataFrame, k: int, metric: str = COSI
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top2_margin(probes: DataFrame, gallery: DataFrame, metric: str = COSINE, **options) -> DataFrame:
+def top2_margin(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
     """Best and second class per probe: (probe_id, pred, s1, class2, s2, margin)."""
     return top2_of(score_topk(probes, gallery, 2, metric, **options))
 
@@ -190,7 +208,7 @@ def top2_of(scores: DataFrame) -> DataFrame:
     )
 
 
-def claimed_scores(probes: DataFrame, gallery: DataFrame, metric: str = COSINE, **options) -> DataFrame:
+def claimed_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
     """Best class plus the score and rank of the claimed class.
 
     ``probes`` carries the claim in column ``label``. The rank counts better classes, so no score list is
@@ -221,19 +239,18 @@ def claimed_scores(probes: DataFrame, gallery: DataFrame, metric: str = COSINE,
             ["probe_id", "label", "pred", "s1", "class2", "s2", "own", "better"],
         )
 
-    options_bytes = options.get("gallery_bytes", GALLERY_BYTES)
-    size = gallery.agg(F.count("*").alias("n"), F.max(F.size("t")).alias("d")).first()
+    gallery = enrol(gallery)
     schema = ("probe_id long, label long, pred long, s1 double, class2 long, s2 double, own double, better long")
-    if size["n"] * (size["d"] or 0) * 8 <= options_bytes:
+    if gallery.bytes <= options.get("gallery_bytes", GALLERY_BYTES):
         return _score(probes.select("probe_id", "label", "v"), gallery, metric, schema, reduce, **options)
     return _claimed_from_blocks(probes, gallery, metric, **options)
 
 
-def _claimed_from_blocks(probes: DataFrame, gallery: DataFrame, metric: str, **options) -> DataFrame:
+def _claimed_from_blocks(probes: DataFrame, gallery: Enrolled, metric: str, **options) -> DataFrame:
     """Large galleries: own score first (an equi-join), then better-count and top-2 per block, merged."""
     from idmatch.functions import vectors as V
 
-    keyed = _gallery_columns(gallery).withColumnRenamed("class", "label")
+    keyed = gallery.table.withColumnRenamed("class", "label")
     v = V.as_vector("v")
     one = V.cosine(v, F.col("t")) if metric == COSINE else V.dot(v, F.col("t")) + F.col("b")
     own = probes.join(keyed, "label").groupBy("probe_id").agg(F.max(one).alias("own"))
@@ -282,15 +299,17 @@ def genuine_impostor(scores: DataFrame, probes: DataFrame) -> DataFrame:
     return flagged.join(known, "label", "left_semi").select("probe_id", "class", "score", "genuine")
 
 
-def known_claims(probes: DataFrame, gallery: DataFrame) -> DataFrame:
+def known_claims(probes: DataFrame, gallery: DataFrame | Enrolled) -> DataFrame:
     """Probes whose own class is enrolled."""
-    enrolled = gallery.select(F.col("class").alias("label")).distinct()
+    enrolled = enrol(gallery).table.select(F.col("class").alias("label")).distinct()
     return probes.select("probe_id", "label", "v").join(enrolled, "label", "left_semi")
 
 
-def score_range(probes: DataFrame, gallery: DataFrame, metric: str = COSINE, **options) -> DataFrame:
+def score_range(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
     """Lowest and highest score over all pairs, reduced inside each batch: (lo, hi)."""
 
+    gallery = enrol(gallery)
+
     def reduce(part, s, block):
         return pa.RecordBatch.from_arrays(
             [pa.array([s.min()], pa.float64()), pa.array([s.max()], pa.float64())], ["lo", "hi"]
@@ -302,7 +321,7 @@ def score_range(probes: DataFrame, gallery: DataFrame, metric: str = COSINE, **o
 
 
 def score_histogram(
-    probes: DataFrame, gallery: DataFrame, lo: float, hi: float, n: int, metric: str = COSINE,
+    probes: DataFrame, gallery: DataFrame | Enrolled, lo: float, hi: float, n: int, metric: str = COSINE,
     digits: int | None = None, **options,
 ) -> DataFrame:
     """Genuine and impostor counts per threshold step, (step, genuine, impostor), without emitting pairs.
@@ -310,6 +329,8 @@ def score_histogram(
     Step i holds scores between threshold i and i+1 of ``lo + (hi - lo) * i / n``.
     """
 
+    gallery = enrol(gallery)
+
     def reduce(part, s, block):
         claim = _ids(part, "label")
         if digits is not None:
@@ -337,7 +358,7 @@ def topk_accuracy(claimed: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFr
 
 
 def duplicate_identity(
-    batches: DataFrame, gallery: DataFrame, batch: str = "batch_id", first_n: int = 25,
+    batches: DataFrame, gallery: DataFrame | Enrolled, batch: str = "batch_id", first_n: int = 25,
     margin: float = 0.489, consistency: float = 0.70, confident: float = 0.50, **options,
 ) -> DataFrame:
     """Vote of a new identity's first vectors for an enrolled class.

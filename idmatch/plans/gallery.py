@@ -62,10 +62,12 @@ def fit_gallery(train: DataFrame, calibration: DataFrame, pca_k: int = reduce.PC
     return fitted
 
 
-def calibrate(probes: DataFrame, templates: DataFrame, steps: int = curves.STEPS, metric: str = scoring.COSINE,
+def calibrate(probes: DataFrame, templates: DataFrame | scoring.Enrolled, steps: int = curves.STEPS, metric: str = scoring.COSINE,
               digits: int | None = None) -> DataFrame:
     """FAR / FRR curve of probes against a gallery without materialising a pair."""
     steps = max(steps, curves.MIN_STEPS)
+    templates = scoring.enrol(templates)
+    probes = durable(scoring.known_claims(probes, templates))  # read twice: range, then steps
     bounds = scoring.score_range(probes, templates, metric).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None or not hi > lo:

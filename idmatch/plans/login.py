@@ -30,8 +30,8 @@ def eligible_attempts(attempts: DataFrame, users: DataFrame, credentials: DataFr
 
 
 def phrase_scores(transcripts: DataFrame, phrases: DataFrame, key: str, said: str, expected: str) -> DataFrame:
-    """Similarity of what was said to the attached phrase, both normalised."""
-    joined = relations.attach_phrase(transcripts, phrases, key)
+    """What was said beside the attached phrase, both normalised (said_norm, phrase_norm)."""
+    joined = relations.attach_phrase(relations.spread(transcripts, key), phrases, key)
     a, b = text.normalize_text(F.col(said)), text.normalize_text(F.col(expected))
     return joined.withColumn("said_norm", a).withColumn("phrase_norm", b)
 

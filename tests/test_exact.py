@@ -21,10 +21,13 @@ def hot_rows(n=400, seed=3):
     return [(0 if rng.random() < 0.33 else rng.randrange(1, 6), i, float(rng.randrange(40))) for i in range(n)]
 
 
-def test_row_index(spark, small_buckets):
-    rows = hot_rows()
+@pytest.mark.parametrize("heavy", [False, True])
+def test_row_index(spark, heavy):
+    rows = [(g, i, 7.0 if heavy and i % 2 else x) for g, i, x in hot_rows()]  # heavy: half of all rows at one value
     df = spark.createDataFrame(rows, "g long, id long, x double")
-    got = {r["id"]: r["idx"] for r in exact.row_index(df, ["g"], "x", "id").collect()}
+    got = {r["id"]: r["idx"] for r in exact.row_index(df, ["g"], "x", "id", rows_per_bucket=7).collect()}
+    sizes = exact.equi_depth_pair(df, "x", "id", 7).groupBy(exact.BUCKET).count().agg(F.max("count")).first()[0]
+    assert sizes <= 60  # no bucket holds the repeated value whole
     want = {}
     for g in {r[0] for r in rows}:
         for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))):
