@@ -7,7 +7,7 @@ from idmatch.catalog.common import EMB, parts, r6, rounded, s6, vectors
 from idmatch.catalog.quality import MODEL, _model
 from idmatch.functions import vectors as V
 from idmatch.operators import augment as A
-from idmatch.operators import linear, metrics, reduce, scoring, split, templates
+from idmatch.operators import hinge, linear, metrics, reduce, scoring, split, templates
 from idmatch.plans import gallery
 
 
@@ -41,6 +41,13 @@ def ova_svm_fit_weighted(spark, sf):
     return model.select("class", F.size("w").cast("long").alias("dims"), r6("b").alias("b"))
 
 
+@query()
+def ova_hinge_fit(spark, sf):
+    """All classes in one pass per round."""
+    train, test = parts(spark, sf)
+    return rounded(linear.evaluate(test, hinge.ova_hinge_fit(train, 0.001, 5)).select("accuracy", "f1_macro", "mcc"), digits=2)
+
+
 @query()
 def add_class(spark, sf):
     train, _ = parts(spark, sf)

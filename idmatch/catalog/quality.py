@@ -76,6 +76,13 @@ def batch_gate(spark, sf):
     return O.batch_gate(gated.withColumn("batch", F.floor(F.col("user_id") / 10)), "batch", 0.4, enforce=False)
 
 
+@query("""SELECT user_id, count(*) FILTER (event_type <> 'error') AS valid, count(*) FILTER (event_type <> 'error') >= 6 AS ready, count(*) FILTER (event_type = 'error') = 5 AS exact FROM events GROUP BY user_id""")
+def enrolment_ready(spark, sf):
+    e, bad = table(spark, sf, "events"), F.col("event_type") == "error"
+    exact_items = O.enrolment_ready(e, "user_id", bad, O.EXACT_ITEMS, exactly=True).select("user_id", F.col("ready").alias("exact"))
+    return O.enrolment_ready(e, "user_id", ~bad).join(exact_items, "user_id")
+
+
 def _stage_sql(name, x):
     return f"""{name}p AS (SELECT user_id, stddev_pop({x}) AS sd, min({x}) AS mn, max({x}) AS mx FROM events GROUP BY user_id),
 {name}h AS (SELECT user_id, floor({x}) AS bin, count(*) AS c FROM events GROUP BY ALL), {name}e AS (SELECT user_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM {name}h GROUP BY user_id),

@@ -7,18 +7,21 @@ differ by at most r in every unit projection, so looking in the cells within r m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
 from idmatch.operators import exact
+from idmatch.operators.scoring import _matrix
 
 # Prefix length, tolerances and verdict levels.
 PREFIX = 20
@@ -68,32 +71,48 @@ def leakage_exact(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
 
 @dataclass(frozen=True)
 class Grid:
-    """Cells of fixed orthonormal projections, ``width`` wide; at least four radii, so a ball meets two cells per axis."""
+    """Cells of fixed orthonormal projections, ``width`` wide; at least four radii, so a ball meets two cells per axis.
 
-    axes: tuple[tuple[float, ...], ...]
+    A cell is named by a sum of its coordinates times odd constants, modulo 2^64. Two cells may share a name;
+    that only adds a candidate, which the distance check removes.
+    """
+
+    basis: np.ndarray
     width: float
     radius: float
 
-    def _along(self, v: Column) -> list[Column]:
-        return [V.dot(v, F.array(*[F.lit(x) for x in axis])) for axis in self.axes]
+    def _coordinates(self, x: np.ndarray, shift: float) -> np.ndarray:
+        return np.floor((x @ self.basis + shift) / self.width).astype(np.int64)
+
+    def _constants(self) -> np.ndarray:
+        return np.random.default_rng(11).integers(-(2**62), 2**62, self.basis.shape[1]) * 2 + 1
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, name) of the cell each row lies in."""
+        return np.arange(len(x)), (self._coordinates(x, 0.0) * self._constants()).sum(axis=1)
 
-    def home(self, v: Column) -> Column:
-        """The cell a vector lies in."""
-        return F.xxhash64(F.array(*[F.floor(p / self.width) for p in self._along(v)]))
+    def reached(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, name) of all cells within the radius: both sides of each near border, combined over the axes."""
+        slack, constants = self.radius * (1 + 1e-9) + 1e-12, self._constants()
+        low, high = self._coordinates(x, -slack), self._coordinates(x, slack)
+        row, name = np.arange(len(x)), (low * constants).sum(axis=1)
+        for axis in range(low.shape[1]):
+            both = (high[row, axis] > low[row, axis])
+            row, name = np.concatenate([row, row[both]]), np.concatenate([name, name[both] + constants[axis]])
+        return row, name
 
-    def reached(self, v: Column) -> Column:
-        """All cells within the radius: both sides of each border that is near enough, combined over the axes."""
-        slack = self.radius * (1 + 1e-9) + 1e-12
-        combos = F.array(F.array().cast("array<bigint>"))
-        for p in self._along(v):
-            sides = V.let(p, lambda x: F.array_distinct(F.array(F.floor((x - slack) / self.width), F.floor((x + slack) / self.width))))
-            combos = _extended(combos, sides)
-        return F.transform(combos, lambda c: F.xxhash64(c))
+    def cells(self, df: DataFrame, pick: str) -> DataFrame:
+        """Rows (v, m) repeated for each of their cells, with column ``cell``."""
+        place = getattr(self, pick)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    row, name = place(_matrix(batch.column("v")))
+                    out = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([out.column("v"), out.column("m"), pa.array(name)], ["v", "m", "cell"])
 
-def _extended(combos: Column, sides: Column) -> Column:
-    bound = lambda found: F.flatten(F.transform(combos, lambda c: F.transform(found, lambda s: F.concat(c, F.array(s)))))
-    return V.let(sides, bound)
+        return df.select("v", "m").mapInArrow(run, "v array<double>, m long, cell long")
 
 
 def fit_grid(df: DataFrame, dims: int, radius: float, v: str = "v") -> Grid:
@@ -103,7 +122,7 @@ def fit_grid(df: DataFrame, dims: int, radius: float, v: str = "v") -> Grid:
     width = max(4 * radius, sd)
     count = max(1, min(dims, MAX_AXES, int(np.log(MAX_VISITS) / np.log(1 + 2 * radius / width))))
     basis, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(dims, count)))
-    return Grid(tuple(tuple(float(x) for x in basis[:, i]) for i in range(count)), width, radius)
+    return Grid(basis, width, radius)
 
 
 def near_pairs(train: DataFrame, test: DataFrame, dims: int, radius: float = NEAR, v: str = "v") -> DataFrame:
@@ -113,8 +132,8 @@ def near_pairs(train: DataFrame, test: DataFrame, dims: int, radius: float = NEA
     """
     train, test = train.filter(F.size(v) == dims), test.filter(F.size(v) == dims)
     grid = fit_grid(train, dims, radius, v)
-    visits = _copies(test, v).select("v", F.col("m").alias("m_test"), F.explode(grid.reached(F.col("v"))).alias("cell"))
-    homes = _copies(train, v).select(F.col("v").alias("w"), F.col("m").alias("m_train"), grid.home(F.col("v")).alias("cell"))
+    visits = grid.cells(_copies(test, v), "reached").withColumnRenamed("m", "m_test")
+    homes = grid.cells(_copies(train, v), "home").withColumnsRenamed({"v": "w", "m": "m_train"})
     distance = V.euclidean(F.col("v"), F.col("w"))
     return visits.join(homes, "cell").select("m_test", "m_train", distance.alias("distance")).filter(
         F.col("distance") < radius

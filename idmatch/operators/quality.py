@@ -24,6 +24,7 @@ RMS_AFTER_ENHANCE, RMS_AFTER_SMOOTH = 30.0, 25.0
 MICHELSON_MIN = 0.70
 VARIANCE_DROP = 10.0
 ENTROPY_KEPT = 0.90
+MIN_SAMPLES, EXACT_ITEMS = 6, 5
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,12 @@ def batch_gate(gated: DataFrame, batch: str, min_share: float, enforce: bool) ->
     return s.select(batch, "items", "passes", needed.alias("needed"), verdict.alias("verdict"))
 
 
+def enrolment_ready(samples: DataFrame, identity: str, valid: Column, minimum: int = MIN_SAMPLES, exactly: bool = False) -> DataFrame:
+    """Valid samples per identity against the number an enrolment needs: (identity, valid, ready)."""
+    s = samples.groupBy(identity).agg(F.count_if(valid).alias("valid"))
+    return s.withColumn("ready", F.col("valid") == minimum if exactly else F.col("valid") >= minimum)
+
+
 def stage_effect(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Before / after checks per key. Both sides hold sd_x, entropy, michelson, rms_contrast."""
     names = ("sd_x", "entropy", "michelson", "rms_contrast")

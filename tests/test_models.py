@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from idmatch.operators import augment, linear, reduce, scoring, split, templates, vectorsets
+from idmatch.operators import augment, hinge, linear, reduce, scoring, split, templates, vectorsets
 from idmatch.plans import gallery
 from tests.test_scores import gauss
 
@@ -55,6 +55,10 @@ def test_svm_separates(spark):
     assert accuracy(test, linear.ova_svm_fit_weighted(train, 1.0, 30)) > 95
     assert {r["class"] for r in model.collect()} == {0, 1, 2, 3}
 
+    joint = hinge.ova_hinge_fit(train.repartition(3), 0.001, 10)
+    assert accuracy(test, joint) > 95 and {r["class"] for r in joint.collect()} == {0, 1, 2, 3}
+    assert accuracy(test, hinge.ova_hinge_fit(train, 0.001, 10, {c: 3.0 for c in range(4)})) > 95
+
     base = linear.ova_svm_fit(train.filter("label <> 3"), 0.001, 30)
     grown = linear.add_class(base, train, 3, 0.001, 30, share=1.0)
     assert accuracy(test, grown) > 90
