@@ -6,6 +6,7 @@ from idmatch.catalog import query
 from idmatch.catalog.common import DIMS, EMB, LONG, PARTS, cent, parts, r6, rounded, s6, table, vectors
 from idmatch.functions import vectors as V
 from idmatch.operators import vectorsets as O
+from idmatch.operators.rows import beside
 
 
 @query(f"WITH {LONG} SELECT sample_id, dim, {s6('x')} AS x FROM long")
@@ -224,7 +225,7 @@ def project(spark, sf):
     df = vectors(spark, sf)
     comps = O.class_centroids(df).agg(F.array_sort(F.collect_list(F.struct("class", "t"))).alias("p"))
     z = O.zscore_fit(df).select("mean")
-    model = z.withColumn("__o", F.lit(1)).join(comps.withColumn("__o", F.lit(1)), "__o").select(
+    model = beside(z, comps).select(
         "mean", F.transform("p", lambda p: p["t"]).alias("components"))
     out = reduce.project_vectors(df.select("sample_id", "v"), model)
     return out.select("sample_id", F.posexplode("v").alias("comp", "y")).select("sample_id", F.col("comp").cast("long"), r6("y").alias("y"))

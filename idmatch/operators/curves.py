@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from idmatch.operators.rows import beside
+
 # Grid sizes, sentinel rates and grade bands.
 MIN_STEPS = 200
 STEPS = 1000
@@ -161,9 +163,8 @@ def biometric_summary(scores: DataFrame, n: int = STEPS) -> DataFrame:
         F.count_if(hit & F.col("genuine")).alias("tp"), F.count_if(~hit & ~F.col("genuine")).alias("tn"),
         F.count_if(hit & ~F.col("genuine")).alias("fp"), F.count_if(~hit & F.col("genuine")).alias("fn"),
     )
-    joined = summary.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")
     return (
-        joined.withColumn("far", F.col("fp") * 100.0 / (F.col("fp") + F.col("tn")))
+        beside(summary, counts).withColumn("far", F.col("fp") * 100.0 / (F.col("fp") + F.col("tn")))
         .withColumn("frr", F.col("fn") * 100.0 / (F.col("tp") + F.col("fn")))
         .withColumn("eer_grade", _grade(F.col("eer"), EER_GRADES, True, "poor"))
         .withColumn("auc_grade", _grade(F.col("auc"), AUC_GRADES, False, "low"))
@@ -181,5 +182,4 @@ def score_separation(scores: DataFrame) -> DataFrame:
 def publish_threshold(eer_row: DataFrame, scores: DataFrame) -> DataFrame:
     """One-row table (threshold, eer, genuine, impostor) to store beside a model."""
     sizes = scores.agg(F.count_if("genuine").alias("genuine"), F.count_if(~F.col("genuine")).alias("impostor"))
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    return one(eer_row.select("threshold", "eer")).join(one(sizes), "__one").drop("__one")
+    return beside(eer_row.select("threshold", "eer"), sizes)

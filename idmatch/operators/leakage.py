@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
 from idmatch.operators import exact
+from idmatch.operators.rows import beside
 from idmatch.operators.scoring import _matrix
 
 # Prefix length, tolerances and verdict levels.
@@ -60,11 +61,10 @@ def exact_leaks(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
 
 def leakage_exact(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
     """One row: train and test sizes, leaked test rows, percent, and whether the sets count as disjoint."""
-    one = lambda df: df.withColumn("__one", F.lit(1))
     leaked = exact_leaks(train, test, v).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("leaked"))
-    sizes = one(train.agg(F.count("*").alias("train_n"))).join(one(test.agg(F.count("*").alias("test_n"))), "__one")
+    sizes = [df.agg(F.count("*").alias(name)) for df, name in ((train, "train_n"), (test, "test_n"))]
     pct = F.col("leaked") * 100.0 / F.col("test_n")
-    return sizes.join(one(leaked), "__one").select(
+    return beside(*sizes, leaked).select(
         "train_n", "test_n", "leaked", pct.alias("pct"), (pct < LEAK_PERCENT).alias("disjoint")
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
 from idmatch.operators import exact, metrics, reduce, scoring, split
+from idmatch.operators.rows import beside
 from idmatch.session import durable
 
 # Shares and limits of the training rules.
@@ -176,8 +177,7 @@ def predict(df: DataFrame, model: DataFrame, key: str = "sample_id", label: str
 def evaluate(df: DataFrame, model: DataFrame, **names) -> DataFrame:
     """Summary metrics and MCC of a model on labelled rows, one row."""
     counts = durable(metrics.confusion(predict(df, model, **names)))  # read by several metrics
-    one = lambda x: x.withColumn("__one", F.lit(1))
-    return one(metrics.summary_metrics(counts)).join(one(metrics.mcc_multiclass(counts)), "__one").drop("__one")
+    return beside(metrics.summary_metrics(counts), metrics.mcc_multiclass(counts))
 
 
 def sweep(train: DataFrame, test: DataFrame, regs: Iterable[float] = (), pca: Iterable[int] = (),
@@ -227,8 +227,8 @@ def learning_curve(df: DataFrame, class_counts: Iterable[int], repeats: int = 3,
 
 def regression_gate(new_accuracy: DataFrame, baseline: DataFrame, drop: float = 2.0) -> DataFrame:
     """One row: holdout accuracy, baseline, change, and keep / reject. Without a baseline the new one is kept."""
-    one = lambda df, name: df.select(F.col(df.columns[0]).alias(name)).withColumn("__one", F.lit(1))
-    j = one(new_accuracy, "accuracy").join(one(baseline, "baseline"), "__one", "left").drop("__one")
+    named = lambda df, name: df.select(F.col(df.columns[0]).alias(name))
+    j = beside(named(new_accuracy, "accuracy"), named(baseline, "baseline"))
     change = F.col("accuracy") - F.col("baseline")
     verdict = F.when(change < -drop, "reject").otherwise("keep")
     return j.withColumn("change", change).withColumn("verdict", verdict)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.operators import exact
+from idmatch.operators.rows import beside
 
 # Guards and report bands.
 SD_FLOOR = 1e-10
@@ -66,12 +67,12 @@ def compat_check(train: DataFrame, test: DataFrame, label: str = "label", v: str
     """One row: dimensions of both sides and the number of test classes unseen in training."""
     sizes = lambda df, side: df.agg(
         F.min(F.size(v)).alias(f"{side}_min_dim"), F.max(F.size(v)).alias(f"{side}_max_dim")
-    ).withColumn("__one", F.lit(1))
+    )
     unseen = (
         test.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
-        .agg(F.count("*").alias("unseen_classes")).withColumn("__one", F.lit(1))
+        .agg(F.count("*").alias("unseen_classes"))
     )
-    report = sizes(train, "train").join(sizes(test, "test"), "__one").join(unseen, "__one").drop("__one")
+    report = beside(sizes(train, "train"), sizes(test, "test"), unseen)
     same = (
         (F.col("train_min_dim") == F.col("train_max_dim"))
         & (F.col("test_min_dim") == F.col("test_max_dim"))

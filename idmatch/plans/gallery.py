@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.operators import curves, reduce, scoring, vectorsets
+from idmatch.operators.rows import beside
 from idmatch.session import durable
 
 
@@ -57,8 +58,7 @@ def fit_gallery(train: DataFrame, calibration: DataFrame, pca_k: int = reduce.PC
     fitted.curve = calibrate(probes, templates, steps)
     best = curves.eer(fitted.curve)
     sizes = scoring.known_claims(probes, templates).agg(F.count("*").alias("genuine"))
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    fitted.threshold = one(best.select("threshold", "eer")).join(one(sizes), "__one").drop("__one")
+    fitted.threshold = beside(best.select("threshold", "eer"), sizes)
     return fitted
 
 
