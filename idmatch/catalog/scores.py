@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from idmatch.catalog import query
-from idmatch.catalog.common import (COS, EMB, PARTS, SCORES, cent, flagship, parts, probes, r6, rounded, s6, table,
+from idmatch.catalog.common import (COS, EMB, PARTS, SCORES, cent, parts, probes, r6, rounded, s6, table,
                                     vectors)
 from idmatch.functions import rules
 from idmatch.operators import curves, leakage, metrics, scoring, vectorsets

@@ -186,7 +186,7 @@ def activity_segments(df: DataFrame, cfg: Activity) -> DataFrame:
     """Kept segments [start, stop) in samples: (series_id, segment, start, stop).
 
     A series shorter than a frame, or without any segment, is kept whole. Frames, flags and islands are
-    each read more than once, so they are checkpointed instead of being derived again from the samples.
+    each read more than once, so they are written instead of being derived again from the samples.
     """
     flags = active_frames(durable(frames(df, cfg.frame, cfg.stride)), cfg)
     on = exact.with_previous(flags, "series_id", "frame", "active", "__p").withColumn(

@@ -2,7 +2,7 @@
 
 Rows stay partitioned as they are; every step meets them with the small centre table and reduces to one
 partial sum per (task, class, centre). No class is collected, whatever share of the rows it holds. The
-centre table is checkpointed after each step, so the plan does not grow and a lost executor costs one step.
+centre table is written after each step, so the plan does not grow and a lost executor costs one step.
 """
 
 from __future__ import annotations
