@@ -116,3 +116,17 @@ def classify(docs: DataFrame, labels: DataFrame, train: str = "true") -> DataFra
     known = typed(labels, doc_id="long", label="int").filter(train)
     model = fit(found.join(known, "doc_id"))
     return score(found, model).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train: str = "true") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the classifier takes for label 1. Texts are read twice, once to
+    fit and once to filter, and never shuffled."""
+    known = typed(labels, doc_id="long", label="int").filter(train)
+    model = fit(document_features(docs).join(known, "doc_id"))
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield part.filter(pa.array(model.score(features(texts)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

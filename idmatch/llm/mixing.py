@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idmatch.llm.words import typed
+from idmatch.llm.copies import keyed
 from idmatch.session import durable
 
 #: Words in a block.
@@ -71,7 +71,7 @@ def apportion(parties: DataFrame, within: list[str], name: list[Column], claim:
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 42, block: int = BLOCK,
                 shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): how many words the mix takes of each document.
+    """(doc_id, uid, source, size, source_size, target, taken): how many words the mix takes of each document.
 
     A source is cut into shards by a seeded digest of the document id, so a source of any size is spread. Blocks of equal
     word counts go to sources, then to the shards of a source, by highest quotients. In a shard, whose documents follow
@@ -79,8 +79,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
     by a seeded stride through the blocks. Documents without words (empty or null texts) take none. A document is taken
     at most ``MOST`` times over. Repeated rows each get a row; an empty table gives no rows.
     """
-    rows = typed(docs, doc_id="long", source="string", text="string")
-    sizes = durable(rows.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")))
+    rows = keyed(docs, carry=("source",))
+    sizes = durable(rows.select("doc_id", "uid", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")))
     targets = durable(source_targets(sizes, weights).withColumn("shards", F.least(
         F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")))
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
@@ -91,12 +91,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
     quotas = durable(known.join(quotas.select(F.col("s").alias("q"), "source_quota"), F.col("s").eqNullSafe(F.col("q")), "left").select(
         "s", "source_size", "target", "shards", F.coalesce("source_quota", F.lit(0)).cast("long").alias("source_quota")))
     tied = sizes.join(quotas, sizes.source.eqNullSafe(quotas.s))
-    placed = tied.select("doc_id", "source", "size", "source_size", "target", "source_quota",
+    placed = tied.select("doc_id", "uid", "source", "size", "source_size", "target", "source_quota",
                          (digest(F.lit(seed), F.col("doc_id")) % F.col("shards")).cast("int").alias("shard"))
     by_shard = placed.filter("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     shard_quota = apportion(by_shard, ["source"], [F.col("shard")], "shard_size", "source_quota").select(
         F.col("source").alias("s2"), F.col("shard").alias("h2"), "shard_size", "quota")
-    order = Window.partitionBy("source", "shard").orderBy(digest(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(digest(F.lit(seed + 1), F.col("doc_id")), "doc_id", "uid")
     ordered = placed.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = ordered.join(shard_quota, ordered.source.eqNullSafe(shard_quota.s2) & (ordered.shard == shard_quota.h2), "left")
     wanted, m = F.coalesce("quota", F.lit(0)) * block, F.ceil(F.col("shard_size") / block)
@@ -110,4 +110,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
         F.sequence(F.floor((F.col("upto") - F.col("size")) / block), F.floor((F.col("upto") - 1) / block)), F.lit(0).cast("long"),
         lambda acc, j: acc + F.when(chosen(j), overlap(j)).otherwise(F.lit(0)))
     taken = F.when((F.col("size") > 0) & F.col("m").isNotNull(), F.col("passes") * F.col("size") + F.when(F.col("extra") > 0, single).otherwise(F.lit(0))).otherwise(F.lit(0))
-    return counted.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return counted.select("doc_id", "uid", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idmatch.llm import chat, classifier, mixing, pages, rules
+import corpus_pipeline
+from idmatch.llm import chat, classifier, decontaminate, jaccard, mixing, pages, rules, substrings, suffixes
 from idmatch.llm.words import fold, schema, typed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffixes.suffix_dedup(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", (F.size("runs") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +66,23 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substrings.substring_dedup(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("covered").cast("long").alias("covered"), F.col("n_slots").cast("long").alias("n_slots"), "kind")
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf, "documents"), n=3, threshold="0.9")
+
+
 @query
 def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_main_text(table(spark, sf, "pages"))
@@ -69,3 +93,12 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     labels = typed(table(spark, sf, "labels"), doc_id="long", quality="int").withColumnRenamed("quality", "label").filter(fold(F.col("doc_id"), 3) != 1)
     found = classifier.classify(table(spark, sf, "documents"), labels)
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -166,16 +166,37 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def minimizers(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values that follow each other, the place of its least value (the first of equals)."""
+    """For each run of ``width`` values that follow each other, the place of its least value by the upper 40 bits (the
+    first of equals), so that equal runs choose the same place."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, reach = values.copy(), np.arange(len(values)), 1
+    if len(values) > 1 << 24:  # runs of places overlap by width - 1
+        step = (1 << 24) - width
+        return np.concatenate([minimizers(values[i : i + step + width - 1], width) + i for i in range(0, n, step)])
+    best, reach = (values & ~U64((1 << 24) - 1)) | np.arange(len(values), dtype=U64), 1
     while reach < width:
         step = min(reach, width - reach)
-        later, later_at = best[step:], at[step:]
-        take = later < best[:-step]
-        best = np.where(take, later, best[:-step])
-        at = np.where(take, later_at, at[:-step])
+        best = np.minimum(best[:-step], best[step:])
         reach += step
-    return at[:n]
+    return (best[:n] & U64((1 << 24) - 1)).astype(np.int64)
+
+
+def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k bytes that follow each other, k a power of two, by joining halves."""
+    h, size, base = data.astype(U64) + U64(1), 1, BASE
+    while size < k:
+        if len(h) <= size:
+            return np.zeros(0, U64)
+        h = h[:-size] * base + h[size:]
+        base *= base
+        size *= 2
+    return mix(h)
+
+
+def nested(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists of integers; null lists count as empty."""
+    lists = pc.fill_null(lists.cast(pa.large_list(lists.type.value_type)), pa.scalar([], pa.large_list(lists.type.value_type)))
+    offs = np.asarray(lists.offsets, dtype=np.int64)
+    values = np.asarray(lists.values)[offs[0] : offs[-1]] if len(lists) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(lists)), np.diff(offs)), values
