@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from idmatch.llm import chat, classifier, decontaminate, jaccard, mixing, pages, rules, substrings, suffixes
+from idmatch.llm import chat, classifier, decontaminate, jaccard, katz, mixing, pages, rules, substrings, suffixes
 from idmatch.llm.words import fold, schema, typed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf, "documents"), n=3, threshold="0.9")
 
 
+@query
+def op8_katz_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = typed(table(spark, sf, "documents"), doc_id="long", text="string").withColumn("held", fold(F.col("doc_id"), 5) == 1)
+    return katz.katz_scores(docs, held="held")
+
+
 @query
 def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_main_text(table(spark, sf, "pages"))
