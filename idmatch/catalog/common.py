@@ -86,4 +86,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
     train, test = parts(spark, sf)
     decided = login.verify_attempts(probes(test), vectorsets.class_centroids(train), F.lit(0.1))
-    return rounded(decided)
+    return rounded(decided.drop("reason"))

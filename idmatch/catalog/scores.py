@@ -19,7 +19,80 @@ def _sides(spark, sf):
  pred = label AND own >= 0.1 AS accepted FROM top2""")
 def verify_claim(spark, sf):
     p, g = _sides(spark, sf)
-    return rounded(login.verify_attempts(p, g, F.lit(0.1)))
+    return rounded(login.verify_attempts(p, g, F.lit(0.1)).drop("reason"))
+
+
+REASONS = """CASE WHEN s1 IS NULL THEN 'no finite score' WHEN claimed IS NULL THEN 'no claim' WHEN pred <> claimed THEN 'another class'
+ WHEN NOT coalesce(own, s1) >= 0.1 THEN 'below threshold' END AS reason"""
+
+
+@query(f"""WITH {SCORES} SELECT sample_id AS probe_id, label AS claimed, CASE WHEN ok THEN pred END AS pred, CASE WHEN ok THEN {s6('s1')} END AS s1,
+ CASE WHEN ok THEN {s6('coalesce(own, s1)')} END AS claimed_score, ok AND pred = label AND own >= 0.1 AS accepted, {REASONS.replace('s1 IS NULL', 'NOT ok').replace('claimed', 'label')}
+ FROM (SELECT t.sample_id, t.label, t.sample_id % 4 <> 0 AS ok, top2.* EXCLUDE (label) FROM test t JOIN top2 ON probe_id = sample_id)""")
+def verify_nonfinite(spark, sf):
+    """Every fourth attempt has a NaN, an infinity or a null in its vector, or a value too few: none may be accepted."""
+    p, g = _sides(spark, sf)
+    kind = F.col("probe_id") % 16
+    spoilt = (F.when(kind == 0, F.transform("v", lambda x, i: F.when(i == 3, float("nan")).otherwise(x))).when(kind == 4, F.transform("v", lambda x, i: F.when(i == 5, float("inf")).otherwise(x)))
+              .when(kind == 8, F.transform("v", lambda x, i: F.when(i != 7, x))).when(kind == 12, F.slice("v", 1, 63)).otherwise(F.col("v")))
+    return rounded(login.verify_attempts(p.withColumn("v", spoilt), g, F.lit(0.1)))
+
+
+@query(f"""WITH {SCORES}, t AS (SELECT probe_id, CASE WHEN probe_id % 3 > 0 THEN label END AS claimed, pred, s1, own FROM top2)
+SELECT probe_id, claimed, pred, {s6('s1')} AS s1, {s6('CASE WHEN claimed IS NULL THEN s1 ELSE coalesce(own, s1) END')} AS claimed_score,
+ coalesce(pred = claimed AND own >= 0.1, false) AS accepted, {REASONS} FROM t""")
+def verify_no_claim(spark, sf):
+    """Every third attempt claims no class: it is identified, not accepted."""
+    p, g = _sides(spark, sf)
+    return rounded(login.verify_attempts(p.withColumn("label", F.when(F.col("probe_id") % 3 > 0, F.col("label"))), g, F.lit(0.1)))
+
+
+TWO_CLAIMS = f"""WITH {SCORES}, c AS (SELECT probe_id, label, label AS claim FROM top2 UNION ALL SELECT probe_id, label, (label + 1) % 10 FROM top2)
+SELECT c.probe_id, c.claim AS label, t.pred, {s6('t.s1')} AS s1, t.class2, {s6('t.s2')} AS s2, {s6('r.score')} AS own, r.rank - 1 AS better
+FROM c JOIN top2 t USING (probe_id) LEFT JOIN rk r ON r.probe_id = c.probe_id AND r.class = c.claim"""
+
+
+def _two_claims(spark, sf, **options):
+    p, g = _sides(spark, sf)
+    both = p.unionByName(p.withColumn("label", (F.col("label") + 1) % 10))
+    return rounded(scoring.claimed_scores(both, g, **options))
+
+
+@query(TWO_CLAIMS)
+def two_claims(spark, sf):
+    return _two_claims(spark, sf)
+
+
+@query(TWO_CLAIMS)
+def two_claims_blocked(spark, sf):
+    """The same answer with the gallery sent block by block."""
+    return _two_claims(spark, sf, gallery_bytes=2048)
+
+
+MIXED = f"""WITH {PARTS}, {cent('train')}, g AS (SELECT class, CASE WHEN class % 3 = 0 THEN t[1:32] ELSE t END AS t FROM cent),
+q AS (SELECT sample_id AS probe_id, CASE WHEN sample_id % 2 = 0 THEN v[1:32] ELSE v END AS v FROM test),
+s AS (SELECT probe_id, class, {COS} AS score FROM q p JOIN g c ON len(p.v) = len(c.t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, class) AS rank FROM s)
+SELECT q.probe_id, a.class AS pred, {s6('a.score')} AS s1, b.class AS class2, {s6('b.score')} AS s2, {s6('a.score - b.score')} AS margin
+FROM q LEFT JOIN r a ON a.probe_id = q.probe_id AND a.rank = 1 LEFT JOIN r b ON b.probe_id = q.probe_id AND b.rank = 2"""
+
+
+def _mixed_widths(spark, sf, **options):
+    p, g = _sides(spark, sf)
+    g = g.withColumn("t", F.when(F.col("class") % 3 == 0, F.slice("t", 1, 32)).otherwise(F.col("t")))
+    p = p.withColumn("v", F.when(F.col("probe_id") % 2 == 0, F.slice("v", 1, 32)).otherwise(F.col("v")))
+    return rounded(scoring.top2_margin(p, g, **options))
+
+
+@query(MIXED)
+def mixed_widths(spark, sf):
+    """Templates of two widths: each probe is compared with those of its own."""
+    return _mixed_widths(spark, sf)
+
+
+@query(MIXED)
+def mixed_widths_blocked(spark, sf):
+    return _mixed_widths(spark, sf, gallery_bytes=2048)
 
 
 @query(f"WITH {SCORES} SELECT probe_id, class, {s6('score')} AS score FROM scores")
@@ -70,14 +143,14 @@ def claimed_rank_blocked(spark, sf):
 @query(f"WITH {SCORES} SELECT probe_id, class, {s6('score')} AS score, class = label AS genuine FROM scores")
 def genuine_impostor(spark, sf):
     p, g = _sides(spark, sf)
-    return rounded(scoring.genuine_impostor(scoring.score_all(p, g), p))
+    return rounded(scoring.labelled_scores(p, g))
 
 
 @query(f"""WITH {SCORES} SELECT CASE WHEN class = label THEN 'genuine' ELSE 'impostor' END AS kind, count(*) AS n, {s6('avg(score)')} AS mean_score,
  {s6('stddev_pop(score)')} AS sd_score FROM scores GROUP BY kind""")
 def score_separation(spark, sf):
     p, g = _sides(spark, sf)
-    return rounded(curves.score_separation(scoring.genuine_impostor(scoring.score_all(p, g), p)))
+    return rounded(curves.score_separation(scoring.labelled_scores(p, g)))
 
 
 # Curves over a labelled score table: document length as score, quality as truth.
@@ -152,6 +225,18 @@ def gallery_calibration(spark, sf):
     return curve.select("i", r6("threshold", 9).alias("threshold"), r6("far").alias("far"), r6("frr").alias("frr"))
 
 
+@query(f"""WITH {SCORES}, r AS (SELECT round(score, 6) AS score, class = label AS genuine FROM scores WHERE probe_id % 5 > 0),
+b AS (SELECT min(score) AS lo, max(score) AS hi, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS m FROM r)
+SELECT i, {s6('lo + (hi - lo) * i / 200.0', 9)} AS threshold, {s6('(SELECT count(*) FROM r WHERE NOT genuine AND score >= lo + (hi - lo) * i / 200.0) * 100.0 / m')} AS far,
+ {s6('(SELECT count(*) FROM r WHERE genuine AND score < lo + (hi - lo) * i / 200.0) * 100.0 / g')} AS frr FROM b, (SELECT unnest(range(201)) AS i)""")
+def calibrate_nonfinite(spark, sf):
+    """Every fifth probe is damaged: the curve is that of the others."""
+    p, g = _sides(spark, sf)
+    spoilt = F.transform("v", lambda x, i: F.when((F.col("probe_id") % 5 == 0) & (i == 1), F.when(F.col("probe_id") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(x))
+    curve = gallery.calibrate(p.withColumn("v", spoilt), g, 200, digits=6)
+    return curve.select("i", r6("threshold", 9).alias("threshold"), r6("far").alias("far"), r6("frr").alias("frr"))
+
+
 @query(f"""SELECT o_orderkey, {s6("""coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN least(greatest(o_totalprice / 10000.0 - 10, 0), 10) END,
  CASE WHEN o_orderpriority = '2-HIGH' THEN 0.7 END, CASE WHEN o_orderstatus = 'F' THEN 0.3 END, 0.5)""")} AS threshold FROM orders""")
 def resolve_threshold(spark, sf):

@@ -19,12 +19,21 @@ THRESHOLD_MAX = 10.0
 REJECTED = -1
 
 
+def finite(x: Column) -> Column:
+    """True for a number that is neither null, NaN nor infinite."""
+    return F.coalesce((~F.isnan(x)) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def accept_three_way(s1: Column, s2: Column) -> Column:
-    """Enough score, enough gap, weak runner-up; a sure score passes alone, score plus one of the rest passes."""
+    """Enough score, enough gap, weak runner-up; a sure score passes alone, score plus one of the rest passes.
+
+    A score that is not finite is not accepted; a runner-up that is not finite counts as none.
+    """
+    s2 = F.when(finite(s2), s2).otherwise(F.lit(float("-inf")))
     enough = s1 >= MIN_SCORE
     gap = (s1 - s2) >= MIN_GAP
     weak_second = s2 < s1 * MAX_SECOND_SHARE
-    return (s1 >= SURE_SCORE) | (enough & (gap | weak_second))
+    return finite(s1) & ((s1 >= SURE_SCORE) | (enough & (gap | weak_second)))
 
 
 def confidence(s1: Column, margin: Column, accepted: Column) -> Column:
@@ -44,20 +53,28 @@ def relative_margin(s1: Column, s2: Column) -> Column:
 
 
 def accept_relative(pred: Column, claimed: Column, s1: Column, s2: Column) -> Column:
-    return (pred == claimed) & (relative_margin(s1, s2) >= RELATIVE_MARGIN)
+    return (pred == claimed) & finite(s1) & finite(s2) & (relative_margin(s1, s2) >= RELATIVE_MARGIN)
 
 
 def reject_low_score(pred: Column, s1: Column, minimum: float) -> Column:
-    return F.when(s1 < minimum, F.lit(REJECTED)).otherwise(pred)
+    return F.when(~finite(s1) | (s1 < minimum), F.lit(REJECTED)).otherwise(pred)
 
 
 def reject_low_margin(pred: Column, margin: Column, minimum: float) -> Column:
-    return F.when(margin < minimum, F.lit(REJECTED)).otherwise(pred)
+    return F.when(~finite(margin) | (margin < minimum), F.lit(REJECTED)).otherwise(pred)
 
 
 def verify_claim(pred: Column, claimed: Column, claimed_score: Column, s1: Column, threshold: Column) -> Column:
-    """Accept iff the best class is the claim and its score reaches the threshold."""
-    return (pred != REJECTED) & (pred == claimed) & (F.coalesce(claimed_score, s1) >= threshold)
+    """Accept iff the best class is the claim and its score is finite and reaches the threshold."""
+    score = F.coalesce(claimed_score, s1)
+    return F.coalesce((pred != REJECTED) & (pred == claimed) & finite(score) & (score >= threshold), F.lit(False))
+
+
+def refusal(pred: Column, claimed: Column, claimed_score: Column, s1: Column, threshold: Column) -> Column:
+    """Why ``verify_claim`` does not accept, null where it does."""
+    score = F.coalesce(claimed_score, s1)
+    return (F.when(~finite(s1), "no finite score").when(claimed.isNull(), "no claim").when(pred != claimed, "another class")
+            .when(pred == REJECTED, "rejected").when(~finite(score) | ~(score >= threshold), "below threshold"))
 
 
 def collapse_flag(recall: Column, specificity: Column) -> Column:

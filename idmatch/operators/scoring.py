@@ -1,10 +1,13 @@
 """Probe x gallery scoring.
 
 Scores are block matrix products inside Arrow batches. A gallery whose size is counted and small goes to
-every task, so the probes are not shuffled at all. A larger gallery is cut into blocks; (probe bucket,
-gallery block) pairs form a grid whose cells are cogrouped, so no task ever holds the whole gallery or all
-probes. Top-k, score ranges and histograms are reduced inside the batch, so the pairs themselves leave a
-task only when the caller asks for every score.
+every task. A larger one is cut into blocks of whole classes, which go to the tasks one after the other; each
+pass reduces to a few numbers per probe, so the probes are never shuffled or copied, and the driver holds one
+block at a time. Top-k, score ranges and histograms are reduced inside the batch, so the pairs themselves
+leave a task only when the caller asks for every score.
+
+A score counts only if it is finite. A template is compared with the probes of its own width; a probe that has
+no finite score keeps its row, without a class.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from idmatch.functions.vectors import NORM_FLOOR
 from idmatch.session import durable
@@ -38,33 +41,46 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _by_width(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and their matrix for each width of a list column; null lists are in none, null values are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    width = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    return {int(w): (rows := np.flatnonzero(width == w), _matrix(column.take(pa.array(rows)))) for w in np.unique(width[width > 0])}
+
+
 class Gallery:
-    """Matrix form of one gallery block; several templates of a class are adjacent."""
-
-    def __init__(self, classes: np.ndarray, t: np.ndarray, b: np.ndarray, metric: str):
-        order = np.argsort(classes, kind="stable")
-        self.classes, self.first = np.unique(classes[order], return_index=True)
-        self.t = t[order]
-        self.b = b[order]
-        self.many = len(self.classes) < len(classes)
-        self.metric = metric
-        self.norms = np.sqrt(np.maximum((self.t**2).sum(axis=1), NORM_FLOOR))
-
-    @classmethod
-    def from_arrow(cls, table: pa.Table | pa.RecordBatch, metric: str) -> "Gallery":
-        return cls(table.column("class").to_numpy(), _matrix(table.column("t")),
-                   table.column("b").to_numpy(), metric)
-
-    def scores(self, probes: np.ndarray) -> np.ndarray:
-        """(probe, class) scores; the best template of a class counts."""
-        s = probes @ self.t.T
-        if self.metric == COSINE:
-            norms = np.sqrt(np.maximum((probes**2).sum(axis=1), NORM_FLOOR))
-            scale = norms[:, None] * self.norms[None, :]
-            s = np.where(scale > NORM_FLOOR, s / np.maximum(scale, NORM_FLOOR), -1.0)
-        else:
-            s = s + self.b[None, :]
-        return np.maximum.reduceat(s, self.first, axis=1) if self.many else s
+    """Matrix form of one gallery block: for each width its templates, those of a class side by side."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, metric: str):
+        classes, b = table.column("class").to_numpy(), table.column("b").to_numpy(zero_copy_only=False)
+        self.classes, self.metric, self.n = np.unique(classes), metric, len(classes)
+        self.widths = {}
+        for width, (rows, t) in _by_width(table.column("t")).items():
+            order = np.argsort(classes[rows], kind="stable")
+            own, first = np.unique(classes[rows][order], return_index=True)
+            self.widths[width] = (np.searchsorted(self.classes, own), first, t[order], b[rows][order])
+
+    def scores(self, probes: pa.Array) -> np.ndarray:
+        """(probe, class) scores; the best finite score of a class's templates counts, -inf stands for none."""
+        out = np.full((len(probes), len(self.classes)), -np.inf)
+        for width, (rows, x) in _by_width(probes).items():
+            if width not in self.widths:
+                continue
+            at, first, t, b = self.widths[width]
+            with np.errstate(all="ignore"):
+                s = x @ t.T
+                if self.metric == COSINE:
+                    norm = lambda m: np.sqrt(np.maximum((m**2).sum(axis=1), NORM_FLOOR))
+                    scale = norm(x)[:, None] * norm(t)[None, :]
+                    s = np.where(scale > NORM_FLOOR, s / np.maximum(scale, NORM_FLOOR), np.where(np.isnan(scale), np.nan, -1.0))
+                else:
+                    s = s + b[None, :]
+            s = np.where(np.isfinite(s), s, -np.inf)
+            if len(first) < len(t):
+                s = np.maximum.reduceat(s, first, axis=1)
+            out[np.ix_(rows, at)] = s
+        return out
 
 
 @dataclass(frozen=True)
@@ -73,28 +89,27 @@ class Enrolled:
 
     table: DataFrame
     n: int
-    d: int
+    values: int
 
     @property
     def bytes(self) -> int:
-        return self.n * self.d * 8
+        return self.values * 8
 
 
 def enrol(gallery: DataFrame | Enrolled) -> Enrolled:
     if isinstance(gallery, Enrolled):
         return gallery
     b = F.col("b").cast("double") if "b" in gallery.columns else F.lit(0.0)
-    table = durable(gallery.select(F.col("class").cast("long"), F.col("t").cast("array<double>"), b.alias("b")))
-    d = table.agg(F.max(F.size("t"))).first()[0] or 0
-    table = table.filter(F.size("t") == d)
-    return Enrolled(table, table.count(), d)
+    table = durable(gallery.select(F.col("class").cast("long"), F.col("t").cast("array<double>"), b.alias("b")).filter("class IS NOT NULL AND t IS NOT NULL"))
+    size = table.agg(F.count("*"), F.sum(F.size("t"))).first()
+    return Enrolled(table, size[0], size[1] or 0)
 
 
 Reduce = Callable[[pa.Table, np.ndarray, Gallery], pa.RecordBatch]
 
 
 def _steps(batch: pa.RecordBatch, gallery: Gallery) -> Iterator[pa.RecordBatch]:
-    rows = max(1, PAIRS_PER_STEP // max(1, len(gallery.t)))
+    rows = max(1, PAIRS_PER_STEP // max(1, gallery.n))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
@@ -103,66 +118,65 @@ def _score(
     probes: DataFrame, gallery: DataFrame | Enrolled, metric: str, schema: str, reduce: Reduce,
     gallery_bytes: int = GALLERY_BYTES,
 ) -> DataFrame:
-    """Apply ``reduce`` to every (probe batch, gallery block) score matrix.
-
-    ``probes`` has columns (probe_id, v, ...); rows whose dimension differs from the gallery's are dropped.
-    """
-    spark = probes.sparkSession
+    """Apply ``reduce`` to every (probe batch, gallery block) score matrix. ``probes`` has columns (v, ...)."""
     enrolled = enrol(gallery)
-    gallery, n, d = enrolled.table, enrolled.n, enrolled.d
-    probes = probes.withColumn("v", F.col("v").cast("array<double>")).filter(F.size("v") == d)
-    if n == 0:
-        return spark.createDataFrame([], schema)
+    probes = probes.withColumn("v", F.col("v").cast("array<double>"))
     if enrolled.bytes <= gallery_bytes:
-        shared = spark.sparkContext.broadcast(gallery.toArrow())
+        return _pass(probes, enrolled.table.toArrow(), metric, schema, reduce)[0]
+    probes = durable(probes)
+    blocks = math.ceil(enrolled.bytes / min(BLOCK_BYTES, gallery_bytes))
+    parts = []
+    for block in range(blocks):
+        one = enrolled.table.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block).toArrow()
+        if one.num_rows:
+            found, shared = _pass(probes, one, metric, schema, reduce)
+            parts.append(durable(found))
+            shared.destroy()
+    return union_all(parts)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Gallery.from_arrow(shared.value, metric)
-            for batch in batches:
-                for part in _steps(batch, block):
-                    yield reduce(part, block.scores(_matrix(part.column("v"))), block)
 
-        return probes.mapInArrow(run, schema)
+def _pass(probes: DataFrame, block: pa.Table, metric: str, schema: str, reduce: Reduce):
+    shared = probes.sparkSession.sparkContext.broadcast(block)
 
-    blocks = math.ceil(enrolled.bytes / min(BLOCK_BYTES, gallery_bytes))
-    cells = math.ceil(probes.count() * d * 8 / min(BLOCK_BYTES, gallery_bytes)) or 1
-    left = probes.withColumn("__p", F.pmod(F.xxhash64("probe_id"), F.lit(cells))).withColumn(
-        "__g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = gallery.withColumn("__g", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).withColumn(
-        "__p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gallery = Gallery(shared.value, metric)
+        for batch in batches:
+            for part in _steps(batch, gallery):
+                yield reduce(part, gallery.scores(part.column("v")), gallery)
 
-    target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema).fields])
+    return probes.mapInArrow(run, schema), shared
 
-    def pair(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        out: list[pa.RecordBatch] = []
-        if right_table.num_rows and left_table.num_rows:
-            block = Gallery.from_arrow(right_table, metric)
-            for batch in left_table.combine_chunks().to_batches():
-                for part in _steps(batch, block):
-                    out.append(reduce(part, block.scores(_matrix(part.column("v"))), block))
-        return pa.Table.from_batches(out, target) if out else target.empty_table()
 
-    return left.groupBy("__p", "__g").cogroup(right.groupBy("__p", "__g")).applyInArrow(pair, schema)
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_()}[kind]
+#: Stands for a missing claim inside a batch.
+NO_CLAIM = -(2**63)
 
 
 def _ids(part: pa.RecordBatch, name: str = "probe_id") -> np.ndarray:
-    return part.column(name).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return pc.fill_null(part.column(name).cast(pa.int64()), NO_CLAIM).to_numpy(zero_copy_only=False)
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k best classes of each row, ties by place; -inf where there is none."""
+    order = np.argsort(-s, axis=1, kind="stable")[:, : min(k, s.shape[1])]
+    found = np.take_along_axis(s, order, axis=1)
+    short = k - order.shape[1]
+    return np.pad(order, ((0, 0), (0, short))), np.pad(found, ((0, 0), (0, short)), constant_values=-np.inf)
 
 
 def score_all(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
-    """Every score: (probe_id, class, score)."""
+    """Every finite score: (probe_id, class, score)."""
 
     def everything(part, s, block):
-        ids = _ids(part)
+        row, at = np.nonzero(s > -np.inf)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, s.shape[1])), pa.array(np.tile(block.classes, len(ids))),
-             pa.array(s.reshape(-1))],
+            [part.column("probe_id").cast(pa.int64()).take(pa.array(row)), pa.array(block.classes[at]), pa.array(s[row, at])],
             ["probe_id", "class", "score"],
         )
 
@@ -170,16 +184,30 @@ def score_all(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = CO
                   "probe_id long, class long, score double", everything, **options)
 
 
-def score_topk(probes: DataFrame, gallery: DataFrame, k: int, metric: str = COSINE, **options) -> DataFrame:
+def labelled_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
+    """Every finite score with its kind, (probe_id, class, score, genuine), of probes whose own class is enrolled."""
+    gallery = enrol(gallery)
+
+    def everything(part, s, block):
+        row, at = np.nonzero(s > -np.inf)
+        genuine = block.classes[at] == _ids(part, "label")[row]
+        return pa.RecordBatch.from_arrays(
+            [part.column("probe_id").cast(pa.int64()).take(pa.array(row)), pa.array(block.classes[at]), pa.array(s[row, at]), pa.array(genuine)],
+            ["probe_id", "class", "score", "genuine"],
+        )
+
+    return _score(known_claims(probes, gallery), gallery, metric,
+                  "probe_id long, class long, score double, genuine boolean", everything, **options)
+
+
+def score_topk(probes: DataFrame, gallery: DataFrame | Enrolled, k: int, metric: str = COSINE, **options) -> DataFrame:
     """The k best classes per probe: (probe_id, class, score, rank); ties go to the smaller class."""
 
     def best(part, s, block):
-        ids = _ids(part)
-        keep = min(k, s.shape[1])
-        order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
+        at, found = _best(s, k)
+        row, column = np.nonzero(found > -np.inf)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, keep)), pa.array(block.classes[order].reshape(-1)),
-             pa.array(np.take_along_axis(s, order, axis=1).reshape(-1))],
+            [part.column("probe_id").cast(pa.int64()).take(pa.array(row)), pa.array(block.classes[at[row, column]]), pa.array(found[row, column])],
             ["probe_id", "class", "score"],
         )
 
@@ -190,8 +218,9 @@ def score_topk(probes: DataFrame, gallery: DataFrame, k: int, metric: str = COSI
 
 
 def top2_margin(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
-    """Best and second class per probe: (probe_id, pred, s1, class2, s2, margin)."""
-    return top2_of(score_topk(probes, gallery, 2, metric, **options))
+    """Best and second class of every probe: (probe_id, pred, s1, class2, s2, margin)."""
+    found = claimed_scores(probes.select("probe_id", "v", F.lit(None).cast("long").alias("label")), gallery, metric, **options)
+    return found.select("probe_id", "pred", "s1", "class2", "s2", (F.col("s1") - F.col("s2")).alias("margin"))
 
 
 def top2_of(scores: DataFrame) -> DataFrame:
@@ -209,85 +238,61 @@ def top2_of(scores: DataFrame) -> DataFrame:
 
 
 def claimed_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
-    """Best class plus the score and rank of the claimed class.
+    """Best classes of every row, plus the score and rank of the class it claims.
 
-    ``probes`` carries the claim in column ``label``. The rank counts better classes, so no score list is
-    ordered; a claim outside the gallery has null score and rank.
+    ``probes`` carries the claim in column ``label``; a probe may come with several claims, a null claim is none.
+    The rank counts better classes, so no score list is ordered. Without a finite score there is no best class;
+    without a finite score of the claimed class ``own`` and ``better`` are null.
     Output: (probe_id, label, pred, s1, class2, s2, own, better).
     """
-
-    def reduce(part, s, block):
-        ids, claim = _ids(part), _ids(part, "label")
-        rows = np.arange(len(ids))
-        at = np.searchsorted(block.classes, claim)
-        at_safe = np.minimum(at, len(block.classes) - 1)
-        known = block.classes[at_safe] == claim
-        own = s[rows, at_safe]
-        smaller = block.classes[None, :] < claim[:, None]
-        better = ((s > own[:, None]) | ((s == own[:, None]) & smaller)).sum(axis=1)
-        first = np.argmax(s, axis=1)
-        s1 = s[rows, first]
-        rest = s.copy()
-        rest[rows, first] = -np.inf
-        second = np.argmax(rest, axis=1)
-        has_second = s.shape[1] > 1
-        absent = np.full(len(ids), not has_second)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(claim), pa.array(block.classes[first]), pa.array(s1),
-             pa.array(block.classes[second], mask=absent), pa.array(rest[rows, second], mask=absent),
-             pa.array(own, mask=~known), pa.array(better, mask=~known)],
-            ["probe_id", "label", "pred", "s1", "class2", "s2", "own", "better"],
-        )
-
     gallery = enrol(gallery)
-    schema = ("probe_id long, label long, pred long, s1 double, class2 long, s2 double, own double, better long")
-    if gallery.bytes <= options.get("gallery_bytes", GALLERY_BYTES):
-        return _score(probes.select("probe_id", "label", "v"), gallery, metric, schema, reduce, **options)
-    return _claimed_from_blocks(probes, gallery, metric, **options)
-
+    rows = probes.select("probe_id", "label", "v").withColumn("row", F.monotonically_increasing_id())
+    schema = "row long, probe_id long, label long, pred long, s1 double, class2 long, s2 double, own double, better long"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-def _claimed_from_blocks(probes: DataFrame, gallery: Enrolled, metric: str, **options) -> DataFrame:
-    """Large galleries: own score first (an equi-join), then better-count and top-2 per block, merged."""
-    from idmatch.functions import vectors as V
+    def own_of(part, s, block):
+        claim = _ids(part, "label")
+        at = np.minimum(np.searchsorted(block.classes, claim), max(len(block.classes) - 1, 0))
+        known = block.classes[at] == claim if len(block.classes) else np.zeros(len(claim), bool)
+        own = np.where(known, s[np.arange(len(claim)), at], -np.inf) if len(block.classes) else np.full(len(claim), -np.inf)
+        return claim, own
 
-    keyed = gallery.table.withColumnRenamed("class", "label")
-    v = V.as_vector("v")
-    one = V.cosine(v, F.col("t")) if metric == COSINE else V.dot(v, F.col("t")) + F.col("b")
-    own = probes.join(keyed, "label").groupBy("probe_id").agg(F.max(one).alias("own"))
-    with_own = probes.join(own, "probe_id", "left").select(
-        "probe_id", "label", "v", F.coalesce("own", F.lit(float("nan"))).alias("own")
-    )
+    def better_than(own, claim, s, block):
+        smaller = block.classes[None, :] < claim[:, None]
+        other = block.classes[None, :] != claim[:, None]
+        return (((s > own[:, None]) | ((s == own[:, None]) & smaller)) & other).sum(axis=1)
 
     def reduce(part, s, block):
-        ids, claim = _ids(part), _ids(part, "label")
-        own_score = part.column("own").to_numpy(zero_copy_only=False)[:, None]
-        is_claim = block.classes[None, :] == claim[:, None]
-        smaller = block.classes[None, :] < claim[:, None]
-        better = (((s > own_score) | ((s == own_score) & smaller)) & ~is_claim).sum(axis=1)
-        keep = min(2, s.shape[1])
-        order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-        first = np.zeros((len(ids), keep), dtype=np.int64)
-        first[:, 0] = better
+        claim, own = own_of(part, s, block)
+        at, found = _best(s, 2)
+        one = lambda k: [pa.array(block.classes[at[:, k]] if len(block.classes) else at[:, k], mask=found[:, k] == -np.inf),
+                         pa.array(found[:, k], mask=found[:, k] == -np.inf)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, keep)), pa.array(block.classes[order].reshape(-1)),
-             pa.array(np.take_along_axis(s, order, axis=1).reshape(-1)), pa.array(first.reshape(-1))],
-            ["probe_id", "class", "score", "better"],
-        )
+            [part.column("row"), part.column("probe_id").cast(pa.int64()), part.column("label").cast(pa.int64()), *one(0), *one(1),
+             pa.array(own, mask=own == -np.inf), pa.array(better_than(own, claim, s, block), mask=own == -np.inf)], columns)
 
-    found = _score(with_own, gallery, metric, "probe_id long, class long, score double, better long", reduce,
-                   **options)
-    w = W.partitionBy("probe_id")
-    ranked = found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "class")))
-    at = lambda column, r: F.max(F.when(F.col("rank") == r, F.col(column)))
-    merged = ranked.groupBy("probe_id").agg(
-        at("class", 1).alias("pred"), at("score", 1).alias("s1"), at("class", 2).alias("class2"),
-        at("score", 2).alias("s2"), F.sum("better").alias("better"),
-    )
-    own_out = F.when(F.isnan("own"), None).otherwise(F.col("own"))
-    return with_own.join(merged, "probe_id").select(
-        "probe_id", F.col("label").cast("long"), "pred", "s1", "class2", "s2", own_out.alias("own"),
-        F.when(F.isnan("own"), None).otherwise(F.col("better")).alias("better"),
-    )
+    if gallery.bytes <= options.get("gallery_bytes", GALLERY_BYTES):
+        return _score(rows, gallery, metric, schema, reduce, **options).drop("row")
+    rows = durable(rows)
+    found = _score(rows, gallery, metric, schema, reduce, **options)
+    two = F.slice(F.sort_array(F.filter(F.flatten(F.collect_list(F.array(
+        F.struct((-F.col("s1")).alias("s"), F.col("pred").alias("c")), F.struct((-F.col("s2")).alias("s"), F.col("class2").alias("c"))))),
+        lambda x: x["c"].isNotNull())), 1, 2)
+    merged = found.groupBy("row").agg(two.alias("two"), F.max("own").alias("own"))
+    # the score that an own class of another block is compared with
+    asked = rows.join(merged, "row")
+
+    def count(part, s, block):
+        own = pc.fill_null(part.column("own"), np.nan).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(better_than(own, _ids(part, "label"), s, block))], ["row", "better"])
+
+    better = _score(asked.select("row", "label", "v", "own"), gallery, metric, "row long, better long", count, **options)
+    placed = asked.join(better.groupBy("row").agg(F.sum("better").alias("better")), "row")
+    best = lambda k: [F.get("two", F.lit(k))["c"], -F.get("two", F.lit(k))["s"]]
+    (c1, s1), (c2, s2) = best(0), best(1)
+    return placed.select(
+        F.col("probe_id").cast("long").alias("probe_id"), F.col("label").cast("long").alias("label"), c1.alias("pred"), s1.alias("s1"), c2.alias("class2"), s2.alias("s2"), "own",
+        F.when(F.col("own").isNotNull(), F.col("better")).alias("better"))
 
 
 def genuine_impostor(scores: DataFrame, probes: DataFrame) -> DataFrame:
@@ -306,18 +311,18 @@ def known_claims(probes: DataFrame, gallery: DataFrame | Enrolled) -> DataFrame:
 
 
 def score_range(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
-    """Lowest and highest score over all pairs, reduced inside each batch: (lo, hi)."""
+    """Lowest and highest finite score over all pairs, and how many pairs have none: (lo, hi, non_finite)."""
 
     gallery = enrol(gallery)
 
     def reduce(part, s, block):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s.min()], pa.float64()), pa.array([s.max()], pa.float64())], ["lo", "hi"]
-        )
+        real = s[s > -np.inf]
+        ends = [[real.min()], [real.max()]] if len(real) else [[None], [None]]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.float64()) for e in ends] + [pa.array([s.size - len(real)])], ["lo", "hi", "bad"])
 
-    parts = _score(known_claims(probes, gallery), gallery, metric, "lo double, hi double", reduce,
+    parts = _score(known_claims(probes, gallery), gallery, metric, "lo double, hi double, bad long", reduce,
                    **options)
-    return parts.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return parts.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.coalesce(F.sum("bad"), F.lit(0)).alias("non_finite"))
 
 
 def score_histogram(
@@ -326,7 +331,7 @@ def score_histogram(
 ) -> DataFrame:
     """Genuine and impostor counts per threshold step, (step, genuine, impostor), without emitting pairs.
 
-    Step i holds scores between threshold i and i+1 of ``lo + (hi - lo) * i / n``.
+    Step i holds finite scores between threshold i and i+1 of ``lo + (hi - lo) * i / n``.
     """
 
     gallery = enrol(gallery)
@@ -337,9 +342,9 @@ def score_histogram(
             s = np.round(s, digits)
         edges = lo + (hi - lo) * np.arange(n + 1) / n
         step = np.clip(np.searchsorted(edges, s, side="right") - 1, 0, n)
-        own = block.classes[None, :] == claim[:, None]
-        genuine = np.bincount(step[own], minlength=n + 1)
-        impostor = np.bincount(step[~own], minlength=n + 1)
+        own, real = block.classes[None, :] == claim[:, None], s > -np.inf
+        genuine = np.bincount(step[own & real], minlength=n + 1)
+        impostor = np.bincount(step[~own & real], minlength=n + 1)
         used = np.flatnonzero(genuine + impostor)
         return pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(genuine[used]), pa.array(impostor[used])], ["step", "genuine", "impostor"]
@@ -370,7 +375,8 @@ def duplicate_identity(
         .filter(F.col("__r") <= first_n).drop("__r")
     )
     votes = first.select("probe_id", batch).join(top2_margin(first, gallery, **options), "probe_id", "left")
-    sure = F.coalesce(F.col("margin"), F.lit(0.0)) >= margin
+    votes = votes.withColumn("pred", F.coalesce("pred", F.lit(-1)))
+    sure = F.coalesce(F.col("margin"), F.lit(0.0)) >= margin  # scores are finite, so is a margin
     per_class = votes.groupBy(batch, "pred").agg(F.count("*").alias("m"), F.count_if(sure).alias("votes"))
     best = F.max_by(F.struct("pred", "votes"), F.struct(F.col("votes"), -F.col("pred")))
     summed = per_class.groupBy(batch).agg(

@@ -64,7 +64,10 @@ def fit_gallery(train: DataFrame, calibration: DataFrame, pca_k: int = reduce.PC
 
 def calibrate(probes: DataFrame, templates: DataFrame | scoring.Enrolled, steps: int = curves.STEPS, metric: str = scoring.COSINE,
               digits: int | None = None) -> DataFrame:
-    """FAR / FRR curve of probes against a gallery without materialising a pair."""
+    """FAR / FRR curve of probes against a gallery without materialising a pair.
+
+    Only finite scores count, in the range as in the rates; ``scoring.score_range`` tells how many others there are.
+    """
     steps = max(steps, curves.MIN_STEPS)
     templates = scoring.enrol(templates)
     probes = durable(scoring.known_claims(probes, templates))  # read twice: range, then steps

@@ -12,13 +12,16 @@ from idmatch.operators import relations, scoring
 def verify_attempts(attempts: DataFrame, gallery: DataFrame, threshold: Column, metric: str = scoring.COSINE) -> DataFrame:
     """1:1 decisions. ``attempts`` holds (probe_id, label = claimed class, v).
 
-    Output: (probe_id, claimed, pred, s1, claimed_score, accepted).
+    Every attempt keeps its row: one without a claim is identified but not accepted, one without a finite score (a
+    damaged vector, a width that no template has, an empty gallery) has neither class nor score.
+    Output: (probe_id, claimed, pred, s1, claimed_score, accepted, reason).
     """
     best = scoring.claimed_scores(attempts, gallery, metric)
     claimed = F.coalesce(F.col("own"), F.col("s1"))
     accepted = rules.verify_claim(F.col("pred"), F.col("label"), F.col("own"), F.col("s1"), threshold)
+    reason = rules.refusal(F.col("pred"), F.col("label"), F.col("own"), F.col("s1"), threshold)
     return best.select("probe_id", F.col("label").alias("claimed"), "pred", "s1", claimed.alias("claimed_score"),
-                       accepted.alias("accepted"))
+                       accepted.alias("accepted"), reason.alias("reason"))
 
 
 def eligible_attempts(attempts: DataFrame, users: DataFrame, credentials: DataFrame, modality: str,
@@ -48,7 +51,7 @@ def accept_final(top2: DataFrame, claims: DataFrame, phrase_ok: DataFrame | None
     else:
         j = j.join(phrase_ok.select("probe_id", "phrase_match"), "probe_id", "left")
     by_score = rules.accept_three_way(F.col("s1"), F.coalesce(F.col("s2"), F.lit(float("-inf"))))
-    accepted = by_score & F.coalesce(F.col("phrase_match"), F.lit(True)) & (F.col("pred") == F.col("claimed"))
+    accepted = by_score & F.coalesce(F.col("phrase_match"), F.lit(True)) & F.coalesce(F.col("pred") == F.col("claimed"), F.lit(False))
     return j.withColumn("score_ok", by_score).withColumn("accepted", accepted).withColumn(
         "confidence", rules.confidence(F.col("s1"), F.col("margin"), by_score)
     )
