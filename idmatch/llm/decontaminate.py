@@ -29,9 +29,9 @@ def spaced(text: Column) -> Column:
 
 
 def templated(line: Column) -> Column:
-    """A spaced text as a template, with as many spaces: a capitalised word inside a sentence becomes a name, a number a
+    """A spaced text as a template, with as many spaces: a capitalised word (not all capitals) inside a sentence becomes a name, a number a
     number, a unit after a number a unit; other words lose punctuation and capitals (and may be empty then)."""
-    line = F.regexp_replace(line, r"(?<=[^\s.!?:] )\p{Lu}[\p{L}\p{M}'’-]*", NAME)
+    line = F.regexp_replace(line, r"(?<=[^\s.!?:] )\p{Lu}[\p{M}'’]*\p{Ll}[\p{L}\p{M}'’-]*", NAME)
     line = F.regexp_replace(line, r"(?<![\p{L}\p{N}])[+-]?\p{Nd}[\p{Nd}.,:/-]*", NUMBER)
     line = F.regexp_replace(line, f"(?<={NUMBER}[ %$-]?)(?:{'|'.join(UNITS.split())})(?![\\p{{L}}\\p{{N}}])", UNIT)
     return F.lower(F.regexp_replace(line, f"[^\\p{{L}}\\p{{M}}\\p{{N}} {NAME}{NUMBER}{UNIT}]+", ""))
