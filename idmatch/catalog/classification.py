@@ -136,6 +136,11 @@ def latency_stats(spark, sf):
     return out.select("event_type", "n", r6("mean_ms").alias("mean_ms"), r6("max_ms").alias("max_ms"), r6("total_ms", 3).alias("total_ms"))
 
 
+@query(f"SELECT event_type, {', '.join(s6(f'quantile_cont(value, {q / 100})') + f' AS p{q}_ms' for q in (50, 90, 95, 99))} FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return rounded(O.latency_percentiles(table(spark, sf, "events"), ["event_type"], "value"))
+
+
 @query(f"""WITH r AS (SELECT CAST(l_linenumber AS BIGINT) AS classes, l_quantity AS accuracy, l_discount * 100 AS f1, l_tax * 100 AS balanced, l_extendedprice / 1000 AS mcc FROM lineitem)
 SELECT classes, count(*) AS runs, {', '.join(f"{s6(f'avg({c})')} AS {c}_mean, {s6(f'stddev_samp({c})')} AS {c}_sd" for c in ('accuracy', 'f1', 'balanced', 'mcc'))} FROM r GROUP BY classes""")
 def learning_curve_summary(spark, sf):

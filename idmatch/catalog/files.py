@@ -6,6 +6,7 @@ from idmatch.catalog import query
 from idmatch.catalog.common import EMB, LONG, cent, r6, rounded, s6, table, vectors
 from idmatch.functions import vectors as V
 from idmatch.operators import curves, metrics, reduce, split, vectorsets
+from idmatch.operators.rows import beside
 from idmatch.session import scratch_path
 from idmatch.sources import folders, records, tables, text_files
 
@@ -25,6 +26,26 @@ def labeled_csv(spark, sf):
     return _sums(text_files.read_labeled_csv(spark, path))
 
 
+def _damaged_lines(spark, sf):
+    """Labelled lines as text: every tenth has a word among its numbers, every fifteenth a label that is none."""
+    path = scratch_path(spark, "damaged-csv")
+    rows = vectors(spark, sf)
+    value = F.transform("v", lambda x, i: F.when((F.col("sample_id") % 10 == 0) & (i == 2), F.lit("bad")).otherwise(x.cast("string")))
+    label = F.when(F.col("sample_id") % 15 == 0, F.lit("oops")).otherwise(F.col("label").cast("string"))
+    rows.select(F.concat_ws(";", value, label).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT CAST((vec_id % 10 = 0)::INT + (vec_id % 15 = 0)::INT AS BIGINT) AS bad_tokens, count(*) AS n FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 15 = 0 GROUP BY bad_tokens")
+def labeled_csv_rejects(spark, sf):
+    return text_files.labeled_csv_rejects(spark, _damaged_lines(spark, sf)).groupBy("bad_tokens").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EMB} {SUMS}".replace("FROM emb GROUP", "FROM emb WHERE sample_id % 10 > 0 AND sample_id % 15 > 0 GROUP"))
+def labeled_csv_lenient(spark, sf):
+    return _sums(text_files.read_labeled_csv(spark, _damaged_lines(spark, sf), strict=False))
+
+
 @query(f"WITH {EMB} SELECT CAST(len(v) AS BIGINT) + 1 AS d, count(*) AS n FROM emb GROUP BY d")
 def vector_csv(spark, sf):
     path = scratch_path(spark, "vector-csv")
@@ -132,24 +153,30 @@ def phase_log(spark, sf):
     return parsed.groupBy("fase").agg(F.count("*").alias("n"), r6(F.max("t")).alias("t"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT unnest(range(201)))")
+@query(f"""WITH t AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality = 1 AS genuine FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT min(score) AS lo, max(score) AS hi, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS m FROM t)
+SELECT {s6('lo + (hi - lo) * i / 200.0')} AS umbral, {s6('(SELECT count(*) FROM t WHERE NOT genuine AND score >= lo + (hi - lo) * i / 200.0) * 100.0 / m')} AS far,
+ {s6('(SELECT count(*) FROM t WHERE genuine AND score < lo + (hi - lo) * i / 200.0) * 100.0 / g')} AS frr FROM b, (SELECT unnest(range(201)) AS i)""")
 def curve_report(spark, sf):
     joined = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     truth = joined.select(F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("genuine"))
     path = scratch_path(spark, "curve")
     text_files.write_report(text_files.far_frr_report(curves.far_frr_curve(truth, 200)), path, ",")
     back = spark.read.schema("umbral double, FAR double, FRR double").csv(path, header=True)
-    return back.filter("umbral IS NOT NULL AND FAR BETWEEN 0 AND 100 AND FRR BETWEEN 0 AND 100").agg(F.count("*").alias("n"))
+    return rounded(back.select("umbral", F.col("FAR").alias("far"), F.col("FRR").alias("frr")))
 
 
-@query("""WITH m AS (SELECT l_returnflag AS real, l_linestatus AS pred, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT class, sum(r) AS support FROM (SELECT real AS class, n AS r FROM m UNION ALL SELECT pred, 0 FROM m) GROUP BY class)
-SELECT class AS "Clase", CAST(support AS BIGINT) AS "Soporte" FROM a""")
+@query(f"""WITH m AS (SELECT l_returnflag AS real, l_linestatus AS pred, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT DISTINCT real AS class FROM m UNION SELECT pred FROM m),
+k AS (SELECT class, coalesce((SELECT sum(n) FROM m WHERE real = class AND pred = class), 0) AS tp, coalesce((SELECT sum(n) FROM m WHERE real = class), 0) AS support,
+ coalesce((SELECT sum(n) FROM m WHERE pred = class), 0) AS said FROM c),
+f AS (SELECT *, CASE WHEN said > 0 THEN tp * 100.0 / said ELSE 0 END AS p, CASE WHEN support > 0 THEN tp * 100.0 / support ELSE 0 END AS r FROM k)
+SELECT class AS "Clase", {s6('p')} AS "Precision", {s6('r')} AS "Recall", {s6('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')} AS "F1", CAST(support AS BIGINT) AS "Soporte" FROM f""")
 def per_class_report(spark, sf):
     path = scratch_path(spark, "per-class")
     counts = metrics.confusion(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
     text_files.write_report(text_files.per_class_report(metrics.per_class_metrics(counts)), path)
-    back = spark.read.schema("Clase string, Precision double, Recall double, F1 double, Soporte long").csv(path, header=True, sep=";")
-    return back.select("Clase", "Soporte")
+    return rounded(spark.read.schema("Clase string, Precision double, Recall double, F1 double, Soporte long").csv(path, header=True, sep=";"))
 
 
 @query(f"WITH {EMB} {SUMS}")
@@ -170,16 +197,24 @@ def seed_phrases(spark, sf):
     return tables.phrase_rows(rows).select("id_texto", "frase", "estado_texto")
 
 
-@query(f"WITH {EMB} SELECT sample_id, {s6('v[1]')} AS f0, {s6('v[2]')} AS f1, {s6('v[3]')} AS f2 FROM emb")
+@query(f"WITH {EMB} SELECT sample_id, {', '.join(f'{s6(f"v[{i + 1}]")} AS f{i}' for i in range(64))} FROM emb")
 def feature_csv(spark, sf):
     path = scratch_path(spark, "features")
-    text_files.write_report(text_files.feature_csv(vectors(spark, sf), 3, ids=("sample_id",)), path, ",")
-    return rounded(spark.read.schema("sample_id long, f0 double, f1 double, f2 double").csv(path, header=True))
+    text_files.write_report(text_files.feature_csv(vectors(spark, sf), 64, ids=("sample_id",)), path, ",")
+    return rounded(spark.read.schema("sample_id long, " + ", ".join(f"f{i} double" for i in range(64))).csv(path, header=True))
+
+
+COVARIANCE = f"""{LONG}, m AS (SELECT dim, avg(x) AS m FROM long GROUP BY dim), z AS (SELECT sample_id, dim, x - m AS x FROM long JOIN m USING (dim)),
+cov AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / ((SELECT count(*) FROM emb) - 1) AS c FROM z a JOIN z b USING (sample_id) GROUP BY a.dim, b.dim)"""
 
 
-@query(f"WITH {EMB} SELECT count(*) AS components, 64::BIGINT AS d FROM (SELECT unnest(range(8)))")
+@query(f"""WITH {COVARIANCE} SELECT 64::BIGINT AS components, 64::BIGINT AS d, {s6('sum(c) FILTER (i = j)')} AS total, {s6('sum(c * c)')} AS squares,
+ (SELECT {s6('sum(m)')} FROM m) AS mean_total FROM cov""")
 def reduction_params(spark, sf):
+    """A full reduction stored and read back: its eigenvalues add up to the trace of the covariance, their squares to its norm."""
     path = scratch_path(spark, "pca")
-    tables.save_params(reduce.pca_fit(vectors(spark, sf), 8), path)
-    back = reduce.component_table(tables.load_params(spark, path))
-    return back.agg(F.count("*").alias("components"), F.max(F.size("c")).cast("long").alias("d"))
+    tables.save_params(reduce.pca_fit(vectors(spark, sf), 64), path)
+    model = tables.load_params(spark, path)
+    total = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x)
+    back = reduce.component_table(model).agg(F.count("*").alias("components"), F.max(F.size("c")).cast("long").alias("d"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+    return rounded(beside(back, model.select(total.alias("mean_total"))))

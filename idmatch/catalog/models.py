@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from idmatch.catalog import query
-from idmatch.catalog.common import EMB, parts, r6, rounded, s6, vectors
+from idmatch.catalog.common import EMB, LONG, parts, r6, rounded, s6, vectors
 from idmatch.catalog.quality import MODEL, _model
 from idmatch.functions import vectors as V
 from idmatch.operators import augment as A
@@ -23,6 +23,14 @@ def pca_project(spark, sf):
     return out.select("sample_id", r6(V.l2_norm(F.col("v"))).alias("norm"))
 
 
+@query(f"WITH {EMB}, {LONG.split(EMB + ', ')[1]}, m AS (SELECT dim, avg(x) AS m FROM long GROUP BY dim) SELECT sample_id, {s6('sqrt(sum((x - m) * (x - m)))')} AS norm FROM long JOIN m USING (dim) GROUP BY sample_id")
+def pca_project_full(spark, sf):
+    """On all components a vector keeps its distance from the mean."""
+    df = vectors(spark, sf)
+    out = reduce.project_vectors(df.select("sample_id", "v"), reduce.pca_fit(df, 64))
+    return out.select("sample_id", r6(V.l2_norm(F.col("v"))).alias("norm"))
+
+
 @query()
 def lda_fit(spark, sf):
     return rounded(reduce.component_table(reduce.lda_fit(vectors(spark, sf), 9)).drop("c"))

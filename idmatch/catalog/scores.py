@@ -323,6 +323,16 @@ def leakage_exact(spark, sf):
     return rounded(leakage.leakage_exact(leaky, test))
 
 
+@query(f"""WITH {PARTS} SELECT (SELECT count(*) FROM train) + count(*) FILTER (label < 6) AS train_n, count(*) AS test_n, count(*) FILTER (label < 3) AS leaked,
+ {s6('count(*) FILTER (label < 3) * 100.0 / count(*)')} AS pct, count(*) FILTER (label < 3) * 100.0 / count(*) < 1.0 AS disjoint FROM test""")
+def leakage_within_tolerance(spark, sf):
+    """Copies that differ by less than the tolerance, from the first value on, are found; those that differ by more are not."""
+    train, test = parts(spark, sf)
+    moved = lambda by: F.transform("v", lambda x, i: x + by * (i % 2 * 2 - 1))
+    leaky = train.unionByName(test.filter("label < 3").withColumn("v", moved(9e-10))).unionByName(test.filter("label BETWEEN 3 AND 5").withColumn("v", moved(1e-6)))
+    return rounded(leakage.leakage_exact(leaky, test))
+
+
 DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 

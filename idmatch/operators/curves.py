@@ -83,9 +83,16 @@ def curve_from_counts(counts: DataFrame, lo: Column, hi: Column, n: int, edge=_e
     )
 
 
-def _range(scores: DataFrame) -> tuple[Column, Column]:
-    pair = scores.filter(~F.isnan("score")).agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
-    return pair.getField("lo"), pair.getField("hi")
+def finite_scores(scores: DataFrame) -> DataFrame:
+    """The rows whose score is a finite number; no others count in a range or a rate."""
+    return scores.filter(F.coalesce(F.abs("score") < float("inf"), F.lit(False)) & ~F.isnan("score"))
+
+
+def _range(scores: DataFrame) -> tuple[Column, Column, DataFrame]:
+    """Least and largest finite score as literals (one pass), and the finite rows."""
+    real = finite_scores(scores)
+    lo, hi = real.agg(F.min("score").cast("double"), F.max("score").cast("double")).first()
+    return F.lit(lo if lo is not None else 0.0), F.lit(hi if hi is not None else 0.0), real
 
 
 def far_frr_curve(scores: DataFrame, n: int = STEPS) -> DataFrame:
@@ -95,7 +102,7 @@ def far_frr_curve(scores: DataFrame, n: int = STEPS) -> DataFrame:
     turns that into the sentinel.
     """
     n = _steps(max(n, MIN_STEPS))
-    lo, hi = _range(scores)
+    lo, hi, scores = _range(scores)
     return curve_from_counts(place_scores(scores, lo, hi, n), lo, hi, n).filter(hi > lo)
 
 
@@ -122,7 +129,7 @@ def threshold_at_far(curve: DataFrame, targets: tuple[float, ...] = FAR_TARGETS)
 def roc_points(scores: DataFrame, n: int = STEPS) -> DataFrame:
     """n thresholds over the range widened by 5 % on each side: (i, threshold, tpr, fpr, far, frr), percent."""
     n = _steps(n)
-    raw_lo, raw_hi = _range(scores)
+    raw_lo, raw_hi, scores = _range(scores)
     margin = (raw_hi - raw_lo) * ROC_WIDEN
     lo, hi = raw_lo - margin, raw_hi + margin
     counts = place_scores(scores, lo, hi, n - 1, _strided)
@@ -131,8 +138,8 @@ def roc_points(scores: DataFrame, n: int = STEPS) -> DataFrame:
                         F.col("far").alias("fpr"), "far", "frr")
 
 
-def roc_auc(points: DataFrame) -> DataFrame:
-    """One row: (auc, eer, threshold_eer); trapezoids over the points in rising FPR.
+def _roc_summary(points: DataFrame) -> DataFrame:
+    """One row: (auc, eer, threshold_eer, b: the point of least |FAR - FRR|); trapezoids over the points in rising FPR.
 
     FPR and TPR both fall as the threshold rises, so descending threshold order is rising FPR order.
     """
@@ -142,10 +149,15 @@ def roc_auc(points: DataFrame) -> DataFrame:
     gap = F.abs(F.col("far") - F.col("frr"))
     best = F.min_by(F.struct("threshold", "far", "frr"), F.struct(gap, -F.col("i"))).alias("b")
     return points.withColumn("area", base * height).agg(F.sum("area").alias("auc"), best).select(
-        "auc", ((F.col("b.far") + F.col("b.frr")) / 2.0).alias("eer"), F.col("b.threshold").alias("threshold_eer")
+        "auc", ((F.col("b.far") + F.col("b.frr")) / 2.0).alias("eer"), F.col("b.threshold").alias("threshold_eer"), "b"
     )
 
 
+def roc_auc(points: DataFrame) -> DataFrame:
+    """One row: (auc, eer, threshold_eer)."""
+    return _roc_summary(points).drop("b")
+
+
 def _grade(value: Column, bands, below: bool, last: str) -> Column:
     out = None
     for limit, name in bands:
@@ -156,15 +168,15 @@ def _grade(value: Column, bands, below: bool, last: str) -> Column:
 
 def biometric_summary(scores: DataFrame, n: int = STEPS) -> DataFrame:
     """EER, AUC, the confusion counts at the EER threshold, and quality grades."""
-    summary = roc_auc(roc_points(scores, n))
-    at = summary.select("threshold_eer").scalar()
-    hit = F.col("score") >= at
-    counts = scores.agg(
-        F.count_if(hit & F.col("genuine")).alias("tp"), F.count_if(~hit & ~F.col("genuine")).alias("tn"),
-        F.count_if(hit & ~F.col("genuine")).alias("fp"), F.count_if(~hit & F.col("genuine")).alias("fn"),
-    )
+    summary = _roc_summary(roc_points(scores, n))
+    sizes = finite_scores(scores).agg(F.count_if("genuine").alias("g"), F.count_if(~F.col("genuine")).alias("m"))
+    # the curve's rates are counts over these sizes, so the counts come back exactly
+    share = lambda rate, of: F.round(F.col(rate) * F.col(of) / 100.0).cast("long")
+    counted = beside(summary, sizes).withColumns({"fp": share("b.far", "m"), "fn": share("b.frr", "g")})
+    counts = counted.withColumns({"tp": F.col("g") - F.col("fn"), "tn": F.col("m") - F.col("fp")}).select(
+        "auc", "eer", "threshold_eer", "tp", "tn", "fp", "fn")
     return (
-        beside(summary, counts).withColumn("far", F.col("fp") * 100.0 / (F.col("fp") + F.col("tn")))
+        counts.withColumn("far", F.col("fp") * 100.0 / (F.col("fp") + F.col("tn")))
         .withColumn("frr", F.col("fn") * 100.0 / (F.col("tp") + F.col("fn")))
         .withColumn("eer_grade", _grade(F.col("eer"), EER_GRADES, True, "poor"))
         .withColumn("auc_grade", _grade(F.col("auc"), AUC_GRADES, False, "low"))

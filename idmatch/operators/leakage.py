@@ -24,8 +24,7 @@ from idmatch.operators import exact
 from idmatch.operators.rows import beside
 from idmatch.operators.scoring import _matrix
 
-# Prefix length, tolerances and verdict levels.
-PREFIX = 20
+# Tolerances and verdict levels.
 SAME_TOLERANCE = 1e-9
 LEAK_PERCENT = 1.0
 NEAR = 0.01
@@ -42,20 +41,21 @@ def _copies(df: DataFrame, v: str) -> DataFrame:
 
 
 def exact_leaks(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
-    """Distinct test vectors that equal a train vector within the tolerance: (v, m).
+    """Distinct test vectors that equal a train vector within the tolerance in every value: (v, m).
 
-    Candidates share the first values exactly and lie in the same or a neighbouring cell of their sum, so a
-    prefix shared by many vectors (all zeros, say) is still split.
+    Two such vectors lie in the same or neighbouring cells of two projections, the sum and the alternating sum of the
+    values, each at most size * tolerance apart; so no pair is missed, and vectors that agree in one are still split.
     """
     a, b = _copies(test, v), _copies(train, v).drop("m")
     width = F.size("v") * (2 * SAME_TOLERANCE) + SAME_TOLERANCE
-    cell = F.floor(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / width)
-    prefix = F.xxhash64(F.size("v"), F.slice("v", 1, PREFIX))
-    left = a.select("v", "m", prefix.alias("p"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = b.select(F.col("v").alias("w"), prefix.alias("p"), cell.alias("cell"))
+    cell = lambda values: F.floor(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / width)
+    even = cell("v")
+    odd = cell(F.transform("v", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)))
+    near = F.array(*[F.xxhash64(F.size("v"), F.col("even") + i, F.col("odd") + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = a.withColumns({"even": even, "odd": odd}).select("v", "m", F.explode(near).alias("cell"))
+    right = b.select(F.col("v").alias("w"), F.xxhash64(F.size("v"), even, odd).alias("cell"))
     same = F.forall(F.zip_with("v", "w", lambda x, y: F.abs(x - y) <= SAME_TOLERANCE), lambda ok: ok)
-    prefix_same = F.slice("v", 1, PREFIX) == F.slice("w", 1, PREFIX)
-    hits = left.join(right, ["p", "cell"]).filter((F.size("v") == F.size("w")) & prefix_same & same)
+    hits = left.join(right, "cell").filter((F.size("v") == F.size("w")) & same)
     return hits.select("v", "m").distinct()
 
 

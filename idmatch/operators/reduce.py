@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,15 @@ from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.operators.scoring import _matrix
+from idmatch.session import durable
 
 # Fixed values.
 PCA_COMPONENTS = 120
 LDA_RIDGE = 0.001
-MAX_DIMS = 1000
+#: The d x d problem is solved on the driver: 200 MB a matrix at this size.
+MAX_DIMS = 5000
+#: Bytes of scatter matrices that all tasks together send, about.
+SCATTER_BYTES = 4 << 30
 
 MODEL_SCHEMA = "mean array<double>, components array<array<double>>, values array<double>"
 
@@ -42,39 +45,49 @@ def vector_mean(df: DataFrame, v: str = "v") -> np.ndarray:
 def scatter(df: DataFrame, centre: np.ndarray, v: str = "v", weight: str | None = None) -> np.ndarray:
     """Sum of weight * (x - centre)(x - centre)' over all rows.
 
-    Each task adds up one d x d matrix; its rows are then summed by row number, so the merge is spread over
-    d keys and the driver receives d rows in all.
+    Each task adds up one matrix and sends its upper triangle row by row; rows are summed by number, so the merge is
+    spread over d keys and the driver receives d rows in all. Wide vectors are read by fewer tasks, so that what they
+    send stays near ``SCATTER_BYTES`` whatever the number of rows. Rows of another width are left out.
     """
     d = len(centre)
-    rows = df.select(V.as_vector(v).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = df.select(V.as_vector(v).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter(F.size("v") == d)
+    if d > 512:
+        rows = rows.coalesce(max(8, SCATTER_BYTES // (4 * d * d)))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            x = _matrix(batch.column("v")) - centre if batch.num_rows else np.zeros((0, d))
-            total += (x * batch.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ x
-        row = pa.ListArray.from_arrays(pa.array(np.arange(0, d * d + 1, d), pa.int32()), pa.array(total.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int64()), row], ["i", "row"])
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                x = _matrix(part.column("v")) - centre
+                total += (x * part.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ x
+        upper = total[np.triu_indices(d)]
+        ends = np.concatenate([[0], np.cumsum(np.arange(d, 0, -1))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(upper))], ["i", "row"])
 
     merged = rows.mapInArrow(partial, "i long, row array<double>").groupBy("i").agg(
         vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")
     )
     out = np.zeros((d, d))
-    for r in merged.collect():
-        out[r["i"]] = r["row"]
-    return out
+    for batch in merged.toArrow().to_batches():
+        for i, row in zip(batch.column("i").to_pylist(), batch.column("row"), strict=True):
+            out[i, i:] = row.values.to_numpy(zero_copy_only=False)
+    return out + np.triu(out, 1).T
 
 
 def pca_fit(df: DataFrame, k: int = PCA_COMPONENTS, v: str = "v") -> DataFrame:
-    """One-row model (mean, components, eigenvalues); k is bounded by the dimension."""
+    """One-row model (mean, components, eigenvalues of the sample covariance); k is bounded by the dimension.
+
+    A component's sign makes its largest value positive.
+    """
     d = _bounded_dims(df, v)
     k = min(k, d)
-    rows = df.select(array_to_vector(V.as_vector(v)).alias("features"))
-    stats = rows.agg(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).first()["s"]
-    fitted = PCA(k=k, inputCol="features", outputCol="p").fit(rows)
-    total = float(np.sum(stats["variance"].toArray()))
-    values = fitted.explainedVariance.toArray() * total
-    return _model(df.sparkSession, stats["mean"].toArray(), fitted.pc.toArray().T, values)
+    mean = vector_mean(df.filter(F.size(v) == d), v)
+    n = df.filter(F.size(v) == d).count()
+    values, vectors = np.linalg.eigh(scatter(df, mean, v) / max(n - 1, 1))
+    order = np.argsort(-values, kind="stable")[:k]
+    components = vectors[:, order].T
+    signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])
+    return _model(df.sparkSession, mean, components * signs[:, None], values[order])
 
 
 def lda_fit(df: DataFrame, k: int, label: str = "label", v: str = "v") -> DataFrame:
@@ -83,14 +96,16 @@ def lda_fit(df: DataFrame, k: int, label: str = "label", v: str = "v") -> DataFr
     Within-scatter is total minus between scatter, so the rows are read once and never joined to class means.
     """
     d = _bounded_dims(df, v)
+    df = durable(df.select(F.col(label).alias(label), V.as_vector(v).alias(v)).filter(F.size(v) == d))
     mean = vector_mean(df, v)
     groups = df.groupBy(label).agg(
         Summarizer.metrics("mean", "count").summary(array_to_vector(V.as_vector(v))).alias("s")
     ).select(vector_to_array("s.mean").alias("v"), F.col("s.count").alias("n"))
+    groups = durable(groups)
     between = scatter(groups, mean, "v", "n")
     within = scatter(df, mean, v) - between
     within += np.eye(d) * (LDA_RIDGE * np.trace(within) / d)
-    classes = df.select(label).distinct().count()
+    classes = groups.count()
     k = max(1, min(k, classes - 1, d))
     root = np.linalg.cholesky(within)
     half = np.linalg.solve(root, np.linalg.solve(root, between).T)
@@ -110,8 +125,10 @@ def project_vectors(df: DataFrame, model: DataFrame, v: str = "v") -> DataFrame:
     rows = df.withColumn(v, V.as_vector(v)).filter(F.size(v) == len(mean))
     at = rows.columns.index(v)
     k = len(components)
+    shared = df.sparkSession.sparkContext.broadcast((mean, components))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, components = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue

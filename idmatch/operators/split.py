@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from idmatch.operators import exact
+from idmatch.operators.rows import beside
 
 # Split sizes and ratios.
 TEST_PER_CLASS = 2
@@ -60,17 +63,36 @@ def fixed_holdout(df: DataFrame, ratio: float = HOLDOUT_RATIO, key: str = "sampl
 
 
 def ensure_holdout(df: DataFrame, path: str, ratio: float = HOLDOUT_RATIO, key: str = "sample_id",
-                   seed: int = 42) -> DataFrame:
-    """The stored holdout at ``path``; written on first use and reused afterwards."""
+                   seed: int = 42, v: str = "v") -> DataFrame:
+    """The stored holdout at ``path``; written on first use and reused afterwards.
+
+    Beside the rows lies one row of metadata (seed, ratio, total rows, holdout size, dims), written last. A holdout
+    without it, or with another number of rows than it says, is half-written or damaged and is made anew.
+    """
     spark = df.sparkSession
     stored = f"{path.rstrip('/')}/seed={seed}"
+    facts = f"{path.rstrip('/')}/facts-seed={seed}"
+    known = _stored(spark, facts)
+    rows = _stored(spark, stored, df.schema) if known is not None else None
+    if rows is None or known.first()["size"] != rows.count():
+        fixed_holdout(df, ratio, key, seed).filter("holdout").drop("holdout").write.mode("overwrite").parquet(stored)
+        rows = spark.read.schema(df.schema).parquet(stored)
+        dims = F.max(F.size(v)).cast("long") if v in df.columns else F.lit(None).cast("long")
+        total = df.agg(F.count("*").alias("total"), dims.alias("dims"))
+        beside(total, rows.agg(F.count("*").alias("size"))).select(
+            F.lit(seed).cast("long").alias("seed"), F.lit(float(ratio)).alias("ratio"), "total", "size", "dims").write.mode("overwrite").parquet(facts)
+    return rows
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table at a path, None where nothing is."""
     try:
-        return spark.read.schema(df.schema).parquet(stored)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    fixed_holdout(df, ratio, key, seed).filter("holdout").drop("holdout").write.parquet(stored)
-    return spark.read.schema(df.schema).parquet(stored)
+        found = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        return None if found.isEmpty() and schema is None else found
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def cap_per_class(

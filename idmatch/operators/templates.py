@@ -31,7 +31,7 @@ def k_templates(df: DataFrame, k: int, key: str = "sample_id", label: str = "lab
                 iterations: int = ITERATIONS) -> DataFrame:
     """(class, k, t, norm): unit centres; seeds are the first row, then the row least like any centre so far."""
     rows = df.select(F.col(label).alias("class"), F.col(key).alias("id"), V.as_vector(v).alias("v"))
-    rows = rows.withColumn("norm", V.l2_norm(F.col("v")))
+    rows = durable(rows.withColumn("norm", V.l2_norm(F.col("v"))))  # read in every round
     unit = lambda c: V.l2_normalize(c)
     seed = rows.groupBy("class").agg(F.min_by("v", "id").alias("t"))
     centres = durable(seed.select("class", F.lit(0).alias("k"), unit(F.col("t")).alias("t")))

@@ -41,13 +41,13 @@ def fit_gallery(train: DataFrame, calibration: DataFrame, pca_k: int = reduce.PC
     The calibration counts are reduced inside the scoring tasks: two passes over the probes (range, then
     steps), no score table.
     """
-    train = train.withColumn(v, V.as_vector(v))
+    train = durable(train.withColumn(v, V.as_vector(v)))
     z = vectorsets.zscore_fit(train, v)
     z_rows = z.first()
     z = train.sparkSession.createDataFrame([z_rows], z.schema)
-    scaled = vectorsets.zscore_transform(train, z, v)
+    scaled = durable(vectorsets.zscore_transform(train.select(key, label, v), z, v))
     pca = reduce.pca_fit(scaled, pca_k, v)
-    reduced = unit(reduce.project_vectors(scaled, pca, v), v)
+    reduced = durable(unit(reduce.project_vectors(scaled, pca, v), v))
     lda = reduce.lda_fit(reduced, lda_k, label, v)
     final = unit(reduce.project_vectors(reduced, lda, v), v)
     templates = durable(vectorsets.class_centroids(final, label, v))

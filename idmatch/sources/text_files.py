@@ -22,16 +22,42 @@ def _numbers(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.trim(t).try_cast("double"))
 
 
-def read_labeled_csv(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
-    """(label, v): label last and truncated; lines with fewer than two values are dropped."""
-    lines = spark.read.text(path).select(_numbers(_tokens(delimiter)).alias("x")).filter(F.size("x") >= 2)
-    return lines.select(
+def _parsed(spark: SparkSession, path: str, delimiter: str, least: int, label: bool) -> DataFrame:
+    """(value, x, bad): each line, its numbers, and whether one of its tokens is no number or its label no integer."""
+    lines = spark.read.text(path).select("value", _numbers(_tokens(delimiter)).alias("x")).filter(F.size("x") >= least)
+    bad = F.exists("x", lambda n: n.isNull())
+    if label:
+        last = F.element_at("x", -1)
+        bad = bad | F.isnan(last) | (F.abs(last) >= 2.0**31)
+    return lines.withColumn("bad", F.coalesce(bad, F.lit(True)))
+
+
+def _strict(lines: DataFrame) -> DataFrame:
+    """Lines without bad tokens; a bad one ends the job, naming the line."""
+    return lines.withColumn("x", F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad value in line: "), "value"))).otherwise(F.col("x")))
+
+
+def read_labeled_csv(spark: SparkSession, path: str, delimiter: str = DELIMITER, strict: bool = True) -> DataFrame:
+    """(label, v): label last and truncated; lines with fewer than two values are dropped.
+
+    A token that is no number ends the job; with ``strict=False`` its line is left out, see :func:`labeled_csv_rejects`.
+    """
+    lines = _parsed(spark, path, delimiter, 2, True)
+    return (_strict(lines) if strict else lines.filter("NOT bad")).select(
         F.element_at("x", -1).cast("int").alias("label"), F.slice("x", F.lit(1), F.size("x") - 1).alias("v")
     )
 
 
-def read_vector_csv(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
-    return spark.read.text(path).select(_numbers(_tokens(delimiter)).alias("v")).filter(F.size("v") >= 1)
+def labeled_csv_rejects(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
+    """(line, bad_tokens): the lines that a lenient reading leaves out."""
+    return _parsed(spark, path, delimiter, 2, True).filter("bad").select(
+        F.col("value").alias("line"), F.size(F.filter("x", lambda n: n.isNull())).cast("long").alias("bad_tokens"))
+
+
+def read_vector_csv(spark: SparkSession, path: str, delimiter: str = DELIMITER, strict: bool = True) -> DataFrame:
+    """(v) of each line with at least one value; bad tokens as in :func:`read_labeled_csv`."""
+    lines = _parsed(spark, path, delimiter, 1, False)
+    return (_strict(lines) if strict else lines.filter("NOT bad")).select(F.col("x").alias("v"))
 
 
 def _joined(delimiter: str, *parts: Column) -> Column:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from idmatch.operators import exact, relations
+from idmatch.operators import exact, relations, scoring
 from idmatch.plans import login
 from idmatch.sources.tables import encode_bytes
 
@@ -97,8 +98,8 @@ def read_mark(spark: SparkSession, path: str):
     """Latest stored mark, or None before the first pull."""
     try:
         return spark.read.parquet(path).agg(F.max("mark")).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
@@ -108,21 +109,32 @@ def delta_stream(changes: DataFrame, out: str) -> DataStreamWriter:
     return changes.writeStream.foreachBatch(lambda batch, i: write_batch(batch, out, i))
 
 
-def score_stream(attempts: DataFrame, gallery: DataFrame, threshold: float, audit: str) -> DataStreamWriter:
-    """Attempts (probe_id, label, v) against a fixed gallery; decisions are written in audit layout."""
+def score_stream(attempts: DataFrame, gallery: DataFrame | scoring.Enrolled, threshold: float, audit: str) -> DataStreamWriter:
+    """Attempts (probe_id, label, v, and id_credencial or ts where there are any) against a fixed gallery.
+
+    The gallery is enrolled once, before the stream starts. Decisions are written in audit layout, with the attempt's
+    time or else that of its micro-batch; attempts without a usable vector or claim are written as failures.
+    """
+    enrolled = scoring.enrol(gallery)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        decisions = login.verify_attempts(batch, gallery, F.lit(threshold))
+        decisions = login.verify_attempts(batch, enrolled, F.lit(threshold))
+        extra = [c for c in ("id_credencial", "ts") if c in batch.columns]
+        if extra:
+            decisions = decisions.join(batch.select("probe_id", F.col("label").alias("claimed"), *extra).dropDuplicates(["probe_id", "claimed"]),
+                                       ["probe_id", "claimed"], "left")
         write_batch(audit_of(decisions), audit, batch_id)
 
     return attempts.writeStream.foreachBatch(decide)
 
 
 def audit_of(decisions: DataFrame, modality: str = "oreja") -> DataFrame:
+    credential = F.col("id_credencial") if "id_credencial" in decisions.columns else F.col("probe_id")
+    at = F.coalesce(F.col("ts").cast("timestamp"), F.current_timestamp()) if "ts" in decisions.columns else F.current_timestamp()
     named = decisions.select(
-        F.col("probe_id").alias("id_credencial"), F.col("claimed").alias("id_usuario"),
+        credential.alias("id_credencial"), F.col("claimed").alias("id_usuario"),
         F.lit(modality).alias("tipo_biometria"), F.when(F.col("accepted"), "exito").otherwise("fallo").alias("resultado"),
-        F.col("claimed_score").alias("confianza"),
+        F.col("claimed_score").alias("confianza"), at.alias("timestamp"),
     )
     return relations.audit_rows(named)
 
