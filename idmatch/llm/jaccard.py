@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from idmatch.llm.components import components
 from idmatch.llm.copies import LAST, keyed
-from idmatch.llm.words import U64, Texts, mix, schema, slices, window_hashes, word_hashes, words
+from idmatch.llm.packed import answered, dealt, pack, record, shared_keys, shift_for, slabs, texts_of, unpack
+from idmatch.llm.words import U64, Texts, mix, schema, window_hashes, word_hashes, words
 from idmatch.session import durable
 
 #: Counters of the frequency sketch, which is sent to every task: 2 MB whatever the input.
 COUNTERS = 1 << 18
+#: Bits of a shingle's hash in a test of one pair.
+BITS = 48
 #: Parts of a set whose sizes bound an overlap.
 PARTS = 8
 FULL = (1 << 15) - 1
@@ -43,67 +46,89 @@ def sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, U64), np.array(begin)
 
 
-def _digest_rows(rows: DataFrame, n: int) -> DataFrame:
-    """(doc_id, id, uid, n, d1, d2): the size and a 128-bit digest of each document's set."""
+def _digests(table: DataFrame, n: int) -> DataFrame:
+    """(doc_id, id, uid, slab, at, n, d1, d2): the size and a 128-bit digest of each document's set."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                values, begin = sets(texts, n)
-                size = np.diff(begin)
-                two = []
+            for row in batch.to_pylist():
+                values, begin = sets(texts_of(row), n)
+                size, two = np.diff(begin), []
                 for salt in (U64(0x51ED270B), U64(0x2545F4914F6CDD1D)):
                     total = np.concatenate([[U64(0)], np.cumsum(mix(values ^ salt))])
                     two.append(pa.array((total[begin[1:]] - total[begin[:-1]]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), part.column("uid"), pa.array(size), *two],
-                                                 ["doc_id", "id", "uid", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(row[c], pa.int64()) for c in ("doc_id", "id", "uid")], pa.array([row["slab"]] * len(size)), pa.array(np.arange(len(size))), pa.array(size), *two],
+                    ["doc_id", "id", "uid", "slab", "at", "n", "d1", "d2"])
 
-    return rows.select("doc_id", "id", "uid", "text").mapInArrow(run, schema(doc_id="long", id="long", uid="long", n="long", d1="long", d2="long"))
+    return table.mapInArrow(run, schema(**{c: "long" for c in ("doc_id", "id", "uid", "slab", "at", "n", "d1", "d2")}))
 
 
-def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
+def _frequencies(table: DataFrame, n: int) -> np.ndarray:
     """How often shingles of each hash bucket occur in all sets: one counter table, whatever the input's size."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, texts in slices(batch):
-                total += np.bincount((sets(texts, n)[0] % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            for row in batch.to_pylist():
+                total += np.bincount((sets(texts_of(row), n)[0] % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(run, schema(bucket="long", n="long")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = table.mapInArrow(run, schema(bucket="long", n="long")).groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(COUNTERS, np.int64)
     for batch in found.toArrow().to_batches():  # COUNTERS rows at most
         out[batch.column("bucket").to_numpy()] = batch.column("n").to_numpy()
     return out
 
 
-def _prefix_rows(rows: DataFrame, n: int, t: Fraction, frequency: np.ndarray) -> DataFrame:
-    """(token, id, n, at, p0, p1): the prefix of every set in rare-first order, with the sizes of the set's parts."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequency)
+def _prefixes(values: np.ndarray, begin: np.ndarray, t: Fraction, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, place) of every set's prefix, its first |x| - ceil(t |x|) + 1 shingles in rare-first order."""
+    size = np.diff(begin)
+    doc = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((values, seen[(values % U64(COUNTERS)).astype(np.int64)], doc))
+    at = np.arange(len(values)) - begin[doc]
+    length = size - (size * t.numerator + t.denominator - 1) // t.denominator + 1
+    keep = at < length[doc]
+    return values[order][keep], doc[keep], at[keep]
+
+
+def _requests(table: DataFrame, n: int, t: Fraction, shared, shift: int) -> DataFrame:
+    """(bucket, slab, keys, twice): the distinct prefix shingles of each slab, and which of them it has twice."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, times = np.unique(_prefixes(*sets(texts_of(row), n), t, shared.value)[0], return_counts=True)
+                yield record([(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes()) for b, i, j in dealt(own, shift)],
+                             bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary())
+
+    return table.mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary"))
+
+
+def _prefix_rows(table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
+    """(token, id, n, at, p0, p1): the prefix shingles that the first documents of two classes may share, with the sizes of
+    their set's parts."""
 
     def run(batches):
-        seen = shared.value
         for batch in batches:
-            for part, texts in slices(batch):
-                values, begin = sets(texts, n)
-                rank = seen[(values % U64(COUNTERS)).astype(np.int64)]
+            for row in batch.to_pylist():
+                values, begin = sets(texts_of(row), n)
+                token, owner, at = _prefixes(values, begin, t, shared.value)
+                own, inverse = np.unique(token, return_inverse=True)
                 size = np.diff(begin)
-                doc = np.repeat(np.arange(texts.n), size)
-                order = np.lexsort((values, rank, doc))
-                at = np.arange(len(values)) - begin[doc]
-                length = size - np.array([-((-int(s) * t.numerator) // t.denominator) for s in size]) + 1
-                keep = at < length[doc]
-                chosen, owner = values[order][keep], doc[keep]
-                which = (values >> U64(61)).astype(np.int64)
-                sizes = np.minimum(np.bincount(doc * PARTS + which, minlength=texts.n * PARTS), FULL).reshape(-1, PARTS)
+                first = np.zeros(len(size), bool)
+                first[row["firsts"] or []] = True
+                keep = answered(row, len(own))[inverse] & first[owner]
+                token, owner, at = token[keep], owner[keep], at[keep]
+                where = np.repeat(np.arange(len(size)), size) * PARTS + (values >> U64(61)).astype(np.int64)
+                sizes = np.minimum(np.bincount(where, minlength=len(size) * PARTS), FULL).reshape(-1, PARTS)
                 packed = [sum(sizes[:, 4 * h + k] << (15 * k) for k in range(4)) for h in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chosen.view(np.int64)), pa.array(np.asarray(part.column("id"))[owner]), pa.array(size[owner].astype(np.int32)),
-                     pa.array(at[keep].astype(np.int32)), *[pa.array(p[owner]) for p in packed]], ["token", "id", "n", "at", "p0", "p1"])
+                    [pa.array(token.view(np.int64)), pa.array(np.array(row["id"], np.int64)[owner]), pa.array(size[owner].astype(np.int32)),
+                     pa.array(at.astype(np.int32)), *[pa.array(p[owner]) for p in packed]], ["token", "id", "n", "at", "p0", "p1"])
 
-    return rows.select("id", "text").mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
+    return table.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
 
 
 def _filters(t: Fraction) -> str:
@@ -123,31 +148,31 @@ def _filters(t: Fraction) -> str:
             f" AND ({least} >= {need} OR {full})")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    involved = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = classes.join(involved, "rep", "left_semi").groupBy("slab").agg(F.collect_list("at").alias("wanted"))
 
     def read(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                values, begin = sets(texts, n)
-                raw = [values[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(raw, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
+            for row in batch.to_pylist():
+                values, begin = sets(texts_of(row), n)
+                yield record([(row["id"][i], int(begin[i + 1] - begin[i]), pack(np.unique(values[begin[i] : begin[i + 1]] >> U64(64 - BITS)), 0)) for i in row["wanted"]],
+                             id=pa.int64(), n=pa.int64(), shingles=pa.binary())
 
-    found = durable(rows.join(involved, "id", "left_semi").select("id", "text").mapInArrow(read, schema(id="long", shingles="binary")))
-    left = pairs.join(found.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    both = left.join(found.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+    found = durable(table.join(wanted, "slab").mapInArrow(read, schema(id="long", n="long", shingles="binary")))
+    left = pairs.join(found.withColumnsRenamed({"id": "a", "n": "na", "shingles": "x"}), "a")
+    both = left.join(found.withColumnsRenamed({"id": "b", "n": "nb", "shingles": "y"}), "b")
 
     def test(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(shared * t.denominator >= t.numerator * (len(u) + len(v) - shared))
+            for x, y, na, nb in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "na", "nb")], strict=True):
+                shared = len(np.intersect1d(unpack(x, 0), unpack(y, 0), assume_unique=True))
+                keep.append(shared * t.denominator >= t.numerator * (na + nb - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, schema(a="long", b="long"))
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(test, schema(a="long", b="long"))
 
 
 def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
@@ -162,22 +187,25 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     1 has linked to its first member, is not multiplied out, and no link that joins two components is lost. Both rounds
     apply the length, positional and suffix filters before a pair is made, and test each pair once on whole sets.
 
-    Texts without words (null, empty) have no set and are their own component. Null ids count as one largest id; repeated
-    rows each get a row. An empty table gives no rows.
+    Texts without words (null, empty) have no set and are their own component. Null ids count as one largest id. Rows with one
+    id are one document to links; each gets a row. An empty table gives no rows.
     """
     t = Fraction(threshold)
-    rows = keyed(docs)
-    digests = durable(_digest_rows(rows, n))
-    classes = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "uid")).alias("least"))
-    classes = durable(classes.select("n", "d1", "d2", "rep", F.col("least.uid").alias("uid")))
-    alone = rows.select("id", "uid", "text").join(classes.select("uid"), "uid", "left_semi")
-    prefixes = durable(_prefix_rows(alone, n, t, _frequencies(rows, n)))
+    table = slabs(keyed(docs))
+    digests = durable(_digests(table, n))
+    classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at")).alias("least")).select(
+        "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at"))
+    shift = shift_for(table, 64)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(table, n))
+    answers = shared_keys(_requests(table, n, t, shared, shift), shift)
+    firsts = classes.groupBy("slab").agg(F.collect_list("at").alias("firsts"))
+    prefixes = durable(_prefix_rows(table.join(answers, "slab", "left").join(firsts, "slab"), n, t, shared))
     first = prefixes.groupBy("token").agg(F.count("*").alias("users"), F.min(F.struct("id", "n", "at", "p0", "p1")).alias("hub")).filter("users > 1")
     hubs = first.select("token", "users", "hub.*")
     used = durable(prefixes.join(hubs.select("token", F.col("id").alias("hub_id"), "users"), "token"))
     meet = used.alias("b").join(hubs.drop("users").alias("a"), F.expr(f"a.token = b.token AND a.id <> b.id AND {_filters(t)}"))
     pairs = durable(meet.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    links = durable(_verified(pairs, alone, n, t))
+    links = durable(_verified(pairs, classes, table, n, t))
     so_far = durable(components(links))
     rest = used.filter("id <> hub_id AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rest.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
@@ -185,7 +213,7 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND {_filters(t)}"))
     more = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = durable(more)
-    links = links.union(_verified(more, alone, n, t)) if not more.isEmpty() else links
+    links = links.union(_verified(more, classes, table, n, t)) if not more.isEmpty() else links
     groups = components(links)
     known = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     done = digests.join(known, ["n", "d1", "d2"], "left")

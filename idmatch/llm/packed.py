@@ -17,7 +17,7 @@ from idmatch.llm.words import U64, Texts, schema, slices
 from idmatch.session import durable
 
 #: Text bytes of a slab, about (a longer text is a slab of its own), and for each bucket.
-SLAB_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+SLAB_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -88,3 +88,36 @@ def texts_of(row: dict) -> Texts:
 def record(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     """Rows of Python values as a batch."""
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+
+def shared_keys(requests: DataFrame, shift: int) -> DataFrame:
+    """(slab, answers): for each slab, by bucket, which of its keys occur at two places anywhere.
+
+    ``requests`` holds (bucket, slab, keys, twice): a slab's distinct keys, and bits for those it has at two places itself.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = [unpack(r["keys"], r["bucket"] << shift) for r in rows]
+        twice = np.concatenate([bits_of(r["twice"], len(k)) for r, k in zip(rows, keys, strict=True)])
+        _, inverse, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = (np.bincount(inverse, twice)[inverse] > 0) | (times[inverse] > 1)
+        ends = np.cumsum([len(k) for k in keys])
+        out = [(r["slab"], r["bucket"], len(k), np.packbits(shared[e - len(k) : e]).tobytes()) for r, k, e in zip(rows, keys, ends, strict=True)]
+        return pa.Table.from_batches([record(out, slab=pa.int64(), bucket=pa.int64(), n=pa.int64(), shared=pa.binary())])
+
+    found = requests.groupBy("bucket").applyInArrow(run, schema(slab="long", bucket="long", n="long", shared="binary"))
+    return found.groupBy("slab").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "shared"))).alias("answers"))
+
+
+def bits_of(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def answered(row: dict, n: int) -> np.ndarray:
+    """The bits of ``shared_keys`` for a slab's n distinct keys in ascending order."""
+    bits = [bits_of(a["shared"], a["n"]) for a in row["answers"] or []]
+    out = np.concatenate(bits) if bits else np.zeros(0, bool)
+    if len(out) != n:
+        raise ValueError(f"slab {row['slab']} has {n} keys and {len(out)} answers")
+    return out

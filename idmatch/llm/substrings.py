@@ -7,66 +7,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idmatch.llm.copies import first_copies, keyed
-from idmatch.llm.words import U64, Texts, covered, minimizers, nested, schema, slices, whole, window_hashes, word_hashes, words
+from idmatch.llm.copies import LAST
+from idmatch.llm.packed import dealt, pack, planes, record, shift_for, slabs, texts_of, unpack, unplanes
+from idmatch.llm.words import U64, Texts, covered, schema, typed, whole, window_hashes, word_hashes, words
 
 WINDOW = 13
-#: Words of an anchor: the run of so many words with the least hash in a window.
-ANCHOR = 6
-SECOND = U64(0xC2B2AE3D27D4EB4F)
 
 
-def _anchors(hashes: np.ndarray, inside: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all anchor-sized runs, and for each window inside a text the place of its anchor."""
-    runs = window_hashes(hashes, anchor)
-    return runs, minimizers(runs, window - anchor + 1)[inside] if len(inside) else np.zeros(0, np.int64)
-
-
-def _anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, id, uid, at): the anchors of every window of every text, each place once."""
-
-    def run(batches):
-        for batch in batches:
-            for part, texts in slices(batch):
-                w = words(texts)
-                runs, places = _anchors(word_hashes(texts, w), np.flatnonzero(whole(w, window)), window, anchor)
-                at = np.unique(places)
-                doc = w.doc[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[at].view(np.int64)), pa.array(np.asarray(part.column("id"))[doc]), pa.array(np.asarray(part.column("uid"))[doc]),
-                     pa.array((at - w.first[doc]).astype(np.int32))], ["key", "id", "uid", "at"])
-
-    return rows.select("id", "uid", "text").mapInArrow(run, schema(key="long", id="long", uid="long", at="int"))
+def _windows(row: dict, window: int) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slab: its texts, where its windows start, their documents' ids, their keys' places in ascending order, and where
+    in that order each distinct key has its first place, which is that of the least id."""
+    texts = texts_of(row)
+    w = words(texts)
+    start = np.flatnonzero(whole(w, window))
+    key = window_hashes(word_hashes(texts, w), window)[start]
+    ids = np.array(row["id"], np.int64)[w.doc[start]]
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(key[order], kind="stable")]
+    key = key[order]
+    fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return texts, start[order], ids[order], key, fresh
 
 
-def _window_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(h1, h2, id, uid, at): both rolling hashes of every window whose anchor is among the row's ``marked`` places."""
+def _requests(table: DataFrame, window: int, shift: int) -> DataFrame:
+    """(bucket, slab, keys, base, ids): the distinct windows of each slab, and the least id that each has there."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                w = words(texts)
-                hashes = word_hashes(texts, w)
-                inside = np.flatnonzero(whole(w, window))
-                _, places = _anchors(hashes, inside, window, anchor)
-                row, at = nested(part.column("marked"))
-                marked = np.zeros(len(w.doc), bool)
-                marked[w.first[row] + at] = True
-                start = inside[marked[places]]
-                doc = w.doc[start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window_hashes(hashes, window)[start].view(np.int64)), pa.array(window_hashes(hashes, window, SECOND)[start].view(np.int64)),
-                     pa.array(np.asarray(part.column("id"))[doc]), pa.array(np.asarray(part.column("uid"))[doc]), pa.array((start - w.first[doc]).astype(np.int32))],
-                    ["h1", "h2", "id", "uid", "at"])
-
-    return rows.select("id", "uid", "text", "marked").mapInArrow(run, schema(h1="long", h2="long", id="long", uid="long", at="int"))
-
-
-def cut(texts: Texts, row: np.ndarray, at: np.ndarray, whole_text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, list[str], list[list[int]]]:
-    """Words, removed words, remaining words joined by a space, and the removed runs (first, end, first, end, ...) per text."""
+            for row in batch.to_pylist():
+                _, _, ids, key, fresh = _windows(row, window)
+                own, least = key[fresh], ids[fresh]
+                out = []
+                for b, i, j in dealt(own, shift):
+                    base = int(least[i:j].min())
+                    out.append((b, row["slab"], pack(own[i:j], b << shift), base, planes((least[i:j] - base).astype(U64))))
+                yield record(out, bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), base=pa.int64(), ids=pa.binary())
+
+    return table.select("slab", "id", "offs", "size", "raw").mapInArrow(run, schema(bucket="long", slab="long", keys="binary", base="long", ids="binary"))
+
+
+def _answers(requests: DataFrame, shift: int) -> DataFrame:
+    """(slab, bucket, n, earlier): for each window a slab asked about, whether a document of a smaller id elsewhere has it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = [unpack(r["keys"], r["bucket"] << shift) for r in rows]
+        ids = np.concatenate([unplanes(r["ids"]).astype(np.int64) + r["base"] for r in rows])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        fresh = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+        least = np.minimum.reduceat(ids[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        earlier = np.empty(len(every), bool)
+        earlier[order] = least < ids[order]
+        ends = np.cumsum([len(k) for k in keys])
+        out = [(r["slab"], r["bucket"], len(k), np.packbits(earlier[e - len(k) : e]).tobytes()) for r, k, e in zip(rows, keys, ends, strict=True)]
+        return pa.Table.from_batches([record(out, slab=pa.int64(), bucket=pa.int64(), n=pa.int64(), earlier=pa.binary())])
+
+    return requests.groupBy("bucket").applyInArrow(run, schema(slab="long", bucket="long", n="long", earlier="binary"))
+
+
+def cut(texts: Texts, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], list[list[int]]]:
+    """Per text: words, removed words, remaining words joined by a space, removed runs (first, end, first, end, ...)."""
     w = words(texts)
-    gone = covered(w.first[row] + at, window, len(w.doc)) if len(row) else np.zeros(len(w.doc), bool)
-    gone |= whole_text[w.doc]
     removed = np.bincount(w.doc[gone], minlength=texts.n)
     raw = texts.data.tobytes()
     kept, runs = [], []
@@ -78,45 +80,42 @@ def cut(texts: Texts, row: np.ndarray, at: np.ndarray, whole_text: np.ndarray, w
         a, b = w.first[i], w.first[i] + w.count[i]
         stay = np.flatnonzero(~gone[a:b]) + a
         kept.append(b" ".join([raw[s:e] for s, e in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)]).decode())
-        edge = np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))
-        runs.append(np.flatnonzero(edge).tolist())
+        runs.append(np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).tolist())
     return w.count, removed, kept, runs
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carry..., text, n_words, n_removed, runs) of every document, without the windows of an earlier one.
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller id, by the texts given.
     ``text`` is what is left, joined by single spaces; ``runs`` are the maximal removed runs of words, as first, end,
-    first, end, ... Copies of a whole text go entirely, but for those with the least id. Windows of other texts are
-    hashed and counted in two steps: each has an anchor, the run of ``anchor`` words with the least hash in it, which equal
-    windows share; all windows whose anchor two documents have are then counted by 128 bits of rolling hash. Nothing is
-    dropped or capped. Counting combines before the shuffle; the joins back may be split by Spark where a key is hot.
+    first, end, ... Every window is hashed (Rabin-Karp, 64 bits) and counted in Spark, once for each slab of texts that
+    has it, with the least id; see ``packed`` for how they travel. Among n different windows about n^2 / 4e19 pairs share
+    a hash by chance.
 
     Null and empty texts, and those shorter than a window, lose nothing. A null id counts as the largest. Rows with the
     same id do not remove each other; repeated rows each get a row. An empty table gives no rows.
     """
-    rows = keyed(docs, carry)
-    reps = rows.join(first_copies(rows), "uid", "left")
-    alone = reps.filter(F.col("copies").isNotNull())
-    anchors = _anchor_rows(alone, window, anchor)
-    shared = anchors.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
-    marked = anchors.select("key", "uid", "at").join(shared, "key").groupBy("uid").agg(F.collect_set("at").alias("marked"))
-    spans = _window_rows(alone.join(marked, "uid"), window, anchor)
-    seen = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    gone = spans.join(seen, ["h1", "h2"]).filter("id > least").groupBy("uid").agg(F.collect_set("at").alias("starts"))
-    # rows with the least id of a text are its first copies, however often they are repeated
-    marks = reps.join(gone, "uid", "left").select("doc_id", *carry, "text", "starts", F.col("copies").isNull().alias("copy"))
+    rows = typed(docs, doc_id="long", text="string", **{c: "string" for c in carry}).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
+    table = slabs(rows)
+    shift = shift_for(table, 64)
+    answers = _answers(_requests(table, window, shift), shift)
+    given = answers.groupBy("slab").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "earlier"))).alias("answers"))
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                row, at = nested(part.column("starts"))
-                copy = np.asarray(part.column("copy").to_numpy(zero_copy_only=False), bool)
-                w_count = words(texts).count
-                n, removed, kept, runs = cut(texts, row, at, copy & (w_count >= window), window)
+            for row in batch.to_pylist():
+                texts, start, ids, key, fresh = _windows(row, window)
+                bits = [np.unpackbits(np.frombuffer(a["earlier"], np.uint8), count=a["n"]) for a in row["answers"] or []]
+                earlier = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+                if len(earlier) != len(fresh):
+                    raise ValueError(f"slab {row['slab']} has {len(fresh)} windows and {len(earlier)} answers")
+                size = np.diff(np.append(fresh, len(key)))
+                drop = np.repeat(earlier, size) | (ids > np.repeat(ids[fresh], size))
+                n, removed, kept, runs = cut(texts, covered(start[drop], window, int(words(texts).count.sum())))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[part.column(c) for c in carry], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(runs, pa.list_(pa.int32()))], ["doc_id", *carry, "text", "n_words", "n_removed", "runs"])
+                    [pa.array(row["doc_id"], pa.int64()), *[pa.array(row[c], pa.string()) for c in carry], pa.array(kept, pa.string()), pa.array(n, pa.int64()),
+                     pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], ["doc_id", *carry, "text", "n_words", "n_removed", "runs"])
 
-    return marks.mapInArrow(run, schema(doc_id="long", **{c: "string" for c in carry}, text="string", n_words="long", n_removed="long", runs="array<int>"))
+    return table.join(given, "slab", "left").mapInArrow(run, schema(
+        doc_id="long", **{c: "string" for c in carry}, text="string", n_words="long", n_removed="long", runs="array<int>"))

@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idmatch.llm.copies import first_copies, keyed
-from idmatch.llm.words import Texts, byte_hashes, covered, minimizers, nested, schema, slices
+from idmatch.llm.packed import answered, dealt, pack, record, shared_keys, shift_for, slabs, texts_of
+from idmatch.llm.words import Texts, byte_hashes, minimizers, schema, typed
 from idmatch.session import durable
 
 LENGTH = 200
 #: Bytes of an anchor: the run of so many bytes with the least hash in a string. A power of two.
-ANCHOR = 32
+ANCHOR = 128
 #: Symbols of one suffix array; contexts of one anchor stay together.
 ARRAY = 1 << 16
 #: An anchor with more different contexts than this has its strings counted by hash instead.
-CROWDED = 400
+CROWDED = 8000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -103,25 +103,39 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, where strings of ``length`` bytes start that also start elsewhere in any of the contexts."""
+def repeated_starts(contexts: list[tuple[int, int, bytes]], width: int) -> list[np.ndarray]:
+    """For each context, where strings of ``width`` symbols start that also start elsewhere in any of the contexts.
+
+    A context is (key, cut, rest): the bytes ``rest`` with the key's anchor, as one symbol, before place ``cut``.
+    """
     text: list[int] = []
-    begin = []
-    for c in contexts:
+    begin, size = [], []
+    anchors: dict[int, int] = {}
+    for key, cut, rest in contexts:
         begin.append(len(text))
-        text.extend([b + 1 for b in c])
+        text.extend([b + 1 for b in rest[:cut]])
+        text.append(anchors.setdefault(key, 257 + len(anchors)))
+        text.extend([b + 1 for b in rest[cut:]])
         text.append(0)
-    raw = b"\0".join(contexts)
+        size.append(len(rest) + 2 - width)
     room = np.zeros(len(text), bool)
-    for b, c in zip(begin, contexts, strict=True):
-        room[b : b + max(len(c) - length + 1, 0)] = True
+    for b, n in zip(begin, size, strict=True):
+        room[b : b + n] = True
     order = np.array(suffix_array(text), np.int64)
-    order = order[room[order]]
+    order = order[room[order]].tolist()
     hit = np.zeros(len(text), bool)
-    for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
-        if raw[i : i + length] == raw[j : j + length]:
+    for i, j in zip(order[:-1], order[1:], strict=True):
+        if text[i : i + width] == text[j : j + width]:
             hit[i] = hit[j] = True
-    return [np.flatnonzero(hit[b : b + len(c)]) for b, c in zip(begin, contexts, strict=True)]
+    return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begin, size, strict=True)]
+
+
+def runs_of(places: np.ndarray) -> list[int]:
+    """Ascending places as runs: first, end, first, end, ..."""
+    if not len(places):
+        return []
+    gap = np.flatnonzero(np.diff(places) > 1)
+    return np.column_stack([places[np.concatenate([[0], gap + 1])], places[np.append(gap, len(places) - 1)] + 1]).ravel().tolist()
 
 
 def _places(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,91 +146,84 @@ def _places(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, np.ndar
     return runs, start, minimizers(runs, length - anchor + 1)[start] if len(start) else start
 
 
-def _anchor_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(key, uid, at): the anchors of all strings of every text, each place once."""
+def _requests(table: DataFrame, length: int, anchor: int, shift: int) -> DataFrame:
+    """(bucket, slab, keys, twice): the distinct anchors of each slab, and which of them it has at two places."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                runs, _, places = _places(texts, length, anchor)
-                at = np.unique(places)
-                doc = np.searchsorted(texts.offs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[at].view(np.int64)), pa.array(np.asarray(part.column("uid"))[doc]), pa.array((at - texts.offs[doc]).astype(np.int32))], ["key", "uid", "at"])
+            for row in batch.to_pylist():
+                runs, _, places = _places(texts_of(row), length, anchor)
+                own, times = np.unique(runs[np.unique(places)], return_counts=True)
+                out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes()) for b, i, j in dealt(own, shift)]
+                yield record(out, bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary())
 
-    return rows.select("uid", "text").mapInArrow(run, schema(key="long", uid="long", at="int"))
+    return table.select("slab", "offs", "size", "raw").mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary"))
 
 
-def _context_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(key, digest, uid, at, context): for each of a row's ``marked`` anchors the bytes of all strings that it anchors, and
-    where the first of them starts."""
+def _contexts(table: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(key, digest, slab, at, n, cut, rest): for each shared anchor of a slab the bytes of all n strings that it anchors,
+    without the anchor itself, and where in the slab the first of them starts."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
+            for row in batch.to_pylist():
+                texts = texts_of(row)
                 runs, start, places = _places(texts, length, anchor)
-                row, at = nested(part.column("marked"))
-                marked = np.zeros(len(texts.data) + 1, bool)
-                marked[texts.offs[row] + at] = True
-                start, places = start[marked[places]], places[marked[places]]
+                own, inverse = np.unique(runs[places], return_inverse=True)
+                shared = answered(row, len(own))
+                start, places = start[shared[inverse]], places[shared[inverse]]
                 first = np.flatnonzero(np.diff(places, prepend=-1))
                 last = np.append(first[1:], len(places)) - 1
-                doc = np.searchsorted(texts.offs, start[first], "right") - 1 if len(first) else first
-                raw = texts.data.tobytes()
-                found = [raw[a : b + length] for a, b in zip(start[first].tolist(), start[last].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[places[first]].view(np.int64)), pa.array([hashlib.md5(x).digest() for x in found], pa.binary()),
-                     pa.array(np.asarray(part.column("uid"))[doc]), pa.array((start[first] - texts.offs[doc]).astype(np.int32)), pa.array(found, pa.binary())],
-                    ["key", "digest", "uid", "at", "context"])
+                raw, out = texts.data.tobytes(), []
+                for key, a, b, p in zip(runs[places[first]].view(np.int64).tolist(), start[first].tolist(), start[last].tolist(), places[first].tolist(), strict=True):
+                    rest = raw[a:p] + raw[p + anchor : b + length]
+                    out.append((key, hashlib.md5(b"%d:%b" % (p - a, rest)).digest(), row["slab"], a, b - a + 1, p - a, rest))
+                yield record(out, key=pa.int64(), digest=pa.binary(), slab=pa.int64(), at=pa.int64(), n=pa.int32(), cut=pa.int32(), rest=pa.binary())
 
-    return rows.select("uid", "text", "marked").mapInArrow(run, schema(key="long", digest="binary", uid="long", at="int", context="binary"))
+    return table.mapInArrow(run, schema(key="long", digest="binary", slab="long", at="long", n="int", cut="int", rest="binary"))
 
 
-def _by_suffix_array(groups: DataFrame, length: int) -> DataFrame:
-    """(key, digest, starts) of contexts that lie next to those with the same key."""
+def _by_suffix_array(groups: DataFrame, width: int) -> DataFrame:
+    """(key, digest, runs) of contexts that lie next to those with the same key."""
 
     def run(batches):
         keys, digests, contexts = [], [], []
 
         def done():
-            starts = repeated_starts(contexts, length)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tolist() for s in starts], pa.list_(pa.int32()))],
-                                             ["key", "digest", "starts"])
+            out = list(zip(keys, digests, [runs_of(s) for s in repeated_starts(contexts, width)], strict=True))
             for held in (keys, digests, contexts):
                 held.clear()
-            return out
+            return record(out, key=pa.int64(), digest=pa.binary(), runs=pa.list_(pa.int32()))
 
         held = 0
         for batch in batches:
-            for key, digest, context in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "context")], strict=True):
+            for key, digest, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "cut", "rest")], strict=True):
                 if held >= ARRAY and key != keys[-1]:
                     yield done()
                     held = 0
                 keys.append(key)
                 digests.append(digest)
-                contexts.append(context)
-                held += len(context)
+                contexts.append((key, cut, rest))
+                held += len(rest)
         if keys:
             yield done()
 
-    return groups.select("key", "digest", "context").mapInArrow(run, schema(key="long", digest="binary", starts="array<int>"))
+    return groups.select("key", "digest", "cut", "rest").mapInArrow(run, schema(key="long", digest="binary", runs="array<int>"))
 
 
-def _by_hash(groups: DataFrame, length: int) -> DataFrame:
+def _by_hash(groups: DataFrame, width: int) -> DataFrame:
     """The same for keys with very many contexts: every string is counted by a digest, combined before the shuffle."""
 
     def run(batches):
         for batch in batches:
-            for key, digest, context in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "context")], strict=True):
-                n = len(context) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int32()),
-                     pa.array([hashlib.md5(context[i : i + length]).digest() for i in range(n)], pa.binary())], ["key", "digest", "at", "string"])
+            for key, digest, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "cut", "rest")], strict=True):
+                out = [(key, digest, i, hashlib.md5(b"%d:%d:%b" % (key, cut - i, rest[i : i + width - 1])).digest()) for i in range(len(rest) + 2 - width)]
+                yield record(out, key=pa.int64(), digest=pa.binary(), at=pa.int32(), string=pa.binary())
 
-    spread = durable(groups.select("key", "digest", "context").mapInArrow(run, schema(key="long", digest="binary", at="int", string="binary")))
+    spread = durable(groups.select("key", "digest", "cut", "rest").mapInArrow(run, schema(key="long", digest="binary", at="int", string="binary")))
     twice = spread.groupBy("string").count().filter("count > 1").select("string")
-    found = spread.join(twice, "string").groupBy("key", "digest").agg(F.collect_list("at").alias("starts"))
-    return found
+    found = spread.join(twice, "string").groupBy("key", "digest").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    return found.select("key", "digest", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).alias("runs"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
@@ -226,51 +233,48 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cr
     texts given. ``kept`` is what is left (binary, as a cut may fall inside a character); ``runs`` are the maximal removed
     runs of bytes, as first, end, first, end, ...
 
-    Equal strings have equal anchors, so only strings whose anchor occurs twice are looked at. An anchor's strings lie in
-    one context of less than ``2 * length`` bytes. Equal contexts are counted and become one; a context that occurs twice
-    is repeated whole. Different contexts of one anchor are put into one text, whose suffix array, built by Lyndon
-    grouping, has equal strings side by side. An anchor with more than ``crowded`` different contexts has its strings
-    counted by digest, so no key is collected in one task. Copies of a whole text are found first and go entirely.
+    Equal strings have equal anchors, so only strings whose anchor occurs at two places are looked at. An anchor's strings
+    at one place lie in one context of less than ``2 * length`` bytes. Equal contexts are counted and become one; a context
+    that occurs twice is repeated whole. Different contexts of one anchor are put into one text, the anchor being one
+    symbol of it, whose suffix array, built by Lyndon grouping, has equal strings side by side. An anchor with more than
+    ``crowded`` different contexts has its strings counted by digest, so no key is collected in one task.
 
     Null and empty texts, and those shorter than ``length``, lose nothing. Repeated rows are copies of each other; each gets
     a row. An empty table gives no rows.
     """
-    rows = keyed(docs)
-    marked_rows = rows.join(first_copies(rows), "uid", "left")
-    alone = marked_rows.filter(F.col("copies").isNotNull())
-    anchors = _anchor_rows(alone, length, anchor)
-    shared = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    marked = anchors.join(shared, "key").groupBy("uid").agg(F.collect_set("at").alias("marked"))
-    contexts = durable(_context_rows(alone.join(marked, "uid"), length, anchor))
-    different = durable(contexts.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min("context").alias("context")))
+    table = slabs(typed(docs, doc_id="long", text="string"))
+    shift = shift_for(table, 64)
+    width = length - anchor + 1
+    answers = shared_keys(_requests(table, length, anchor, shift), shift)
+    contexts = durable(_contexts(table.select("slab", "offs", "size", "raw").join(answers, "slab", "left"), length, anchor))
+    different = durable(contexts.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("cut").alias("cut"), F.min("rest").alias("rest")))
     users = different.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("least"))
-    open_keys = users.filter("kinds > 1 AND least = 1").select("key", "kinds")
-    mixed = different.join(open_keys, "key")
+    mixed = durable(different.join(users.filter("kinds > 1 AND least = 1").select("key", "kinds"), "key"))
     near = mixed.filter(F.col("kinds") <= crowded).repartition("key").sortWithinPartitions("key")
-    found = _by_suffix_array(near, length).union(_by_hash(mixed.filter(F.col("kinds") > crowded), length))
-    all_of = different.filter("times > 1").select("key", "digest", F.sequence(F.lit(0), F.octet_length("context") - length).alias("starts"))
-    judged = found.join(all_of.select("key", "digest"), ["key", "digest"], "left_anti").filter(F.size("starts") > 0).union(all_of)
-    placed = contexts.select("key", "digest", "uid", "at").join(judged, ["key", "digest"])
-    gone = placed.groupBy("uid").agg(F.collect_list(F.struct("at", "starts")).alias("found")).select(
-        "uid", F.array_distinct(F.flatten(F.transform("found", lambda f: F.transform(f["starts"], lambda s: s + f["at"])))).alias("starts"))
-    full = F.col("copies").isNull() | (F.col("copies") > 1)
-    marks = marked_rows.join(gone, "uid", "left").select("doc_id", "text", "starts", full.alias("copy"))
+    found = _by_suffix_array(near, width).union(_by_hash(mixed.filter(F.col("kinds") > crowded), width))
+    single = different.filter("times = 1").select("key", "digest")
+    judged = found.join(single, ["key", "digest"], "left_semi").filter(F.size("runs") > 0).union(
+        different.filter("times > 1").select("key", "digest", F.array(F.lit(0), F.col("n")).alias("runs")))
+    gone = contexts.select("key", "digest", "slab", "at").join(judged, ["key", "digest"]).groupBy("slab").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
-                size = np.diff(texts.offs)
-                row, at = nested(part.column("starts"))
-                lost = covered(texts.offs[row] + at, length, len(texts.data))
-                copy = np.asarray(part.column("copy").to_numpy(zero_copy_only=False), bool) & (size >= length)
-                lost |= np.repeat(copy, size)
+            for row in batch.to_pylist():
+                texts = texts_of(row)
+                step = np.zeros(len(texts.data) + 1, np.int32)
+                for f in row["found"] or []:
+                    ends = np.array(f["runs"], np.int64) + f["at"]
+                    np.add.at(step, ends[::2], 1)
+                    np.add.at(step, ends[1::2] + length - 1, -1)
+                lost = np.cumsum(step[:-1]) > 0
                 kept, removed, runs = [], [], []
                 for a, b in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist(), strict=True):
                     own = lost[a:b]
                     kept.append(texts.data[a:b][~own].tobytes())
                     removed.append(int(own.sum()))
-                    runs.append(np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist() if removed[-1] else [])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.int32()))],
-                                                 ["doc_id", "kept", "n_bytes", "n_removed", "runs"])
+                    runs.append(runs_of(np.flatnonzero(own)) if removed[-1] else [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["doc_id"], pa.int64()), pa.array(kept, pa.binary()), pa.array(np.diff(texts.offs)), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.int32()))],
+                    ["doc_id", "kept", "n_bytes", "n_removed", "runs"])
 
-    return marks.mapInArrow(run, schema(doc_id="long", kept="binary", n_bytes="long", n_removed="long", runs="array<int>"))
+    return table.join(gone, "slab", "left").mapInArrow(run, schema(doc_id="long", kept="binary", n_bytes="long", n_removed="long", runs="array<int>"))
