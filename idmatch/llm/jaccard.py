@@ -19,9 +19,13 @@ from idmatch.session import durable
 COUNTERS = 1 << 18
 #: Bits of a shingle's hash in a test of one pair.
 BITS = 48
-#: Parts of a set whose sizes bound an overlap.
+#: Parts of a set whose sizes bound an overlap before a pair is made.
 PARTS = 8
 FULL = (1 << 15) - 1
+#: Shingles in each of the finer parts that bound it once for each pair, in the mean at least, and their largest size.
+FINE, FULL_FINE = 16, 255
+#: Documents whose places are sent to every task: 8 MB.
+SENT = 1 << 20
 
 
 def sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +50,23 @@ def sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, U64), np.array(begin)
 
 
+def part_sizes(own: np.ndarray) -> bytes:
+    """The sizes of a set's parts by the upper bits of its hashes, more parts the larger it is."""
+    bits = max(3, (len(own) // FINE).bit_length() - 1)
+    return np.minimum(np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL_FINE).astype(np.uint8).tobytes()
+
+
+def may_share(x: bytes, y: bytes, total: int) -> int:
+    """The most that two sets of these part sizes can share; ``total`` if a part is too full to say."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if max(x.max(), y.max()) == FULL_FINE:
+        return total
+    few = min(len(x), len(y))
+    return int(np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum())
+
+
 def _digests(table: DataFrame, n: int) -> DataFrame:
-    """(doc_id, id, uid, slab, at, n, d1, d2): the size and a 128-bit digest of each document's set."""
+    """(doc_id, id, uid, slab, at, n, d1, d2, parts): the size, a 128-bit digest and the part sizes of each document's set."""
 
     def run(batches):
         for batch in batches:
@@ -57,11 +76,12 @@ def _digests(table: DataFrame, n: int) -> DataFrame:
                 for salt in (U64(0x51ED270B), U64(0x2545F4914F6CDD1D)):
                     total = np.concatenate([[U64(0)], np.cumsum(mix(values ^ salt))])
                     two.append(pa.array((total[begin[1:]] - total[begin[:-1]]).view(np.int64)))
+                parts = [part_sizes(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(row[c], pa.int64()) for c in ("doc_id", "id", "uid")], pa.array([row["slab"]] * len(size)), pa.array(np.arange(len(size))), pa.array(size), *two],
-                    ["doc_id", "id", "uid", "slab", "at", "n", "d1", "d2"])
+                    [*[pa.array(row[c], pa.int64()) for c in ("doc_id", "id", "uid")], pa.array([row["slab"]] * len(size)), pa.array(np.arange(len(size))), pa.array(size), *two, pa.array(parts, pa.binary())],
+                    ["doc_id", "id", "uid", "slab", "at", "n", "d1", "d2", "parts"])
 
-    return table.mapInArrow(run, schema(**{c: "long" for c in ("doc_id", "id", "uid", "slab", "at", "n", "d1", "d2")}))
+    return table.mapInArrow(run, schema(**{c: "long" for c in ("doc_id", "id", "uid", "slab", "at", "n", "d1", "d2")}, parts="binary"))
 
 
 def _frequencies(table: DataFrame, n: int) -> np.ndarray:
@@ -93,42 +113,50 @@ def _prefixes(values: np.ndarray, begin: np.ndarray, t: Fraction, seen: np.ndarr
     return values[order][keep], doc[keep], at[keep]
 
 
-def _requests(table: DataFrame, n: int, t: Fraction, shared, shift: int) -> DataFrame:
-    """(bucket, slab, keys, twice): the distinct prefix shingles of each slab, and which of them it has twice."""
+def _all_prefixes(table: DataFrame, n: int, t: Fraction, shared, shift: int) -> DataFrame:
+    """Per slab: rows (bucket, slab, keys, twice) with its distinct prefix shingles and which of them it has twice; and a
+    row of bucket -1 whose ``keys`` are the prefixes themselves, with ``facts``: for each document its id, set size, prefix
+    size and the sizes of its set's parts. So texts are not read again once the shared shingles are known."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                own, times = np.unique(_prefixes(*sets(texts_of(row), n), t, shared.value)[0], return_counts=True)
-                yield record([(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes()) for b, i, j in dealt(own, shift)],
-                             bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary())
+                values, begin = sets(texts_of(row), n)
+                token, owner, _ = _prefixes(values, begin, t, shared.value)
+                own, times = np.unique(token, return_counts=True)
+                size = np.diff(begin)
+                where = np.repeat(np.arange(len(size)), size) * PARTS + (values >> U64(61)).astype(np.int64)
+                sizes = np.minimum(np.bincount(where, minlength=len(size) * PARTS), FULL).reshape(-1, PARTS)
+                packed = [sum(sizes[:, 4 * h + k] << (15 * k) for k in range(4)) for h in (0, 1)]
+                facts = np.array([row["id"], size, np.bincount(owner, minlength=len(size)), *packed], np.int64)
+                out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes(), None) for b, i, j in dealt(own, shift)]
+                yield record([*out, (-1, row["slab"], token.tobytes(), None, facts.tobytes())],
+                             bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary(), facts=pa.binary())
 
-    return table.mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary"))
+    return table.mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary", facts="binary"))
 
 
-def _prefix_rows(table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
+def _prefix_rows(held: DataFrame) -> DataFrame:
     """(token, id, n, at, p0, p1): the prefix shingles that the first documents of two classes may share, with the sizes of
     their set's parts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                values, begin = sets(texts_of(row), n)
-                token, owner, at = _prefixes(values, begin, t, shared.value)
+                token = np.frombuffer(row["keys"], U64)
+                ids, size, length, p0, p1 = np.frombuffer(row["facts"], np.int64).reshape(5, -1)
+                owner = np.repeat(np.arange(len(ids)), length)
+                at = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
                 own, inverse = np.unique(token, return_inverse=True)
-                size = np.diff(begin)
-                first = np.zeros(len(size), bool)
-                first[row["firsts"] or []] = True
+                first = np.zeros(len(ids), bool)
+                first[row["firsts"]] = True
                 keep = answered(row, len(own))[inverse] & first[owner]
                 token, owner, at = token[keep], owner[keep], at[keep]
-                where = np.repeat(np.arange(len(size)), size) * PARTS + (values >> U64(61)).astype(np.int64)
-                sizes = np.minimum(np.bincount(where, minlength=len(size) * PARTS), FULL).reshape(-1, PARTS)
-                packed = [sum(sizes[:, 4 * h + k] << (15 * k) for k in range(4)) for h in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(np.array(row["id"], np.int64)[owner]), pa.array(size[owner].astype(np.int32)),
-                     pa.array(at.astype(np.int32)), *[pa.array(p[owner]) for p in packed]], ["token", "id", "n", "at", "p0", "p1"])
+                    [pa.array(token.view(np.int64)), pa.array(ids[owner]), pa.array(size[owner].astype(np.int32)),
+                     pa.array(at.astype(np.int32)), pa.array(p0[owner]), pa.array(p1[owner])], ["token", "id", "n", "at", "p0", "p1"])
 
-    return table.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
+    return held.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
 
 
 def _filters(t: Fraction) -> str:
@@ -148,10 +176,33 @@ def _filters(t: Fraction) -> str:
             f" AND ({least} >= {need} OR {full})")
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that may be similar enough by the sizes of finer parts of their sets."""
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def test(batches):
+        for batch in batches:
+            keep = []
+            for x, y, total in zip(batch.column("parts_a").to_pylist(), batch.column("parts_b").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                shared = may_share(x, y, total)
+                keep.append(shared * t.denominator >= t.numerator * (total - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = both.select("a", "b", "parts_a", "parts_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    return durable(asked.mapInArrow(test, schema(a="long", b="long")))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents."""
+    """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents.
+
+    Up to ``SENT`` documents to read are named to every task, so the slabs stay where they are; beyond it slabs are shuffled.
+    """
     involved = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = classes.join(involved, "rep", "left_semi").groupBy("slab").agg(F.collect_list("at").alias("wanted"))
+    asked = durable(classes.select("rep", "slab", "at").join(involved, "rep", "left_semi").select("slab", "at"))
+    wanted = asked.groupBy("slab").agg(F.collect_list("at").alias("wanted"))
+    if asked.count() <= SENT:
+        wanted = F.broadcast(wanted)
 
     def read(batches):
         for batch in batches:
@@ -185,7 +236,8 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     Round 1 tests every class against the first class (least id) of each of its prefix shingles. Round 2 tests, among
     classes that share a prefix shingle, all pairs that are not yet in one component: a group of near copies, which round
     1 has linked to its first member, is not multiplied out, and no link that joins two components is lost. Both rounds
-    apply the length, positional and suffix filters before a pair is made, and test each pair once on whole sets.
+    apply the length, positional and suffix filters before a pair is made, a finer suffix filter once for each pair, and
+    test each pair that is left once on whole sets.
 
     Texts without words (null, empty) have no set and are their own component. Null ids count as one largest id. Rows with one
     id are one document to links; each gets a row. An empty table gives no rows.
@@ -193,30 +245,32 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     t = Fraction(threshold)
     table = slabs(keyed(docs))
     digests = durable(_digests(table, n))
-    classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at")).alias("least")).select(
-        "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at"))
+    classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at", "parts")).alias("least")).select(
+        "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at", "least.parts"))
     shift = shift_for(table, 64)
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(table, n))
-    answers = shared_keys(_requests(table, n, t, shared, shift), shift)
+    given = durable(_all_prefixes(table, n, t, shared, shift))
+    answers = shared_keys(given.filter("bucket >= 0").select("bucket", "slab", "keys", "twice"), shift)
     firsts = classes.groupBy("slab").agg(F.collect_list("at").alias("firsts"))
-    prefixes = durable(_prefix_rows(table.join(answers, "slab", "left").join(firsts, "slab"), n, t, shared))
+    held = given.filter("bucket < 0").select("slab", "keys", "facts")
+    prefixes = durable(_prefix_rows(held.join(answers, "slab", "left").join(firsts, "slab")))
     first = prefixes.groupBy("token").agg(F.count("*").alias("users"), F.min(F.struct("id", "n", "at", "p0", "p1")).alias("hub")).filter("users > 1")
-    hubs = first.select("token", "users", "hub.*")
-    used = durable(prefixes.join(hubs.select("token", F.col("id").alias("hub_id"), "users"), "token"))
-    meet = used.alias("b").join(hubs.drop("users").alias("a"), F.expr(f"a.token = b.token AND a.id <> b.id AND {_filters(t)}"))
-    pairs = durable(meet.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    links = durable(_verified(pairs, classes, table, n, t))
+    hubs = durable(first.select("token", "users", "hub.*"))
+    meets = F.expr(f"a.id <> b.id AND {_filters(t)}")
+    used = durable(prefixes.alias("b").join(hubs.alias("a"), F.expr("a.token = b.token")).select("b.*", "a.users", F.col("a.id").alias("hub_id"), meets.alias("meets")))
+    pairs = durable(used.filter("meets").select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct())
+    links = durable(_verified(_bounded(pairs, classes, t), classes, table, n, t))
     so_far = durable(components(links))
     rest = used.filter("id <> hub_id AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rest.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
-    rest = durable(rest.join(split, "token").drop("hub_id", "users"))
+    rest = durable(rest.join(split, "token").drop("hub_id", "users", "meets"))
     across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND {_filters(t)}"))
     more = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = durable(more)
+    more = _bounded(more, classes, t)
     links = links.union(_verified(more, classes, table, n, t)) if not more.isEmpty() else links
     groups = components(links)
-    known = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    done = digests.join(known, ["n", "d1", "d2"], "left")
+    known = classes.select("n", "d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    done = digests.drop("parts").join(known, ["n", "d1", "d2"], "left")
     component = F.coalesce("component", "id")
     return done.select("doc_id", "id", "uid", F.col("n").alias("n_shingles"), component.alias("component"))
 
