@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 U64 = np.uint64
 #: Text bytes that one pass over arrays takes at once (a longer text is a pass of its own).
 SLICE_BYTES = 4 << 20
+#: Bytes of spans that are hashed together.
+SPAN_BYTES = 1 << 17
 BASE = U64(0x9E3779B97F4A7C15)
 WORD_BASE = U64(0xD6E8FEB86659FD93)
 
@@ -121,11 +123,17 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.u
     if not len(start):
         return np.zeros(0, U64)
     size = end - start
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    where = np.arange(int(size.sum()))
-    inside = where - np.repeat(begin, size)
-    value = (data[inside + np.repeat(start, size)].astype(U64) + U64(1)) * powers(base, int(size.max()))[inside]
-    return mix(np.add.reduceat(value, begin))
+    upto, power = np.cumsum(size), powers(base, int(size.max()))
+    out, at = np.empty(len(start), U64), 0
+    while at < len(start):  # some spans at a time, so that arrays of eight bytes a byte stay small
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + SPAN_BYTES)))
+        n = size[at:to]
+        begin = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        value = (data[inside + np.repeat(start[at:to], n)].astype(U64) + U64(1)) * power[inside]
+        out[at:to] = np.add.reduceat(value, begin)
+        at = to
+    return mix(out)
 
 
 def word_hashes(texts: Texts, w: Words) -> np.ndarray:
