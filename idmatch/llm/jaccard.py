@@ -24,6 +24,8 @@ PARTS = 8
 FULL = (1 << 15) - 1
 #: Shingles in each of the finer parts that bound it once for each pair, in the mean at least, and their largest size.
 FINE, FULL_FINE = 16, 255
+#: Parts of a set whose sizes bound an overlap of documents in different components.
+FEW = 64
 #: Documents whose places are sent to every task: 8 MB.
 SENT = 1 << 20
 
@@ -66,7 +68,8 @@ def may_share(x: bytes, y: bytes, total: int) -> int:
 
 
 def _digests(table: DataFrame, n: int) -> DataFrame:
-    """(doc_id, id, uid, slab, at, n, d1, d2, parts): the size, a 128-bit digest and the part sizes of each document's set."""
+    """(doc_id, id, uid, slab, at, n, d1, d2, parts, few): the size, a 128-bit digest and the part sizes of each document's set,
+    more parts the larger it is, and ``FEW``."""
 
     def run(batches):
         for batch in batches:
@@ -77,11 +80,14 @@ def _digests(table: DataFrame, n: int) -> DataFrame:
                     total = np.concatenate([[U64(0)], np.cumsum(mix(values ^ salt))])
                     two.append(pa.array((total[begin[1:]] - total[begin[:-1]]).view(np.int64)))
                 parts = [part_sizes(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                where = np.repeat(np.arange(len(size)), size) * FEW + (values >> U64(58)).astype(np.int64)
+                few = np.minimum(np.bincount(where, minlength=len(size) * FEW), FULL_FINE).astype(np.int16)
+                few = pa.ListArray.from_arrays(pa.array(np.arange(0, len(few) + 1, FEW), pa.int32()), pa.array(few))
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(row[c], pa.int64()) for c in ("doc_id", "id", "uid")], pa.array([row["slab"]] * len(size)), pa.array(np.arange(len(size))), pa.array(size), *two, pa.array(parts, pa.binary())],
-                    ["doc_id", "id", "uid", "slab", "at", "n", "d1", "d2", "parts"])
+                    [*[pa.array(row[c], pa.int64()) for c in ("doc_id", "id", "uid")], pa.array([row["slab"]] * len(size)), pa.array(np.arange(len(size))), pa.array(size), *two, pa.array(parts, pa.binary()), few],
+                    ["doc_id", "id", "uid", "slab", "at", "n", "d1", "d2", "parts", "few"])
 
-    return table.mapInArrow(run, schema(**{c: "long" for c in ("doc_id", "id", "uid", "slab", "at", "n", "d1", "d2")}, parts="binary"))
+    return table.mapInArrow(run, schema(**{c: "long" for c in ("doc_id", "id", "uid", "slab", "at", "n", "d1", "d2")}, parts="binary", few="array<smallint>"))
 
 
 def _frequencies(table: DataFrame, n: int) -> np.ndarray:
@@ -176,6 +182,13 @@ def _filters(t: Fraction) -> str:
             f" AND ({least} >= {need} OR {full})")
 
 
+def _few_share(t: Fraction) -> str:
+    """The suffix filter on ``FEW`` parts of two rows a and b, in SQL."""
+    p, q = t.numerator, t.denominator
+    each = f"IF(x = {FULL_FINE} AND y = {FULL_FINE}, 1000000000L, CAST(least(x, y) AS BIGINT))"
+    return f"aggregate(zip_with(a.few, b.few, (x, y) -> {each}), 0L, (s, v) -> s + v) >= ceil(({p}D * (a.n + b.n)) / {p + q}D - 1e-9)"
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) that may be similar enough by the sizes of finer parts of their sets."""
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"))
@@ -245,8 +258,8 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     t = Fraction(threshold)
     table = slabs(keyed(docs))
     digests = durable(_digests(table, n))
-    classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at", "parts")).alias("least")).select(
-        "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at", "least.parts"))
+    classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at", "parts", "few")).alias("least")).select(
+        "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at", "least.parts", "least.few"))
     shift = shift_for(table, 64)
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(table, n))
     given = durable(_all_prefixes(table, n, t, shared, shift))
@@ -263,14 +276,15 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     so_far = durable(components(links))
     rest = used.filter("id <> hub_id AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rest.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
-    rest = durable(rest.join(split, "token").drop("hub_id", "users", "meets"))
-    across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND {_filters(t)}"))
+    rest = rest.join(split, "token").drop("hub_id", "users", "meets")
+    rest = durable(rest.join(classes.select(F.col("rep").alias("id"), "few"), "id"))
+    across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND {_filters(t)} AND {_few_share(t)}"))
     more = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _bounded(more, classes, t)
     links = links.union(_verified(more, classes, table, n, t)) if not more.isEmpty() else links
     groups = components(links)
     known = classes.select("n", "d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    done = digests.drop("parts").join(known, ["n", "d1", "d2"], "left")
+    done = digests.drop("parts", "few").join(known, ["n", "d1", "d2"], "left")
     component = F.coalesce("component", "id")
     return done.select("doc_id", "id", "uid", F.col("n").alias("n_shingles"), component.alias("component"))
 
