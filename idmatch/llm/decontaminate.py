@@ -11,8 +11,6 @@ from idmatch.session import durable
 
 #: Template words in a window, and how many of them must be words of the text rather than placeholders.
 WINDOW, LITERAL = 8, 4
-#: The search looks at every so many windows of a document; documents it finds are then matched window by window.
-STRIDE = 4
 #: Template words of an item that a document must share.
 ENOUGH = 13
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -48,27 +46,26 @@ def word_pairs(text: Column) -> Column:
     return F.filter(zipped, lambda x: x["word"] != "")
 
 
-def _windows(words: Column, window: int, stride: int) -> Column:
-    """(at, key) of every ``stride``-th window of a list of template words."""
+def _windows(words: Column, window: int) -> Column:
+    """(at, key) of every window of a list of template words."""
     return F.when(F.size(words) >= window, F.transform(
-        F.sequence(F.lit(1), F.size(words) - window + 1, F.lit(stride)),
+        F.sequence(F.lit(1), F.size(words) - window + 1, F.lit(1)),
         lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i, window)).alias("key"))))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """(key, item_id, at): all windows of all items that have at least ``literal`` words of the text."""
     rows = typed(benchmark, item_id="long", text="string").select("item_id", template_words(F.col("text")).alias("words"))
-    parts = rows.select("item_id", "words", F.explode(_windows(F.col("words"), window, 1)).alias("w")).select("item_id", "w.at", "w.key", F.slice("words", F.col("w.at"), window).alias("part"))
+    parts = rows.select("item_id", "words", F.explode(_windows(F.col("words"), window)).alias("w")).select("item_id", "w.at", "w.key", F.slice("words", F.col("w.at"), window).alias("part"))
     kept = parts.filter(F.size(F.array_distinct(F.filter("part", lambda x: ~x.isin(NAME, NUMBER, UNIT)))) >= literal)
     return kept.select("key", "item_id", "at")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, enough: int = ENOUGH) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """(doc_id, item_id, uid, covered, n_slots, consistent, kind): the benchmark items that each document contains.
 
-    Words become template words; windows of them are joined by hash. A search over every ``stride``-th window finds the
-    documents that share a run of ``window + stride - 1`` template words with any item; only those are joined window by
-    window. An item counts as contained when at least ``enough`` of its template words (all, if it has fewer) lie in
+    Words become template words; windows of them are joined by hash. A search over the distinct windows of each document
+    finds those that share any window with any item; only those are joined window by window. An item counts as contained when at least ``enough`` of its template words (all, if it has fewer) lie in
     shared windows and its slots are consistent: one value of the item always stands against one value of the document,
     and the other way round. ``kind`` is ``verbatim`` when all those values are equal, else ``reparameterised``.
 
@@ -79,10 +76,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     rows = keyed(docs).select("doc_id", "uid", "text")
     items = durable(item_windows(benchmark, window))
     listed = rows.select("uid", template_words(F.col("text")).alias("words"))
-    looked = listed.select("uid", F.explode(_windows(F.col("words"), window, stride)).alias("w")).select("uid", F.col("w.key").alias("key"))
+    looked = listed.select("uid", F.explode(F.array_distinct(_windows(F.col("words"), window)["key"])).alias("key"))
     hit = looked.join(items.select("key").distinct(), "key", "left_semi").select("uid").distinct()
     found = durable(rows.join(hit, "uid", "left_semi").dropDuplicates(["uid"]).select("uid", word_pairs(F.col("text")).alias("pairs")))
-    every = found.select("uid", F.explode(_windows(F.col("pairs.word"), window, 1)).alias("w")).select("uid", F.col("w.key").alias("key"), F.col("w.at").alias("doc_at"))
+    every = found.select("uid", F.explode(_windows(F.col("pairs.word"), window)).alias("w")).select("uid", F.col("w.key").alias("key"), F.col("w.at").alias("doc_at"))
     matched = every.join(items, "key").groupBy("uid", "item_id").agg(F.collect_set(F.struct("at", "doc_at")).alias("places"))
     texts = typed(benchmark, item_id="long", text="string").select("item_id", word_pairs(F.col("text")).alias("item"))
     one = texts.groupBy("item_id").agg(F.max("item").alias("item"))

@@ -296,6 +296,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.filter("false")).count() == 0
 
 
+def test_decontamination_finds_an_item_at_any_place(spark):
+    short = "seven brown foxes jump over two lazy dogs"
+    long = "the farmer has red apples in his old barn and sells 25 of them at the market every week for very little money"
+    docs = [(i, " ".join(["word"] * i + [short])) for i in range(8)]
+    docs += [(10 + i, " ".join(["word"] * i + [long.replace("25", "twenty five")])) for i in range(8)]
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert of(got.collect(), "doc_id", "item_id") == [(i, 1) for i in range(8)] + [(10 + i, 2) for i in range(8)]
+
+
 def test_main_text(spark):
     long = "This is the text of the article and it is long enough to be taken for one by the length of it, with the words that it needs. " * 2
     page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">{long}</div>
