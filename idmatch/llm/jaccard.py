@@ -239,8 +239,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t:
     return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(test, schema(a="long", b="long"))
 
 
-def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
+def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFrame:
     """(doc_id, id, uid, n_shingles, component) of every document: its set size and the least id its links lead to.
+    With ``node="uid"`` the row's uid takes the place of its id.
 
     Two documents link when the Jaccard similarity of their distinct n-word shingles is at least ``threshold``. Documents
     with equal sets are one class from the start, so copies never meet in pairs. Each class writes its prefix, the
@@ -256,7 +257,7 @@ def linked(docs: DataFrame, n: int, threshold: str) -> DataFrame:
     id are one document to links; each gets a row. An empty table gives no rows.
     """
     t = Fraction(threshold)
-    table = slabs(keyed(docs))
+    table = slabs(keyed(docs).withColumn("id", F.col(node)))
     digests = durable(_digests(table, n))
     classes = durable(digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "slab", "at", "parts", "few")).alias("least")).select(
         "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at", "least.parts", "least.few"))
@@ -295,7 +296,10 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9") -> DataF
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
-    """(uid): of each group of linked documents the one with the least id, and every document without words."""
-    done = linked(docs, n, threshold).filter("id = component")
-    first = done.filter("n_shingles > 0").groupBy("component").agg(F.min("uid").alias("uid")).select("uid")
-    return first.union(done.filter("n_shingles = 0").select("uid").distinct())
+    """(uid): of each group of linked rows the one with the least (id, uid), and every row without words.
+
+    Rows link by their texts alone: rows without an id, or with the same, are as many nodes as they have texts.
+    """
+    done = linked(docs, n, threshold, node="uid").select("component", "n_shingles", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("id").alias("uid")).alias("row"))
+    first = done.filter("n_shingles > 0").groupBy("component").agg(F.min("row").alias("row")).select("row.uid")
+    return first.union(done.filter("n_shingles = 0").select("row.uid").distinct())

@@ -65,6 +65,17 @@ def test_near_duplicates(stages):
     assert sorted(r.doc_id for r in after) == [i for i in ids if root(i) == i]
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = lambda name, k=60: " ".join(f"{name}{j}" for j in range(k))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c") + " more"), (None, None), (1, text("c")), (5, text("d")), (5, text("e")), (5, text("f") + " more"),
+            (7, text("f")), (8, text("e") + " more"), (9, text("g")), (9, text("g")), (9, text("g") + " more"), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    alone = [(None, text("a")), (None, text("b")), (1, text("c")), (5, text("d")), (5, text("e")), (5, text("f") + " more")]
+    assert sorted(map(str, (k for k in kept if k[1] and not k[1].startswith("g")))) == sorted(map(str, alone))
+    assert len([k for k in kept if (k[1] or "").startswith("g")]) == 1 and len([k for k in kept if not k[1]]) == 2
+
+
 def test_repeated_passages(stages):
     before, after, _ = stages[2]
     first = {}
