@@ -61,13 +61,66 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literal: int = LITE
     return kept.select("key", "item_id", "at")
 
 
+def _whole(words: Column, at: Column) -> Column:
+    """The text of the words with one placeholder around a place: a name of several words."""
+    same = lambda q: F.forall(F.sequence(F.least(at, q), F.greatest(at, q)), lambda r: F.get(words, r - 1)["word"] == F.get(words, at - 1)["word"])
+    near = F.sequence(F.greatest(F.lit(1), at - WINDOW), F.least(F.size(words), at + WINDOW))
+    return F.concat_ws(" ", F.transform(F.filter(near, same), lambda q: _value(F.get(words, q - 1)["raw"])))
+
+
+def _value(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def _line(line: Column, window: int) -> Column:
+    """The matches of one shift as [(at, slots)]: the places in the item, and what stands against its placeholders.
+
+    Where a name or number goes on at one side only, the line is given a second time with the whole of both as the slot.
+    """
+    item, doc, shift = F.col("item"), F.col("pairs"), line["shift"]
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform(line["ats"], lambda a: F.sequence(a, a + window - 1)))))
+    goes_on = lambda words, p, step: F.coalesce(F.get(words, p + step - 1)["word"] == F.get(words, p - 1)["word"], F.lit(False))
+    torn = lambda i: (goes_on(item, i, -1) != goes_on(doc, i + shift, -1)) | (goes_on(item, i, 1) != goes_on(doc, i + shift, 1))
+    plain = lambda i: F.struct(_value(F.get(item, i - 1)["raw"]).alias("item"), _value(F.get(doc, i + shift - 1)["raw"]).alias("doc"))
+    whole = lambda i: F.when(torn(i), F.struct(_whole(item, i).alias("item"), _whole(doc, i + shift).alias("doc"))).otherwise(plain(i))
+    holders = F.filter(at, lambda i: F.get(item, i - 1)["word"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
+    return F.array(*[F.struct(at.alias("at"), F.array_sort(F.array_distinct(F.transform(holders, slot))).alias("slots")) for slot in (plain, whole)])
+
+
+def _consistent(slots: Column) -> Column:
+    return (F.size(F.array_distinct(slots["item"])) == F.size(slots)) & (F.size(F.array_distinct(slots["doc"])) == F.size(slots))
+
+
+def _equal(slots: Column) -> Column:
+    return F.forall(slots, lambda v: v["item"] == v["doc"])
+
+
+def _occurrence(lines: Column, need: Column) -> Column:
+    """(at, slots) of an occurrence that covers ``need`` places, else null: all verbatim lines together, or else the
+    first line that does with those that agree with it, longest first."""
+    kind = "struct<at:array<int>,slots:array<struct<item:string,doc:string>>>"
+    none = F.from_json(F.lit('{"at":[],"slots":[]}'), kind)
+    both = lambda a, b: F.struct(F.array_union(a["at"], b["at"]).alias("at"), F.array_union(a["slots"], b["slots"]).alias("slots"))
+    pooled = lambda some: F.aggregate(some, none, both)
+    enough = lambda c: F.size(c["at"]) >= need
+    longest = F.reverse(F.array_sort(F.transform(F.filter(lines, lambda x: _consistent(x["slots"])), lambda x: F.struct(F.size(x["at"]).alias("n"), x.alias("line")))))["line"]
+    agreeing = lambda first: F.aggregate(longest, first, lambda c, x: F.when(_consistent(F.array_union(c["slots"], x["slots"])), both(c, x)).otherwise(c))
+    passed = lambda first: F.get(F.filter(F.array(agreeing(first)), enough), 0)
+    any_of = F.aggregate(longest, F.lit(None).cast(kind), lambda c, x: F.when(c.isNotNull(), c).otherwise(passed(x)))
+    verbatim = pooled(F.filter(lines, lambda x: _equal(x["slots"])))
+    reach = F.size(F.array_distinct(F.flatten(lines["at"])))
+    return F.when(enough(verbatim), verbatim).when(reach >= need, any_of)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """(doc_id, item_id, uid, covered, n_slots, consistent, kind): the benchmark items that each document contains.
 
     Words become template words; windows of them are joined by hash. A search over the distinct windows of each document
     finds those that share any window with any item; only those are joined window by window. An item counts as contained when at least ``enough`` of its template words (all, if it has fewer) lie in
-    shared windows and its slots are consistent: one value of the item always stands against one value of the document,
-    and the other way round. ``kind`` is ``verbatim`` when all those values are equal, else ``reparameterised``.
+    shared windows of one occurrence: windows at one distance, with those at other distances that agree with them. Its
+    slots must be consistent: one value of the item always stands against one value of the document, and the other way
+    round. ``kind`` is ``verbatim`` when all those values are equal, else ``reparameterised``; an occurrence that is
+    verbatim goes before others, and what does not agree with an occurrence does not count against it.
 
     Items shorter than a window, and windows with fewer than ``LITERAL`` different words besides placeholders, match
     nothing. Null and empty texts match nothing; repeated rows give repeated pairs; without rows on either side there are
@@ -80,20 +133,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, e
     hit = looked.join(items.select("key").distinct(), "key", "left_semi").select("uid").distinct()
     found = durable(rows.join(hit, "uid", "left_semi").dropDuplicates(["uid"]).select("uid", word_pairs(F.col("text")).alias("pairs")))
     every = found.select("uid", F.explode(_windows(F.col("pairs.word"), window)).alias("w")).select("uid", F.col("w.key").alias("key"), F.col("w.at").alias("doc_at"))
-    matched = every.join(items, "key").groupBy("uid", "item_id").agg(F.collect_set(F.struct("at", "doc_at")).alias("places"))
+    matched = every.join(items, "key").groupBy("uid", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
     texts = typed(benchmark, item_id="long", text="string").select("item_id", word_pairs(F.col("text")).alias("item"))
     one = texts.groupBy("item_id").agg(F.max("item").alias("item"))
-    sided = matched.join(one, "item_id").join(found, "uid")
-    steps = F.sequence(F.lit(0), F.lit(window - 1))
-    aligned = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(steps, lambda k: F.struct((p["at"] + k).alias("i"), (p["doc_at"] + k).alias("d"))))))
-    slot = lambda p: F.get(F.col("item"), p["i"] - 1)
-    value = lambda raw: F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    slots = F.array_distinct(F.transform(
-        F.filter("aligned", lambda p: slot(p)["word"].rlike(f"[{NAME}{NUMBER}{UNIT}]")),
-        lambda p: F.struct(value(slot(p)["raw"]).alias("item"), value(F.get(F.col("pairs"), p["d"] - 1)["raw"]).alias("doc"))))
-    scored = sided.withColumn("aligned", aligned).withColumn("slots", slots).withColumns({
-        "covered": F.size(F.array_distinct("aligned.i")), "n_slots": F.size("slots"),
-        "consistent": (F.size(F.array_distinct("slots.item")) == F.size("slots")) & (F.size(F.array_distinct("slots.doc")) == F.size("slots")),
-        "kind": F.when(F.forall("slots", lambda v: v["item"] == v["doc"]), "verbatim").otherwise("reparameterised")})
-    held = scored.filter(F.col("consistent") & (F.col("covered") >= F.least(F.lit(enough), F.size("item")))).select("uid", "item_id", "covered", "n_slots", "consistent", "kind")
+    lines = matched.groupBy("uid", "item_id").agg(F.collect_list(F.struct("shift", "ats")).alias("lines"))
+    sided = lines.join(one, "item_id").join(found, "uid")
+    read = sided.select("uid", "item_id", F.size("item").alias("size"), F.explode(F.flatten(F.transform("lines", lambda x: _line(x, window)))).alias("line"))
+    told = read.groupBy("uid", "item_id", "size").agg(F.collect_set("line").alias("lines"))
+    best = told.withColumn("best", _occurrence(F.col("lines"), F.least(F.lit(enough), F.col("size")))).filter("best IS NOT NULL")
+    held = best.select("uid", "item_id", F.size("best.at").alias("covered"), F.size("best.slots").alias("n_slots"), F.lit(True).alias("consistent"),
+                       F.when(_equal(F.col("best.slots")), "verbatim").otherwise("reparameterised").alias("kind"))
     return rows.select("doc_id", "uid").join(held, "uid").select("doc_id", "item_id", "uid", "covered", "n_slots", "consistent", "kind")

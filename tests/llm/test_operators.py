@@ -306,6 +306,20 @@ def test_decontamination_finds_an_item_at_any_place(spark):
     assert of(got.collect(), "doc_id", "item_id") == [(i, 1) for i in range(8)] + [(10 + i, 2) for i in range(8)]
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "If Anna buys 12 apples for 3 dollars each at the small market near the old bridge, how much does Anna pay in total?"
+    moved, other = item.replace("Anna", "Peter").replace("12", "45"), item.replace("Anna", "Maria").replace("12", "7")
+    twice = "We saw 3 red apples for 5 dollars each on one side and 7 red apples for 9 dollars each on one side of the road"
+    names = "When the old farmer asked Peter about the red barn near the river and the field behind the mill"
+    filler = " and then nothing else of the kind was said. "
+    docs = [(1, item + filler + moved), (2, moved + filler + item), (3, moved + filler + other), (4, moved + filler * 9 + "apples for 9 dollars each at the small market near the"),
+            (5, twice), (6, names.replace("Peter about the", "Mary Ann about the")), (7, item.replace("Anna buys", "Peter buys").replace("does Anna", "does Maria"))]
+    bench = spark.createDataFrame([(1, item), (2, twice), (3, names)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    want = [(1, 1, "verbatim"), (2, 1, "verbatim"), (3, 1, "reparameterised"), (4, 1, "reparameterised"), (5, 2, "verbatim"), (6, 3, "reparameterised")]
+    assert of(got.collect(), "doc_id", "item_id", "kind") == want
+
+
 def test_main_text(spark):
     long = "This is the text of the article and it is long enough to be taken for one by the length of it, with the words that it needs. " * 2
     page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">{long}</div>
