@@ -320,6 +320,17 @@ def test_decontamination_judges_each_occurrence(spark):
     assert of(got.collect(), "doc_id", "item_id", "kind") == want
 
 
+def test_decontamination_takes_all_kinds_of_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "What is 12 plus 30?"), (3, "Compute the sum of all odd numbers below 100 now"), (None, "name seven rivers that flow into the black sea today"),
+             (5, "first text under a repeated id with enough words"), (5, "other text below a shared number with more words"), (6, "Bob and Tom and Ann and Lee met at noon near the mill"),
+             (7, "minutes after the train left a man came by"), (8, "17 18 19 20 21 22 23 24 25 26")]
+    docs = [(i, f"Here we ask, for once: please {text} And so on") for i, (_, text) in enumerate(items)] + [(20, "We waited 5 " + items[7][1]), (21, items[2][1]), (22, "of course what is 13 plus 31?"), (23, "17 18 19 20 21 22 23 24 25 27")]
+    bench = spark.createDataFrame(items + items[:1] + [(9, None), (None, ""), (10, "?")], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    want = sorted([(i, str(item)) for i, (item, _) in enumerate(items)] + [(20, "7"), (21, "3")])
+    assert sorted((r.doc_id, str(r.item_id)) for r in got.collect()) == want and got.filter("kind <> 'verbatim'").count() == 0
+
+
 def test_main_text(spark):
     long = "This is the text of the article and it is long enough to be taken for one by the length of it, with the words that it needs. " * 2
     page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">{long}</div>
