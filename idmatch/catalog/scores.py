@@ -123,6 +123,30 @@ def score_topk_blocked(spark, sf):
     return rounded(scoring.score_topk(*_sides(spark, sf), 3, gallery_bytes=2048))
 
 
+TEMPLATES = f"""WITH {PARTS}, s AS (SELECT p.sample_id AS probe_id, p.label, c.label AS class, max({COS}) AS score FROM test p CROSS JOIN (SELECT label, v AS t FROM train) c GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, class) AS rank FROM s)"""
+
+
+def _template_sides(spark, sf):
+    """Every training vector is a template of its class: classes of many templates, in some hundred blocks."""
+    train, test = parts(spark, sf)
+    return probes(test), train.select(F.col("label").alias("class"), F.col("v").alias("t"))
+
+
+@query(f"{TEMPLATES} SELECT probe_id, class, {s6('score')} AS score, rank FROM rk WHERE rank <= 3")
+def template_search_blocked(spark, sf):
+    """1:N search over single templates that are spread over blocks."""
+    return rounded(scoring.score_topk(*_template_sides(spark, sf), 3, gallery_bytes=2**17))
+
+
+@query(f"""{TEMPLATES} SELECT a.probe_id, a.label, b.class AS pred, {s6('a.score')} AS own, a.rank - 1 AS better
+FROM rk a JOIN rk b ON a.probe_id = b.probe_id AND a.class = a.label AND b.rank = 1""")
+def template_claims_blocked(spark, sf):
+    """Claims on classes that lie in several blocks each."""
+    found = scoring.claimed_scores(*_template_sides(spark, sf), gallery_bytes=2**17)
+    return rounded(found.select("probe_id", "label", "pred", "own", "better"))
+
+
 @query(f"WITH {SCORES} SELECT probe_id, pred, {s6('s1')} AS s1, class2, {s6('s2')} AS s2, {s6('s1 - s2')} AS margin FROM top2")
 def top2_margin(spark, sf):
     return rounded(scoring.top2_margin(*_sides(spark, sf)))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.operators.linear import _model_rows
-from idmatch.operators.scoring import GALLERY_BYTES, _matrix
+from idmatch.operators.matrices import matrix
+from idmatch.operators.scoring import GALLERY_BYTES
 
 STEP_ROWS = 64
 START_RATE = 0.5
@@ -57,7 +58,7 @@ def _round(rows: DataFrame, classes, scale, w0, b0, c: float, rate: float):
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, n, loss = w0.copy(), b0.copy(), 0, np.zeros(k)
         for batch in batches:
-            x_all = _matrix(batch.column("v")) if batch.num_rows else np.zeros((0, d))
+            x_all = matrix(batch.column("v")) if batch.num_rows else np.zeros((0, d))
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for s in range(0, len(x_all), STEP_ROWS):
                 x, own = x_all[s:s + STEP_ROWS], labels[s:s + STEP_ROWS, None] == classes[None, :]

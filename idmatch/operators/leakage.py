@@ -22,7 +22,7 @@ from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
 from idmatch.operators import exact
 from idmatch.operators.rows import beside
-from idmatch.operators.scoring import _matrix
+from idmatch.operators.matrices import matrix
 
 # Tolerances and verdict levels.
 SAME_TOLERANCE = 1e-9
@@ -108,7 +108,7 @@ class Grid:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    row, name = place(_matrix(batch.column("v")))
+                    row, name = place(matrix(batch.column("v")))
                     out = batch.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([out.column("v"), out.column("m"), pa.array(name)], ["v", "m", "cell"])
 

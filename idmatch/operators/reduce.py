@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
-from idmatch.operators.scoring import _matrix
+from idmatch.operators.matrices import matrix
 from idmatch.session import durable
 
 # Fixed values.
@@ -58,7 +58,7 @@ def scatter(df: DataFrame, centre: np.ndarray, v: str = "v", weight: str | None
         total = np.zeros((d, d))
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                x = _matrix(part.column("v")) - centre
+                x = matrix(part.column("v")) - centre
                 total += (x * part.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ x
         upper = total[np.triu_indices(d)]
         ends = np.concatenate([[0], np.cumsum(np.arange(d, 0, -1))])
@@ -132,7 +132,7 @@ def project_vectors(df: DataFrame, model: DataFrame, v: str = "v") -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y = (_matrix(batch.column(at)) - mean) @ components.T
+            y = (matrix(batch.column(at)) - mean) @ components.T
             ends = pa.array(np.arange(0, (batch.num_rows + 1) * k, k), pa.int32())
             yield batch.set_column(at, v, pa.ListArray.from_arrays(ends, pa.array(y.reshape(-1))))
 

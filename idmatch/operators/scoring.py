@@ -1,10 +1,9 @@
 """Probe x gallery scoring.
 
 Scores are block matrix products inside Arrow batches. A gallery whose size is counted and small goes to
-every task. A larger one is cut into blocks of whole classes, which go to the tasks one after the other; each
-pass reduces to a few numbers per probe, so the probes are never shuffled or copied, and the driver holds one
-block at a time. Top-k, score ranges and histograms are reduced inside the batch, so the pairs themselves
-leave a task only when the caller asks for every score.
+every task. A larger one is cut into blocks that the probes meet by a shuffle (``gallery_blocks``): a search visits
+only blocks whose angle bound can matter, everything else meets them all. Top-k, score ranges and histograms are
+reduced inside the batch or cell, so the pairs themselves leave a task only when the caller asks for every score.
 
 A score counts only if it is finite. A template is compared with the probes of its own width; a probe that has
 no finite score keeps its row, without a class.
@@ -12,9 +11,8 @@ no finite score keeps its row, without a class.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +20,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from idmatch.functions.vectors import NORM_FLOOR
+from idmatch.operators import gallery_blocks
+from idmatch.operators.matrices import by_width
 from idmatch.session import durable
 
 GALLERY_BYTES = 64 * 2**20
 BLOCK_BYTES = 32 * 2**20
 PAIRS_PER_STEP = 4_000_000
+#: Below every cosine.
+NO_FLOOR = -2.0
 
 COSINE = "cosine"
 LINEAR = "linear"
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def _by_width(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows and their matrix for each width of a list column; null lists are in none, null values are NaN."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    width = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
-    return {int(w): (rows := np.flatnonzero(width == w), _matrix(column.take(pa.array(rows)))) for w in np.unique(width[width > 0])}
-
-
 class Gallery:
     """Matrix form of one gallery block: for each width its templates, those of a class side by side."""
 
@@ -56,7 +45,7 @@ class Gallery:
         classes, b = table.column("class").to_numpy(), table.column("b").to_numpy(zero_copy_only=False)
         self.classes, self.metric, self.n = np.unique(classes), metric, len(classes)
         self.widths = {}
-        for width, (rows, t) in _by_width(table.column("t")).items():
+        for width, (rows, t) in by_width(table.column("t")).items():
             order = np.argsort(classes[rows], kind="stable")
             own, first = np.unique(classes[rows][order], return_index=True)
             self.widths[width] = (np.searchsorted(self.classes, own), first, t[order], b[rows][order])
@@ -64,7 +53,7 @@ class Gallery:
     def scores(self, probes: pa.Array) -> np.ndarray:
         """(probe, class) scores; the best finite score of a class's templates counts, -inf stands for none."""
         out = np.full((len(probes), len(self.classes)), -np.inf)
-        for width, (rows, x) in _by_width(probes).items():
+        for width, (rows, x) in by_width(probes).items():
             if width not in self.widths:
                 continue
             at, first, t, b = self.widths[width]
@@ -83,6 +72,13 @@ class Gallery:
         return out
 
 
+@dataclass(frozen=True)
+class Classes:
+    """The classes that the columns of a score matrix stand for."""
+
+    classes: np.ndarray
+
+
 @dataclass(frozen=True)
 class Enrolled:
     """A gallery written once with its size known; pass it instead of a table to score it repeatedly."""
@@ -90,11 +86,18 @@ class Enrolled:
     table: DataFrame
     n: int
     values: int
+    cut: dict[int, gallery_blocks.Blocks] = field(default_factory=dict, compare=False)
 
     @property
     def bytes(self) -> int:
         return self.values * 8
 
+    def blocks(self, block_bytes: int) -> gallery_blocks.Blocks:
+        """The gallery in blocks, cut when first asked for."""
+        if block_bytes not in self.cut:
+            self.cut[block_bytes] = gallery_blocks.build(self.table, self.values, block_bytes)
+        return self.cut[block_bytes]
+
 
 def enrol(gallery: DataFrame | Enrolled) -> Enrolled:
     if isinstance(gallery, Enrolled):
@@ -105,7 +108,7 @@ def enrol(gallery: DataFrame | Enrolled) -> Enrolled:
     return Enrolled(table, size[0], size[1] or 0)
 
 
-Reduce = Callable[[pa.Table, np.ndarray, Gallery], pa.RecordBatch]
+Reduce = Callable[[pa.RecordBatch, np.ndarray, Gallery | Classes], pa.RecordBatch]
 
 
 def _steps(batch: pa.RecordBatch, gallery: Gallery) -> Iterator[pa.RecordBatch]:
@@ -116,26 +119,62 @@ def _steps(batch: pa.RecordBatch, gallery: Gallery) -> Iterator[pa.RecordBatch]:
 
 def _score(
     probes: DataFrame, gallery: DataFrame | Enrolled, metric: str, schema: str, reduce: Reduce,
-    gallery_bytes: int = GALLERY_BYTES,
+    gallery_bytes: int = GALLERY_BYTES, emits: bool = False,
 ) -> DataFrame:
-    """Apply ``reduce`` to every (probe batch, gallery block) score matrix. ``probes`` has columns (v, ...)."""
+    """Apply ``reduce`` to score matrices that hold every (probe, class) pair once. ``probes`` has columns (v, ...);
+    ``emits`` says that a reduction returns all its pairs."""
     enrolled = enrol(gallery)
     probes = probes.withColumn("v", F.col("v").cast("array<double>"))
     if enrolled.bytes <= gallery_bytes:
-        return _pass(probes, enrolled.table.toArrow(), metric, schema, reduce)[0]
-    probes = durable(probes)
-    blocks = math.ceil(enrolled.bytes / min(BLOCK_BYTES, gallery_bytes))
-    parts = []
-    for block in range(blocks):
-        one = enrolled.table.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block).toArrow()
-        if one.num_rows:
-            found, shared = _pass(probes, one, metric, schema, reduce)
-            parts.append(durable(found))
-            shared.destroy()
-    return union_all(parts)
-
-
-def _pass(probes: DataFrame, block: pa.Table, metric: str, schema: str, reduce: Reduce):
+        return _pass(probes, enrolled.table.toArrow(), metric, schema, reduce)
+    rows = durable(probes if "row" in probes.columns else probes.withColumn("row", F.monotonically_increasing_id()))
+    blocks = enrolled.blocks(min(BLOCK_BYTES, gallery_bytes))
+    return _product(rows, gallery_blocks.visits(rows, blocks.bounds), blocks, metric, schema, reduce, emits=emits)
+
+
+def _product(rows: DataFrame, met: DataFrame, blocks: gallery_blocks.Blocks, metric: str, schema: str, reduce: Reduce, whole: bool = True, emits: bool = False) -> DataFrame:
+    """``reduce`` over the cells of ``met``, the rows with the blocks they visit.
+
+    Scores of a class that lies in several blocks are first put together per row and then reduced on their own;
+    a reduction that may see such a class in parts (``whole`` false) takes them as they come.
+    """
+    kinds = T._parse_datatype_string(schema)
+    out = T.StructType([*kinds.fields, *T._parse_datatype_string("__row long, __class long, __score double").fields])
+    whole = whole and blocks.has_split
+
+    def each(probes: pa.Table, templates: pa.Table) -> pa.Table:
+        gallery, found, parts = Gallery(templates, metric), [], []
+        split = np.isin(gallery.classes, np.unique(templates.column("class").to_numpy()[templates.column("split").to_numpy(zero_copy_only=False)])) & whole
+        for batch in probes.combine_chunks().to_batches():
+            for part in _steps(batch, gallery):
+                s = gallery.scores(part.column("v"))
+                found.append(reduce(part, s[:, ~split], Classes(gallery.classes[~split])))
+                row = np.repeat(part.column("row").to_numpy(), int(split.sum()))
+                parts.append((row, np.tile(gallery.classes[split], part.num_rows), s[:, split].reshape(-1)))
+        if not found:
+            return pa.Table.from_batches([], to_arrow_schema(out))
+        reduced = pa.Table.from_batches(found)
+        triples = pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("__row", "__class", "__score"))})
+        return pa.concat_tables([reduced, triples], promote_options="default").select(out.names).cast(to_arrow_schema(out))
+
+    cells = gallery_blocks.product(met, blocks, each, out, max(64, PAIRS_PER_STEP // max(1, blocks.most)) if emits else gallery_blocks.PART_ROWS)
+    if not whole:
+        return cells.select(*kinds.names)
+    cells = durable(cells)
+    joined = cells.filter("__class IS NOT NULL").groupBy("__row", "__class").agg(F.max("__score").alias("__score"))
+    again = rows.join(joined, F.col("row") == F.col("__row")).drop("__row").sortWithinPartitions("__class")
+
+    def one_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column("__class").to_numpy()
+            edge = np.flatnonzero(np.diff(classes, prepend=classes[:1] - 1, append=classes[-1:] + 1)) if len(classes) else []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                yield reduce(batch.slice(a, b - a), batch.column("__score").to_numpy()[a:b, None], Classes(classes[a : a + 1]))
+
+    return cells.filter("__class IS NULL").select(*kinds.names).unionByName(again.mapInArrow(one_class, kinds))
+
+
+def _pass(probes: DataFrame, block: pa.Table, metric: str, schema: str, reduce: Reduce) -> DataFrame:
     shared = probes.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +183,7 @@ def _pass(probes: DataFrame, block: pa.Table, metric: str, schema: str, reduce:
             for part in _steps(batch, gallery):
                 yield reduce(part, gallery.scores(part.column("v")), gallery)
 
-    return probes.mapInArrow(run, schema), shared
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return probes.mapInArrow(run, schema)
 
 
 #: Stands for a missing claim inside a batch.
@@ -181,7 +213,7 @@ def score_all(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = CO
         )
 
     return _score(probes.select("probe_id", "v"), gallery, metric,
-                  "probe_id long, class long, score double", everything, **options)
+                  "probe_id long, class long, score double", everything, emits=True, **options)
 
 
 def labelled_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str = COSINE, **options) -> DataFrame:
@@ -197,22 +229,51 @@ def labelled_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: st
         )
 
     return _score(known_claims(probes, gallery), gallery, metric,
-                  "probe_id long, class long, score double, genuine boolean", everything, **options)
+                  "probe_id long, class long, score double, genuine boolean", everything, emits=True, **options)
 
 
-def score_topk(probes: DataFrame, gallery: DataFrame | Enrolled, k: int, metric: str = COSINE, **options) -> DataFrame:
-    """The k best classes per probe: (probe_id, class, score, rank); ties go to the smaller class."""
+def _top(name: str, k: int) -> tuple[str, Reduce]:
+    """Reduction to the k best classes of each row, under the row's column ``name``."""
 
     def best(part, s, block):
         at, found = _best(s, k)
         row, column = np.nonzero(found > -np.inf)
         return pa.RecordBatch.from_arrays(
-            [part.column("probe_id").cast(pa.int64()).take(pa.array(row)), pa.array(block.classes[at[row, column]]), pa.array(found[row, column])],
-            ["probe_id", "class", "score"],
+            [part.column(name).cast(pa.int64()).take(pa.array(row)), pa.array(block.classes[at[row, column]]), pa.array(found[row, column])],
+            [name, "class", "score"],
         )
 
-    found = _score(probes.select("probe_id", "v"), gallery, metric,
-                   "probe_id long, class long, score double", best, **options)
+    return f"{name} long, class long, score double", best
+
+
+def search(rows: DataFrame, blocks: gallery_blocks.Blocks, k: int, metric: str = COSINE) -> DataFrame:
+    """The k best classes of each row (row, v) of a gallery in blocks: (row, class, score, rank).
+
+    The k-th best class of a row's most promising block is a floor for the rest of the search.
+    """
+    schema, best = _top("row", k)
+    visit = lambda start, **how: _product(rows, gallery_blocks.visits(start, blocks.bounds, "need", **how), blocks, metric, schema, best, whole=False)
+    ranked = lambda df: df.groupBy("row", "class").agg(F.max("score").alias("score")).withColumn(
+        "rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "class"))).filter(F.col("rank") <= k)
+    start = rows.withColumn("need", F.lit(NO_FLOOR))
+    if metric != COSINE:
+        return ranked(visit(start, bounded=False))
+    home = durable(visit(start, home=True))
+    floor = ranked(home).filter(F.col("rank") == k).select("row", F.col("score").alias("need"))
+    rest = visit(rows.join(floor, "row", "left").withColumn("need", F.coalesce("need", F.lit(NO_FLOOR))), home=False)
+    return ranked(home.unionByName(rest))
+
+
+def score_topk(probes: DataFrame, gallery: DataFrame | Enrolled, k: int, metric: str = COSINE, gallery_bytes: int = GALLERY_BYTES) -> DataFrame:
+    """The k best classes per probe: (probe_id, class, score, rank); ties go to the smaller class."""
+    gallery = enrol(gallery)
+    if gallery.bytes > gallery_bytes:
+        rows = durable(probes.select("probe_id", F.col("v").cast("array<double>").alias("v")).withColumn("row", F.monotonically_increasing_id()))
+        found = search(rows.select("row", "v"), gallery.blocks(min(BLOCK_BYTES, gallery_bytes)), k, metric)
+        found = found.join(rows.select("row", "probe_id"), "row").select(F.col("probe_id").cast("long").alias("probe_id"), "class", "score")
+    else:
+        schema, best = _top("probe_id", k)
+        found = _score(probes.select("probe_id", "v"), gallery, metric, schema, best)
     w = W.partitionBy("probe_id").orderBy(F.desc("score"), "class")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -271,28 +332,30 @@ def claimed_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str
             [part.column("row"), part.column("probe_id").cast(pa.int64()), part.column("label").cast(pa.int64()), *one(0), *one(1),
              pa.array(own, mask=own == -np.inf), pa.array(better_than(own, claim, s, block), mask=own == -np.inf)], columns)
 
-    if gallery.bytes <= options.get("gallery_bytes", GALLERY_BYTES):
+    limit = options.get("gallery_bytes", GALLERY_BYTES)
+    if gallery.bytes <= limit:
         return _score(rows, gallery, metric, schema, reduce, **options).drop("row")
-    rows = durable(rows)
-    found = _score(rows, gallery, metric, schema, reduce, **options)
-    two = F.slice(F.sort_array(F.filter(F.flatten(F.collect_list(F.array(
-        F.struct((-F.col("s1")).alias("s"), F.col("pred").alias("c")), F.struct((-F.col("s2")).alias("s"), F.col("class2").alias("c"))))),
-        lambda x: x["c"].isNotNull())), 1, 2)
-    merged = found.groupBy("row").agg(two.alias("two"), F.max("own").alias("own"))
-    # the score that an own class of another block is compared with
-    asked = rows.join(merged, "row")
+    rows, blocks = durable(rows.withColumn("v", F.col("v").cast("array<double>"))), gallery.blocks(min(BLOCK_BYTES, limit))
+    at = lambda column, r: F.max(F.when(F.col("rank") == r, F.col(column)))
+    top = search(rows.select("row", "v"), blocks, 2, metric).groupBy("row").agg(
+        at("class", 1).alias("pred"), at("score", 1).alias("s1"), at("class", 2).alias("class2"), at("score", 2).alias("s2"))
+
+    def own_score(part, s, block):
+        own = own_of(part, s, block)[1]
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(own, mask=own == -np.inf)], ["row", "own"])
 
     def count(part, s, block):
-        own = pc.fill_null(part.column("own"), np.nan).to_numpy(zero_copy_only=False)
+        own = part.column("own").to_numpy(zero_copy_only=False)
         return pa.RecordBatch.from_arrays([part.column("row"), pa.array(better_than(own, _ids(part, "label"), s, block))], ["row", "better"])
 
-    better = _score(asked.select("row", "label", "v", "own"), gallery, metric, "row long, better long", count, **options)
-    placed = asked.join(better.groupBy("row").agg(F.sum("better").alias("better")), "row")
-    best = lambda k: [F.get("two", F.lit(k))["c"], -F.get("two", F.lit(k))["s"]]
-    (c1, s1), (c2, s2) = best(0), best(1)
-    return placed.select(
-        F.col("probe_id").cast("long").alias("probe_id"), F.col("label").cast("long").alias("label"), c1.alias("pred"), s1.alias("s1"), c2.alias("class2"), s2.alias("s2"), "own",
-        F.when(F.col("own").isNotNull(), F.col("better")).alias("better"))
+    # a claim visits the blocks of its class alone; its rank then visits those that may hold a better one
+    claimed = rows.join(blocks.table.select(F.col("class").alias("label"), "block").distinct(), "label").select("row", "label", "v", "block")
+    own = _product(rows, claimed, blocks, metric, "row long, own double", own_score, whole=False).groupBy("row").agg(F.max("own").alias("own")).filter("own IS NOT NULL")
+    asked = durable(rows.select("row", "label", "v").join(own, "row"))
+    counted = _product(asked, gallery_blocks.visits(asked, blocks.bounds, "own", bounded=metric == COSINE), blocks, metric, "row long, better long", count)
+    better = counted.groupBy("row").agg(F.sum("better").alias("better"))
+    return (rows.join(top, "row", "left").join(asked.select("row", "own"), "row", "left").join(better, "row", "left")
+            .select(F.col("probe_id").cast("long").alias("probe_id"), F.col("label").cast("long").alias("label"), "pred", "s1", "class2", "s2", "own", "better"))
 
 
 def genuine_impostor(scores: DataFrame, probes: DataFrame) -> DataFrame:
