@@ -5,7 +5,7 @@ layer is the signs of what the layers before left over, turned once more, with i
 along the signs) beside it, and the length of what remains. An anchor is turned as often and cut to 8-bit steps, so its
 product with a layer is eight popcounts. Alignments times those products estimate a score; by Cauchy-Schwarz the error is
 at most the anchor's length times the remaining length, plus the anchor's rounding times the length of each layer.
-Layers are read one after another, and a row stays a candidate only while its interval can still matter. What remains is
+Layers are read one after another, and a row stays a candidate only while its interval can still matter (TESTED). What remains is
 scored in integers, so the result is exact.
 
 Rows and anchors are written in packed blocks; a cell is one group of anchor blocks and one of row blocks, both of bounded
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from idmatch.llm.words import schema, typed
 from idmatch.session import durable
 
-#: Layers of bits; rows of a block.
-LEVELS, BLOCK = 6, 4096
+#: Layers of bits, those after which candidates are dropped, and rows of a block.
+LEVELS, TESTED, BLOCK = 6, (1, 3, 5), 4096
 #: Blocks of rows and anchors of a cell: a share of all, within bounds. Tasks that cells are dealt to.
 ROW_BLOCKS, ANCHORS, MOST_TASKS = (1, 16), (128, 8192), 1 << 15
 SCALE = 256
@@ -98,33 +98,38 @@ class Codes:
 
 
 class Asked:
-    """An anchor turned for each layer and cut to 8 bits, for popcounts."""
+    """An anchor turned for each layer and cut to 8 bits, for popcounts: (step, rounding, sum, bit planes) of each layer."""
 
-    def __init__(self, x: np.ndarray):
-        y, self.layers = x[None, :].astype(np.float64), []
-        self.length = float(np.sqrt((y**2).sum()))
+    def __init__(self, length: float, layers: list[tuple[float, float, int, np.ndarray]]):
+        self.length, self.layers = length, layers
+
+    @classmethod
+    def all_of(cls, x: np.ndarray) -> list[Asked]:
+        y, layers = x.astype(np.float64), []
+        length = np.sqrt((y**2).sum(axis=1))
         for _ in range(LEVELS):
             y = rotated(y)
-            top = np.abs(y).max()
-            unit = top / 127 if top > 0 else 1.0
-            whole = np.rint(y / unit).astype(np.int64)
-            lost = float(np.sqrt(((y - unit * whole) ** 2).sum() * y.shape[1]))
-            self.layers.append((unit, lost, int(whole.sum()), [bits((whole + 128) >> b & 1 == 1)[:, 0] for b in range(8)]))
+            unit = np.maximum(np.abs(y).max(axis=1), 1e-300) / 127
+            whole = np.rint(y / unit[:, None]).astype(np.int64)
+            lost = np.sqrt(((y - unit[:, None] * whole) ** 2).sum(axis=1) * y.shape[1])
+            layers.append((unit, lost, whole.sum(axis=1), np.stack([bits((whole + 128) >> b & 1 == 1) for b in range(8)])))
+        return [cls(float(length[i]), [(float(unit[i]), float(lost[i]), int(total[i]), planes[:, :, i]) for unit, lost, total, planes in layers]) for i in range(len(x))]
 
     def narrow(self, codes: Codes, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """Places whose score may be wanted: after each layer ``wanted(low, high)`` says which intervals may be."""
+        """Places whose score may be wanted: after each layer in TESTED ``wanted(low, high)`` says which intervals may be."""
         at, about, rounding = np.arange(len(codes.length)), np.zeros(len(codes.length)), 1e-9 * self.length * codes.length + 1e-6
-        for (unit, lost, total, planes), layer, ones, step, left in zip(self.layers, codes.layers, codes.ones, codes.step, codes.left, strict=True):
-            up, step = -128 * ones[at], step[at]  # the planes hold the steps raised by 128
-            for word, masks in zip(layer[:, at], zip(*planes, strict=True), strict=True):
+        for i, (unit, lost, total, planes) in enumerate(self.layers):
+            up, step = -128 * codes.ones[i][at], codes.step[i][at]  # the planes hold the steps raised by 128
+            for word, masks in zip(codes.layers[i][:, at], planes.T, strict=True):
                 for b, mask in enumerate(masks):
                     up += np.left_shift(np.bitwise_count(word & mask), b, dtype=np.int64)
             about = about + step * (unit * (2.0 * up - total))  # under set bits twice, less the whole
             rounding = rounding + lost * step
-            reach = self.length * left[at] + rounding
-            keep = wanted(about - reach, about + reach)
-            if not keep.all():
-                at, about, rounding = at[keep], about[keep], rounding[keep]
+            if i in TESTED:
+                reach = self.length * codes.left[i][at] + rounding
+                keep = wanted(about - reach, about + reach)
+                if not keep.all():
+                    at, about, rounding = at[keep], about[keep], rounding[keep]
         return at
 
 
@@ -279,18 +284,19 @@ def hard_negatives(vectors: DataFrame, anchor_every: int = 100, positives: int =
         one = F.struct("width", "row", "id", "label", "x", *extra)
         return durable(table.groupBy(F.pmod("block", F.lit(groups)).alias("group")).agg(F.collect_list(one).alias("anchors")))
 
-    def each(row_side: list[dict], anchor_side: list[dict]) -> Iterator[tuple[list[Block], dict, np.ndarray]]:
+    def each(row_side: list[dict], anchor_side: list[dict]) -> Iterator[tuple[list[Block], dict, np.ndarray, Asked]]:
         """The anchors of a cell, each with the row blocks of its width."""
         of_width: dict[int, list[Block]] = {}
         for r in row_side if anchor_side else []:
             of_width.setdefault(r["width"], []).append(Block(r))
-        for a in [a for side in anchor_side for a in side["anchors"]]:
-            if a["width"] in of_width:
-                yield of_width[a["width"]], a, np.frombuffer(a["x"], "<i8")
+        for width, held in of_width.items():
+            own = [a for side in anchor_side for a in side["anchors"] if a["width"] == width]
+            x = np.frombuffer(b"".join(a["x"] for a in own), "<i8").reshape(len(own), width)
+            yield from zip([held] * len(own), own, x, Asked.all_of(x), strict=True)
 
     def nearest(row_side: list[dict], anchor_side: list[dict]) -> Iterator[tuple]:
-        for held, a, x in each(row_side, anchor_side):
-            ask, top = Asked(x), Top(positives)
+        for held, a, x, ask in each(row_side, anchor_side):
+            top = Top(positives)
             for b in held:
                 start, end = b.of_label(a["label"])
                 if start == end:
@@ -307,8 +313,7 @@ def hard_negatives(vectors: DataFrame, anchor_every: int = 100, positives: int =
     own = durable(found.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "id"))).alias("own")))
 
     def farther(row_side: list[dict], anchor_side: list[dict]) -> Iterator[tuple]:
-        for held, a, x in each(row_side, anchor_side):
-            ask = Asked(x)
+        for held, a, x, ask in each(row_side, anchor_side):
             spans = [(p["rank"], -(-low * p["score"] // 100), high * p["score"] // 100, Top(negatives)) for p in a["own"]]
             spans = [s for s in spans if s[1] <= s[2]]
             for b in held if spans else []:

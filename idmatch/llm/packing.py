@@ -33,7 +33,7 @@ FINE = 5
 #: dealt out.
 GROUP_TOKENS, SMALL = 1 << 20, 80
 #: Text bytes taken at once, and words that a task remembers with their ids before it starts anew (speed only).
-SLICE, MEMO_WORDS, MEMO_WORD_BYTES = 1 << 20, 500_000, 64
+SLICE, MEMO_WORDS, MEMO_WORD_BYTES = 1 << 20, 1_000_000, 64
 #: Marks that end words, and words encoded together.
 MARKS, RUN = b".,;:!?)]}\"*#$%&", 400
 
@@ -51,20 +51,22 @@ class Encoder:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        lists = [t.split() for t in texts]
         if len(self.words) > MEMO_WORDS:
             self.words, self.stems = {}, {}
-        held = self.words
-        new = {w: stem(w) for w in set().union(*lists).difference(held)}
-        self.learn({part for parts in new.values() for part in parts if part and part not in self.stems})
-        stems, long = self.stems, {}
-        for word, (body, marks) in new.items():
+        held, stems, long = self.words, self.stems, {}
+        lists = [t.split() for t in texts]
+        known = [list(map(held.get, words)) for words in lists]
+        new = set()
+        for words, values in zip(lists, known, strict=True):
+            new.update([w for w, v in zip(words, values, strict=True) if v is None])
+        parted = {w: stem(w) for w in new}
+        self.learn({part for parts in parted.values() for part in parts if part and part not in stems})
+        for word, (body, marks) in parted.items():
             (held if len(word) <= MEMO_WORD_BYTES else long)[word] = stems[body] + stems[marks] if marks else stems[body]
         for part in [s for s in stems if len(s) > MEMO_WORD_BYTES] if long else []:
             del stems[part]
-        if long:
-            return [b"".join([held[w] if w in held else long[w] for w in words]) for words in lists]
-        return [b"".join(map(held.__getitem__, words)) for words in lists]
+        of = lambda w: long[w] if w in long else held[w]
+        return [b"".join([of(w) if v is None else v for w, v in zip(words, values, strict=True)]) for words, values in zip(lists, known, strict=True)]
 
     def learn(self, parts: set[bytes]) -> None:
         """Ids of some hundred words at once, told apart by where their tokens begin."""
