@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from idmatch.catalog import query
-from idmatch.catalog.common import EMB, LONG, parts, r6, rounded, s6, vectors
+from idmatch.catalog.classification import MARG, PAIRS
+from idmatch.catalog.common import DIMS, EMB, LONG, PARTS, parts, r6, rounded, s6, vectors
 from idmatch.catalog.quality import MODEL, _model
 from idmatch.functions import vectors as V
 from idmatch.operators import augment as A
@@ -36,31 +37,85 @@ def lda_fit(spark, sf):
     return rounded(reduce.component_table(reduce.lda_fit(vectors(spark, sf), 9)).drop("c"))
 
 
-@query()
+def fit_sql(name: str, train: str, reg: str, cost: str = "1.0", classes: str = "TRUE", rounds: int = 160) -> str:
+    """CTE ``name(class, w)``, bias last: the same objective by accelerated gradient descent over all rows."""
+    zeros, push = f"list_transform(range({DIMS + 1}), lambda x: 0.0::DOUBLE)", "least(greatest(short / 0.5, 0.0), 1.0) * sgn * own"
+    return f"""{name}_x AS MATERIALIZED (SELECT label, list_append(v, 1.0::DOUBLE) AS u FROM {train}),
+{name}_c AS MATERIALIZED (SELECT label AS class, {cost} AS cost, n + ({cost} - 1) * k AS total, {reg} AS reg FROM (SELECT label, count(*)::DOUBLE AS k, (SELECT count(*) FROM {train})::DOUBLE AS n FROM {train} GROUP BY label) WHERE {classes}),
+{name}_gd AS (SELECT 0 AS it, class, {zeros} AS w, {zeros} AS y FROM {name}_c UNION ALL
+ SELECT any_value(it) + 1, class, list(w2 ORDER BY dim), list(w2 + 0.75 * (w2 - w1) ORDER BY dim) FROM (
+  SELECT it, class, dim, w1, y1 - (-g / total + CASE WHEN dim <= {DIMS} THEN reg * y1 ELSE 0 END) / (4.1 + reg) AS w2 FROM (
+   SELECT any_value(it) AS it, class, dim, any_value(total) AS total, any_value(reg) AS reg, any_value(w[dim]) AS w1, any_value(y[dim]) AS y1, sum({push} * u[dim]) AS g FROM (
+    SELECT *, 1 - sgn * list_dot_product(u, y) AS short FROM (
+     SELECT m.it, m.class, m.w, m.y, c.total, c.reg, x.u, CASE WHEN x.label = m.class THEN c.cost ELSE 1.0 END AS own, CASE WHEN x.label = m.class THEN 1.0 ELSE -1.0 END AS sgn
+     FROM {name}_gd m JOIN {name}_c c USING (class) CROSS JOIN {name}_x x WHERE m.it < {rounds})), (SELECT unnest(range(1, {DIMS + 2})) AS dim) GROUP BY class, dim)) GROUP BY class),
+{name} AS (SELECT class, w FROM {name}_gd WHERE it = {rounds})"""
+
+
+def evaluate_sql(model: str, rows: str) -> str:
+    """CTEs up to ``all_metrics``: the metrics of a model on labelled rows, one row."""
+    marginals = MARG[len(PAIRS) + 2:]
+    return f"""pairs AS (SELECT label AS real, arg_max(class, (score, -class)) AS pred FROM (SELECT sample_id, label, class, list_dot_product(list_append(v, 1.0::DOUBLE), w) AS score FROM {rows} CROSS JOIN {model}) GROUP BY sample_id, label),
+{marginals}, w1 AS (SELECT sum(tp) * 100.0::DOUBLE / sum(row_n) AS acc, avg(p) AS p, avg(r) AS r, avg(f1) AS f, sum(p * row_n) / sum(row_n) AS pw, sum(r * row_n) / sum(row_n) AS rw,
+ sum(f1 * row_n) / sum(row_n) AS fw, sum(tp) * 100.0::DOUBLE / sum(col_n) AS pm FROM f),
+w2 AS (SELECT sum(tp)::DOUBLE AS tr, sum(row_n)::DOUBLE AS n, sum(row_n::DOUBLE * col_n) AS rc, sum(row_n::DOUBLE * row_n) AS rr, sum(col_n::DOUBLE * col_n) AS cc FROM m),
+all_metrics AS (SELECT acc AS accuracy, r AS balanced_accuracy, p AS precision_macro, r AS recall_macro, f AS f1_macro, pw AS precision_weighted, rw AS recall_weighted, fw AS f1_weighted, pm AS precision_micro,
+ acc AS recall_micro, CASE WHEN pm + acc > 0 THEN 2 * pm * acc / (pm + acc) ELSE 0 END AS f1_micro, coalesce((tr * n - rc) * 100.0 / nullif(sqrt((n * n - cc) * (n * n - rr)), 0), 0) AS mcc FROM w1, w2)"""
+
+
+EVALUATED = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted", "precision_micro", "recall_micro", "f1_micro", "mcc")
+RECURSIVE = f"WITH RECURSIVE {PARTS}"
+
+
+@query(f"{RECURSIVE}, {fit_sql('fitted', 'train', '0.1')}, {evaluate_sql('fitted', 'test')} SELECT {', '.join(f'{s6(c)} AS {c}' for c in EVALUATED)} FROM all_metrics")
 def ova_svm_fit(spark, sf):
     train, test = parts(spark, sf)
-    return rounded(linear.evaluate(test, linear.ova_svm_fit(train, 0.01, 20)))
+    return rounded(linear.evaluate(test, linear.ova_svm_fit(train, 0.1)))
 
 
-@query()
+def _weights(model):
+    """Bias, length and direction of each class's weights."""
+    ramp = F.transform("w", lambda x, i: (i + 1).cast("double"))
+    return model.select("class", F.size("w").cast("long").alias("dims"), r6("b", 4).alias("b"), r6(V.l2_norm(F.col("w")), 4).alias("norm"), r6(V.dot(F.col("w"), ramp), 3).alias("ramp"))
+
+
+WEIGHTS = f"""SELECT class, {DIMS}::BIGINT AS dims, {s6(f'w[{DIMS + 1}]', 4)} AS b, {s6(f'sqrt(list_dot_product(w[1:{DIMS}], w[1:{DIMS}]))', 4)} AS norm,
+ {s6(f'list_dot_product(w[1:{DIMS}], list_transform(range(1, {DIMS + 1}), lambda x: x::DOUBLE))', 3)} AS ramp FROM """
+
+
+@query(f"{RECURSIVE}, {fit_sql('fitted', 'train', '0.1')} {WEIGHTS} fitted")
+def ova_svm_weights(spark, sf):
+    """The fitted weights themselves, against gradient descent run to its end."""
+    return _weights(linear.ova_svm_fit(parts(spark, sf)[0], 0.1))
+
+
+IMBALANCE = f"least(greatest(sqrt((n - k) / greatest(k, 1)) * {V.WEIGHT_FACTOR}, {V.WEIGHT_MIN}), {V.WEIGHT_MAX})"
+
+
+@query(f"{RECURSIVE}, {fit_sql('fitted', 'train', '1 / (0.02 * n)', IMBALANCE)} {WEIGHTS} fitted")
 def ova_svm_fit_weighted(spark, sf):
-    train, _ = parts(spark, sf)
-    model = linear.ova_svm_fit_weighted(train, 1.0, 10)
-    return model.select("class", F.size("w").cast("long").alias("dims"), r6("b").alias("b"))
+    return _weights(linear.ova_svm_fit_weighted(parts(spark, sf)[0], 0.02))
 
 
-@query()
+@query(f"{RECURSIVE}, {fit_sql('fitted', 'train', '0.1', '(1.0 + class % 3)'.replace('class', 'label'))}, {evaluate_sql('fitted', 'test')} SELECT {s6('accuracy', 2)} AS accuracy, {s6('f1_macro', 2)} AS f1_macro, {s6('mcc', 2)} AS mcc FROM all_metrics")
 def ova_hinge_fit(spark, sf):
-    """All classes in one pass per round."""
+    """All classes in each pass, with a weight of its own for each."""
     train, test = parts(spark, sf)
-    return rounded(linear.evaluate(test, hinge.ova_hinge_fit(train, 0.001, 5)).select("accuracy", "f1_macro", "mcc"), digits=2)
+    model = hinge.ova_hinge_fit(train, 0.1, weights={k: 1.0 + k % 3 for k in range(10)})
+    return rounded(linear.evaluate(test, model).select("accuracy", "f1_macro", "mcc"), digits=2)
 
 
-@query()
+@query(f"""{RECURSIVE}, known AS (SELECT * FROM train WHERE label <> 9), {fit_sql('base', 'known', '0.1')},
+k AS (SELECT label, row_number() OVER (ORDER BY md5(CAST(label AS VARCHAR) || ':42'), label) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM known)),
+sampled AS (SELECT * FROM train WHERE label = 9 OR label IN (SELECT label FROM k WHERE r <= least(greatest(ceil(n * 0.75), 1), n))), {fit_sql('added', 'sampled', '0.1', classes='label = 9')},
+s AS (SELECT avg(w[{DIMS + 1}]) AS m, stddev_pop(w[{DIMS + 1}]) AS s FROM base),
+one AS (SELECT class, w[1:{DIMS}] AS v, w[{DIMS + 1}] AS b, m, s FROM added, s),
+done AS (SELECT class, list_append(v, CASE WHEN b > m + 3 * s THEN (b + m + 2.5 * s) / 2 WHEN b < m - 3 * s THEN (b + m - 2.5 * s) / 2 ELSE b END) AS w FROM one UNION ALL SELECT class, w FROM base)
+{WEIGHTS} done""")
 def add_class(spark, sf):
     train, _ = parts(spark, sf)
-    base = linear.ova_svm_fit(train.filter("label <> 9"), 0.01, 10)
-    return linear.add_class(base, train, 9, 0.01, 10).select("class", F.size("w").cast("long").alias("dims"), r6("b").alias("b"))
+    base = linear.ova_svm_fit(train.filter("label <> 9"), 0.1)
+    return _weights(linear.add_class(base, train, 9, 0.1))
 
 
 @query(f"""WITH {EMB}, c AS (SELECT label, row_number() OVER (ORDER BY md5(CAST(label AS VARCHAR) || ':42'), label) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM emb WHERE label <> 4))
@@ -103,12 +158,21 @@ def k_template_scores(spark, sf):
 @query()
 def sweep_components(spark, sf):
     train, test = parts(spark, sf)
-    return rounded(linear.sweep(train, test, regs=(0.01, 0.1), pca=(35, 55), reg=0.01, iterations=5))
+    return rounded(linear.sweep(train, test, regs=(0.01, 0.1), pca=(35, 55), reg=0.01))
 
 
-@query()
+def _run_sql(k: int, run: int) -> str:
+    """One run of the learning curve: its classes, its split, its fit, its metrics."""
+    parts_sql = PARTS.replace(":42", f":{42 + run}").replace("FROM emb)", "FROM emb WHERE label IN (SELECT label FROM chosen))")
+    chosen = f"""chosen AS (SELECT label FROM (SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM embeddings GROUP BY ALL) WHERE n >= 20 ORDER BY md5(CAST(label AS VARCHAR) || ':{42 + run}'), label LIMIT {k})"""
+    return f"""(WITH RECURSIVE {chosen}, {parts_sql}, {fit_sql('fitted', 'train', '0.1')}, {evaluate_sql('fitted', 'test')}
+SELECT {k}::BIGINT AS classes, accuracy, f1_macro AS f1, balanced_accuracy AS balanced, mcc FROM all_metrics)"""
+
+
+@query(f"""SELECT classes, count(*) AS runs, {', '.join(f"{s6(f'avg({c})')} AS {c}_mean, {s6(f'stddev_samp({c})')} AS {c}_sd" for c in ('accuracy', 'f1', 'balanced', 'mcc'))}
+FROM ({' UNION ALL '.join(f'SELECT * FROM {_run_sql(k, r)}' for k in (2, 4) for r in (0, 1))}) GROUP BY classes""")
 def learning_curve(spark, sf):
-    runs = linear.learning_curve(vectors(spark, sf), (2, 4), repeats=2, min_rows=20, reg=0.01, iterations=5)
+    runs = linear.learning_curve(vectors(spark, sf), (2, 4), repeats=2, min_rows=20, reg=0.1)
     return rounded(metrics.learning_curve_summary(runs))
 
 

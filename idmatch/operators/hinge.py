@@ -1,85 +1,19 @@
-"""All one-vs-rest hinge classifiers in one pass per round.
-
-OneVsRest reads the rows once per class and iteration. Here every task runs mini-batch steps for all classes
-at once on its own rows, starting from the shared model, and sends one weight row per class; the rows are
-averaged by the number of samples behind them. Ten rounds read the data ten times, whatever the number of
-classes.
-"""
+"""All one-vs-rest hinge classifiers with a weight for each class's own rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from idmatch.functions import vectors as V
-from idmatch.operators.linear import _model_rows
-from idmatch.operators.matrices import matrix
-from idmatch.operators.scoring import GALLERY_BYTES
 
-STEP_ROWS = 64
-START_RATE = 0.5
+from idmatch.operators import joint
+from idmatch.operators.linear import PASSES, _model_rows
 
 
-def ova_hinge_fit(df: DataFrame, c: float = 0.001, rounds: int = 10, weights: dict[int, float] | None = None,
+def ova_hinge_fit(df: DataFrame, c: float = 0.001, rounds: int = PASSES, weights: Mapping[int, float] | None = None,
                   label: str = "label", v: str = "v") -> DataFrame:
-    """Linear hinge per class with L2 weight ``c``, best round kept per class.
+    """Linear hinge per class with L2 weight ``c``; ``weights`` gives the weight of the positive side per class.
 
-    ``weights`` gives the weight of the positive side per class. The model (classes x dimension) must fit
-    the size that tasks are handed; larger class sets are fitted in groups of classes.
+    All classes share each pass over the rows (:func:`joint.joint_fit`); class sets of any size are fitted in groups.
     """
-    rows = df.select(V.as_vector(v).alias("v"), F.col(label).cast("long").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    d = rows.agg(F.max(F.size("v"))).first()[0]
-    rows_d = rows.filter(F.size("v") == d)
-    classes = np.array([r["label"] for r in rows_d.select("label").distinct().orderBy("label").collect()])
-    if len(classes) * d * 8 > GALLERY_BYTES:
-        raise ValueError(f"{len(classes)} classes x {d} dimensions exceed one model of {GALLERY_BYTES} bytes")
-    scale = np.array([(weights or {}).get(int(k), 1.0) for k in classes])
-    w, b = np.zeros((len(classes), d)), np.zeros(len(classes))
-    best = (np.full(len(classes), np.inf), w.copy(), b.copy())
-    for r in range(rounds):
-        w, b, loss = _round(rows_d, classes, scale, w, b, c, START_RATE / (1 + r))
-        better = loss < best[0]
-        best = tuple(np.where(better if x.ndim == 1 else better[:, None], x, y) for x, y in zip((loss, w, b), best))
-    rows.unpersist()
-    return _model_rows(df.sparkSession, [(int(k), best[1][i].tolist(), float(best[2][i])) for i, k in enumerate(classes)])
-
-
-def _round(rows: DataFrame, classes, scale, w0, b0, c: float, rate: float):
-    """One pass: local steps in every task, then the weighted mean of the task models."""
-    k, d = w0.shape
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, n, loss = w0.copy(), b0.copy(), 0, np.zeros(k)
-        for batch in batches:
-            x_all = matrix(batch.column("v")) if batch.num_rows else np.zeros((0, d))
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
-            for s in range(0, len(x_all), STEP_ROWS):
-                x, own = x_all[s:s + STEP_ROWS], labels[s:s + STEP_ROWS, None] == classes[None, :]
-                y = np.where(own, 1.0, -1.0)
-                slack = np.maximum(0.0, 1.0 - y * (x @ w.T + b))
-                push = np.where(slack > 0, y * np.where(own, scale, 1.0), 0.0) / len(x)
-                loss += slack.sum(axis=0)
-                w += rate * (push.T @ x - c * w)
-                b += rate * push.sum(axis=0)
-                n += len(x)
-        if n:
-            ends = pa.array(np.arange(0, (k + 1) * d, d), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k)), pa.array(np.full(k, float(n))), pa.array(loss), pa.array(b),
-                 pa.ListArray.from_arrays(ends, pa.array(w.reshape(-1)))], ["k", "n", "loss", "b", "w"],
-            )
-
-    parts = rows.mapInArrow(local, "k long, n double, loss double, b double, w array<double>")
-    merged = parts.groupBy("k").agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum(F.col("b") * F.col("n")).alias("b"),
-        vector_to_array(Summarizer.mean(array_to_vector("w"), F.col("n"))).alias("w"),
-    ).orderBy("k").collect()
-    n = merged[0]["n"]
-    return np.array([r["w"] for r in merged]), np.array([r["b"] for r in merged]) / n, np.array([r["loss"] for r in merged]) / n
+    return _model_rows(df.sparkSession, joint.joint_fit(df, c, weights, rounds, label=label, v=v))

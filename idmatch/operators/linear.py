@@ -1,4 +1,4 @@
-"""Linear one-vs-rest models: fitting with Spark ML, bias rules, adding a class, sweeps.
+"""Linear one-vs-rest models: fitting, bias rules, adding a class, sweeps.
 
 A model is a table with one row per class: (class, w, b, platt_a, platt_b, thr). The last three are
 carried for stored models and stay null: nothing here fits them.
@@ -8,17 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
 from idmatch.functions.draws import shuffle_key
-from idmatch.operators import exact, metrics, reduce, scoring, split
+from idmatch.operators import exact, joint, metrics, reduce, scoring, split
 from idmatch.operators.rows import beside
 from idmatch.session import durable
 
@@ -30,53 +26,16 @@ MIN_CURVE_ROWS = 42
 PCA_SWEEP = (35, 45, 55, 65, 75, 85, 95)
 
 MODEL_SCHEMA = "class long, w array<double>, b double, platt_a double, platt_b double, thr double"
-PARALLEL_FITS = 8
-PARTITION_BYTES = 64 * 2**20
+PASSES = 100
 
 
 def _model_rows(spark, rows: list[tuple[int, list[float], float]]) -> DataFrame:
     return spark.createDataFrame([(c, w, b, None, None, None) for c, w, b in rows], MODEL_SCHEMA)
 
 
-def _svc(reg: float, iterations: int, **kw) -> LinearSVC:
-    return LinearSVC(regParam=reg, maxIter=iterations, standardization=False, **kw)
-
-
-def _features(df: DataFrame, v: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(V.as_vector(v)))
-
-
-def _held(rows: DataFrame) -> DataFrame:
-    """Fitting input kept for the passes to come, in partitions of about PARTITION_BYTES (never more than it has)."""
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size(vector_to_array("features"))).alias("d")).first()
-    wanted = (size["n"] * ((size["d"] or 0) * 8 + 16)) // PARTITION_BYTES + 1
-    return rows.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def ova_svm_fit(df: DataFrame, reg: float = 0.001, iterations: int = 50, label: str = "label", v: str = "v") -> DataFrame:
-    """One hinge-loss classifier per class through OneVsRest."""
-    labels = split.dense_labels(df, label).persist(StorageLevel.MEMORY_AND_DISK)
-    data = _held(_features(df, v).join(labels.withColumnRenamed("ext_id", label), label).select(
-        "features", F.col("class_idx").cast("double").alias("y")
-    ))
-    fitted = OneVsRest(classifier=_svc(reg, iterations), labelCol="y", featuresCol="features",
-                       parallelism=PARALLEL_FITS).fit(data)
-    names = [r["ext_id"] for r in labels.orderBy("class_idx").collect()]
-    labels.unpersist()
-    data.unpersist()
-    rows = [(int(c), m.coefficients.toArray().tolist(), float(m.intercept)) for c, m in zip(names, fitted.models)]
-    return _model_rows(df.sparkSession, rows)
-
-
-def _fit_one(data: DataFrame, cls: int, reg: float, iterations: int, weight: float | None) -> tuple[int, list, float]:
-    y = (F.col("label") == cls).cast("double")
-    rows = data.select("features", y.alias("y"))
-    if weight is None:
-        fitted = _svc(reg, iterations, labelCol="y").fit(rows)
-    else:
-        rows = rows.withColumn("cost", F.when(F.col("y") == 1.0, weight).otherwise(1.0))
-        fitted = _svc(reg, iterations, labelCol="y", weightCol="cost").fit(rows)
-    return int(cls), fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+def ova_svm_fit(df: DataFrame, reg: float = 0.001, passes: int = PASSES, label: str = "label", v: str = "v") -> DataFrame:
+    """One hinge-loss classifier per class, all fitted together (:func:`joint.joint_fit`)."""
+    return _model_rows(df.sparkSession, joint.joint_fit(df, reg, passes=passes, label=label, v=v))
 
 
 def positive_weight(negatives: int, positives: int, logarithmic: bool = False) -> float:
@@ -86,21 +45,13 @@ def positive_weight(negatives: int, positives: int, logarithmic: bool = False) -
     return min(max(raw, V.WEIGHT_MIN), V.WEIGHT_MAX)
 
 
-def ova_svm_fit_weighted(df: DataFrame, c: float = 1.0, iterations: int = 50, label: str = "label", v: str = "v",
+def ova_svm_fit_weighted(df: DataFrame, c: float = 1.0, passes: int = PASSES, label: str = "label", v: str = "v",
                          logarithmic: bool = False) -> DataFrame:
-    """One classifier per class with the positive side weighted by its imbalance and 1 / (C m) as L2.
-
-    A weight that depends on the class cannot be one OneVsRest weight column, so the classes are fitted as
-    separate jobs, a few at a time, over one shared input.
-    """
-    data = _held(_features(df, v).select("features", F.col(label).alias("label")))
-    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """One classifier per class with the positive side weighted by its imbalance and 1 / (C m) as L2."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     m = sum(counts.values())
-    fit = lambda k: _fit_one(data, k, 1.0 / (c * m), iterations, positive_weight(m - counts[k], counts[k], logarithmic))
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        rows = list(pool.map(fit, sorted(counts)))
-    data.unpersist()
-    return _model_rows(df.sparkSession, rows)
+    weights = {k: positive_weight(m - n, n, logarithmic) for k, n in counts.items()}
+    return _model_rows(df.sparkSession, joint.joint_fit(df, 1.0 / (c * max(m, 1)), weights, passes, label=label, v=v))
 
 
 def negative_class_sample(df: DataFrame, new_class: int, share: float = NEGATIVE_CLASS_SHARE, seed: int = 42,
@@ -151,7 +102,7 @@ def one_vs_rest_counts(df: DataFrame, model: DataFrame, label: str = "label", ke
     return metrics.binary_columns(counts)
 
 
-def add_class(model: DataFrame, df: DataFrame, new_class: int, reg: float = 0.001, iterations: int = 50,
+def add_class(model: DataFrame, df: DataFrame, new_class: int, reg: float = 0.001, passes: int = PASSES,
               share: float = NEGATIVE_CLASS_SHARE, seed: int = 42, label: str = "label", v: str = "v") -> DataFrame:
     """Model with one more class, fitted against a seeded share of the other classes.
 
@@ -161,9 +112,7 @@ def add_class(model: DataFrame, df: DataFrame, new_class: int, reg: float = 0.00
     if model.filter(F.col("class") == new_class).limit(1).count():
         raise ValueError(f"class {new_class} is already in the model")
     rows = negative_class_sample(df, new_class, share, seed, label)
-    data = _held(_features(rows, v).select("features", F.col(label).alias("label")))
-    fitted = _model_rows(df.sparkSession, [_fit_one(data, new_class, reg, iterations, None)])
-    data.unpersist()
+    fitted = _model_rows(df.sparkSession, joint.joint_fit(rows, reg, passes=passes, only=[new_class], label=label, v=v))
     return model.unionByName(bias_clamp(fitted, model))
 
 
@@ -181,14 +130,14 @@ def evaluate(df: DataFrame, model: DataFrame, **names) -> DataFrame:
 
 
 def sweep(train: DataFrame, test: DataFrame, regs: Iterable[float] = (), pca: Iterable[int] = (),
-          reg: float = 0.001, iterations: int = 50, **names) -> DataFrame:
+          reg: float = 0.001, passes: int = PASSES, **names) -> DataFrame:
     """One row per tried value: regularisations on the given vectors, then component counts at ``reg``.
 
     The component counts share one PCA fit: the k leading components are the same for every k.
     """
     out: list[DataFrame] = []
     for r in regs:
-        result = evaluate(test, ova_svm_fit(train, r, iterations), **names)
+        result = evaluate(test, ova_svm_fit(train, r, passes), **names)
         out.append(result.select(F.lit("reg").alias("parameter"), F.lit(float(r)).alias("value"), *result.columns))
     counts = sorted(set(pca))
     if counts:
@@ -196,7 +145,7 @@ def sweep(train: DataFrame, test: DataFrame, regs: Iterable[float] = (), pca: It
         for k in counts:
             cut = fitted.select("mean", F.slice("components", 1, k).alias("components"), F.slice("values", 1, k).alias("values"))
             a, b = reduce.project_vectors(train, cut), reduce.project_vectors(test, cut)
-            result = evaluate(b, ova_svm_fit(a, reg, iterations), **names)
+            result = evaluate(b, ova_svm_fit(a, reg, passes), **names)
             out.append(result.select(F.lit("components").alias("parameter"), F.lit(float(k)).alias("value"), *result.columns))
     table = out[0]
     for more in out[1:]:
@@ -205,7 +154,7 @@ def sweep(train: DataFrame, test: DataFrame, regs: Iterable[float] = (), pca: It
 
 
 def learning_curve(df: DataFrame, class_counts: Iterable[int], repeats: int = 3, min_rows: int = MIN_CURVE_ROWS,
-                   ratio: float = 0.2, reg: float = 0.001, iterations: int = 50, seed: int = 42,
+                   ratio: float = 0.2, reg: float = 0.001, passes: int = PASSES, seed: int = 42,
                    key: str = "sample_id", label: str = "label") -> DataFrame:
     """One row per (class count, repeat): seeded classes with enough rows, split, fit, metrics."""
     big = df.groupBy(label).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_rows).select(label)
@@ -215,7 +164,7 @@ def learning_curve(df: DataFrame, class_counts: Iterable[int], repeats: int = 3,
             s = seed + r
             chosen = big.orderBy(shuffle_key(F.col(label), s), label).limit(k)
             parts = split.split_ratio(df.join(chosen, label, "left_semi"), ratio, key, label, s)
-            model = ova_svm_fit(parts.filter("split = 'train'"), reg, iterations, label)
+            model = ova_svm_fit(parts.filter("split = 'train'"), reg, passes, label)
             result = evaluate(parts.filter("split = 'test'"), model, key=key, label=label)
             row = result.select(
                 F.lit(k).cast("long").alias("classes"), F.lit(r).cast("long").alias("run"), "accuracy",
