@@ -1,4 +1,7 @@
-"""Linear reductions (PCA, LDA): distributed scatter, a d x d solve on the driver, projection in batches."""
+"""Linear reductions (PCA, LDA): distributed scatter, a d x d solve on the driver, projection in batches.
+
+Vectors wider than MAX_DIMS are reduced without that matrix (``wide``).
+"""
 
 from __future__ import annotations
 
@@ -12,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idmatch.functions import vectors as V
+from idmatch.operators import wide
 from idmatch.operators.matrices import matrix
 from idmatch.session import durable
 
 # Fixed values.
 PCA_COMPONENTS = 120
 LDA_RIDGE = 0.001
-#: The d x d problem is solved on the driver: 200 MB a matrix at this size.
+#: Up to this width the d x d problem is solved on the driver: 200 MB a matrix.
 MAX_DIMS = 5000
 #: Bytes of scatter matrices that all tasks together send, about.
 SCATTER_BYTES = 4 << 30
@@ -30,13 +34,17 @@ def _model(spark: SparkSession, mean: np.ndarray, components: np.ndarray, values
     return spark.createDataFrame([(mean.tolist(), components.tolist(), values.tolist())], MODEL_SCHEMA)
 
 
-def _bounded_dims(df: DataFrame, v: str) -> int:
+def _dims(df: DataFrame, v: str) -> int:
     d = df.agg(F.max(F.size(v))).first()[0] or 0
-    if not 0 < d <= MAX_DIMS:
-        raise ValueError(f"dimension {d} is outside 1..{MAX_DIMS}")
+    if d < 1:
+        raise ValueError("there is no vector to fit")
     return d
 
 
+def _signed(components: np.ndarray) -> np.ndarray:
+    return components * np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])[:, None]
+
+
 def vector_mean(df: DataFrame, v: str = "v") -> np.ndarray:
     mean = df.agg(vector_to_array(Summarizer.mean(array_to_vector(V.as_vector(v)))).alias("m")).first()["m"]
     return np.array(mean)
@@ -50,7 +58,7 @@ def scatter(df: DataFrame, centre: np.ndarray, v: str = "v", weight: str | None
     send stays near ``SCATTER_BYTES`` whatever the number of rows. Rows of another width are left out.
     """
     d = len(centre)
-    rows = df.select(V.as_vector(v).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter(F.size("v") == d)
+    rows = _weighted(df, d, v, weight)
     if d > 512:
         rows = rows.coalesce(max(8, SCATTER_BYTES // (4 * d * d)))
 
@@ -79,15 +87,21 @@ def pca_fit(df: DataFrame, k: int = PCA_COMPONENTS, v: str = "v") -> DataFrame:
 
     A component's sign makes its largest value positive.
     """
-    d = _bounded_dims(df, v)
+    d = _dims(df, v)
     k = min(k, d)
     mean = vector_mean(df.filter(F.size(v) == d), v)
     n = df.filter(F.size(v) == d).count()
+    if d > MAX_DIMS:
+        values, components = wide.principal(durable(_weighted(df, d, v)), mean, n, k)
+        return _model(df.sparkSession, mean, _signed(components), values)
     values, vectors = np.linalg.eigh(scatter(df, mean, v) / max(n - 1, 1))
     order = np.argsort(-values, kind="stable")[:k]
-    components = vectors[:, order].T
-    signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])
-    return _model(df.sparkSession, mean, components * signs[:, None], values[order])
+    return _model(df.sparkSession, mean, _signed(vectors[:, order].T), values[order])
+
+
+def _weighted(df: DataFrame, d: int, v: str, weight: str | None = None) -> DataFrame:
+    """Rows (v, w) of one width."""
+    return df.select(V.as_vector(v).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter(F.size("v") == d)
 
 
 def lda_fit(df: DataFrame, k: int, label: str = "label", v: str = "v") -> DataFrame:
@@ -95,13 +109,19 @@ def lda_fit(df: DataFrame, k: int, label: str = "label", v: str = "v") -> DataFr
 
     Within-scatter is total minus between scatter, so the rows are read once and never joined to class means.
     """
-    d = _bounded_dims(df, v)
+    d = _dims(df, v)
     df = durable(df.select(F.col(label).alias(label), V.as_vector(v).alias(v)).filter(F.size(v) == d))
     mean = vector_mean(df, v)
     groups = df.groupBy(label).agg(
         Summarizer.metrics("mean", "count").summary(array_to_vector(V.as_vector(v))).alias("s")
     ).select(vector_to_array("s.mean").alias("v"), F.col("s.count").alias("n"))
     groups = durable(groups)
+    if d > MAX_DIMS:
+        k = max(1, min(k, groups.count() - 1, d))
+        rows, centres = _weighted(df, d, v), _weighted(groups, d, "v", "n")
+        add = LDA_RIDGE * (wide.trace(rows, mean) - wide.trace(centres, mean)) / d
+        values, w = wide.discriminants(lambda b: wide.scatter_times(rows, mean, b), lambda b: wide.scatter_times(centres, mean, b), d, add, k)
+        return _model(df.sparkSession, mean, w, values)
     between = scatter(groups, mean, "v", "n")
     within = scatter(df, mean, v) - between
     within += np.eye(d) * (LDA_RIDGE * np.trace(within) / d)
@@ -118,7 +138,7 @@ def lda_fit(df: DataFrame, k: int, label: str = "label", v: str = "v") -> DataFr
 def project_vectors(df: DataFrame, model: DataFrame, v: str = "v") -> DataFrame:
     """(x - mean) on every component; rows of another dimension are dropped.
 
-    The model is one row of at most MAX_DIMS x MAX_DIMS numbers; rows stay in place.
+    The model is one row; rows stay in place.
     """
     row = model.first()
     mean, components = np.array(row["mean"]), np.array(row["components"])
