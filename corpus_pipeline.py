@@ -6,12 +6,15 @@ identify a row by its doc_id and text, so rows that agree in both are one docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idmatch.llm import classifier, copies, decontaminate, jaccard, mixing, substrings
 from idmatch.llm.words import typed
-from idmatch.session import durable
+from idmatch.session import drop, durable, scratch
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 #: No stage but the first and third has an SQL form that DuckDB could run on whole tables; tests hold run() against a
@@ -19,6 +22,25 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The scratch folder that the last stage of each session left for its result.
+_LEFT: dict[SparkSession, str] = {}
+
+
+def _stage(fn: Stage) -> Stage:
+    """A stage keeps its intermediate tables in a folder of its own until the next one begins: by then its result is
+    written, and nothing reads them any more."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if left := _LEFT.pop(spark, None):
+            drop(spark, left)
+        with scratch(spark) as _LEFT[spark]:
+            return fn(spark, docs, sf_dir)
+
+    return run
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """The columns of documents with the row's uid."""
     rows = typed(docs, **COLUMNS)
@@ -56,8 +78,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _rows(docs).join(taken.dropDuplicates(["uid"]), "uid").select(*COLUMNS, "taken")
 
 
-STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages),
-          ("benchmark decontamination", benchmark_leaks), ("mixing sources", mix)]
+STAGES = [("quality classifier", _stage(quality)), ("n-gram Jaccard join", _stage(near_duplicates)), ("substring dedup", _stage(repeated_passages)),
+          ("benchmark decontamination", _stage(benchmark_leaks)), ("mixing sources", _stage(mix))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

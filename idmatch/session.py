@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting that names the folder of the ``scratch`` block around a call.
+SCOPE = "idmatch.scratch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
@@ -35,5 +40,22 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, or under the folder of the ``scratch`` block around the call."""
+    return f"{(spark.conf.get(SCOPE, None) or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block go to one folder, whose path it gives; see ``drop``."""
+    before, folder = spark.conf.get(SCOPE, None), scratch_path(spark, "scratch")
+    spark.conf.set(SCOPE, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(SCOPE, before) if before else spark.conf.unset(SCOPE)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a ``scratch`` folder once nothing that was made of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
