@@ -8,7 +8,7 @@ from idmatch.functions import vectors as V
 from idmatch.operators import curves, metrics, reduce, split, vectorsets
 from idmatch.operators.rows import beside
 from idmatch.session import scratch_path
-from idmatch.sources import folders, records, tables, text_files
+from idmatch.sources import folders, records, tables, text_files, versions
 
 SUMS = f"""SELECT label, count(*) AS n, CAST(min(len(v)) AS BIGINT) AS d, {s6('sum(list_sum(list_transform(v, lambda x, i: x * i)))', 4)} AS weighted FROM emb GROUP BY label"""
 
@@ -190,6 +190,40 @@ def snapshot_rollback(spark, sf):
     return _sums(tables.rollback(spark, root, version, current))
 
 
+def _customers(spark, sf):
+    """A versioned table of customers, then one with the last event of each user in their place: (root, numbers of both)."""
+    root = scratch_path(spark, "customers")
+    old = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.lit(-1).cast("long").alias("event_id"))
+    first = versions.create(old, root, ["k"], file_rows=max(1, old.count() // 16))
+    return root, first, versions.upsert(root, table(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id"), "event_id")
+
+
+@query("""SELECT user_id AS k, arg_max(event_id, event_id) AS event_id FROM events GROUP BY user_id
+ UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
+def versioned_upsert(spark, sf):
+    root, _, last = _customers(spark, sf)
+    return versions.read(spark, root, last)
+
+
+@query("SELECT c_custkey AS k, -1::BIGINT AS event_id FROM customer")
+def versioned_rollback(spark, sf):
+    """The first version again, by one published manifest."""
+    root, first, _ = _customers(spark, sf)
+    return versions.read(spark, root, versions.rollback(spark, root, first))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer) THEN 1 ELSE -1 END::BIGINT AS event_id, true AS one_file FROM customer")
+def versioned_touch(spark, sf):
+    """A change of one key: the table after it, and whether exactly one file gave way to one other."""
+    root, first, _ = _customers(spark, sf)
+    versions.rollback(spark, root, first)
+    one = table(spark, sf, "customer").agg(F.min("c_custkey").alias("k")).withColumn("event_id", F.lit(1))
+    last = versions.upsert(root, one, "event_id")
+    before, after = (versions.version(spark, root, n).files.select("file") for n in (first, last))
+    gone, come = before.exceptAll(after).count(), after.exceptAll(before).count()
+    return versions.read(spark, root).withColumn("one_file", F.lit(gone == 1 and come == 1))
+
+
 @query("SELECT item_id AS id_texto, text AS frase, 'activo' AS estado_texto FROM benchmark")
 def seed_phrases(spark, sf):
     """Benchmark texts as the phrase list; the list of stored phrases is covered by tests."""
