@@ -39,6 +39,20 @@ def phrase_match(spark, sf):
     return j.select("item_id", r6(X.text_similarity(a, b)).alias("similarity"), X.similar_at_least(a, b, 0.2).alias("matched"))
 
 
+@query(f"""WITH b AS (SELECT item_id, {NORM.format('text')} AS phrase FROM benchmark), s AS (SELECT item_id, phrase, substr(phrase, 1, CAST(len(phrase) * (5 + item_id % 6) // 10 AS BIGINT)) AS cut FROM b),
+d AS (SELECT item_id, phrase, CASE WHEN item_id % 2 = 0 THEN cut ELSE reverse(substr(reverse(phrase), 1, len(cut))) END AS said FROM s)
+SELECT item_id, {s6('1 - levenshtein(said, phrase) * 1.0 / greatest(len(said), len(phrase))')} AS similarity, {', '.join(f'1 - levenshtein(said, phrase) * 1.0::DOUBLE / greatest(len(said), len(phrase)) >= {x} AS {n}' for n, x in (('login', 0.7), ('strict', 0.85)))} FROM d""")
+def phrase_levels(spark, sf):
+    """Phrases that lack between none and half of their characters, at their beginning or end, at both levels."""
+    phrase = table(spark, sf, "benchmark").select("item_id", X.normalize_text(F.col("text")).alias("phrase"))
+    n = F.floor(F.length("phrase") * (5 + F.col("item_id") % 6) / 10).cast("int")
+    said = F.when(F.col("item_id") % 2 == 0, F.substring("phrase", F.lit(1), n)).otherwise(F.reverse(F.substring(F.reverse("phrase"), F.lit(1), n)))
+    rows = phrase.withColumn("said", said)
+    a, b = F.col("said"), F.col("phrase")
+    return rows.select("item_id", r6(X.text_similarity(a, b)).alias("similarity"), X.similar_at_least(a, b, X.LOGIN_SIMILARITY).alias("login"),
+                       X.similar_at_least(a, b, X.STRICT_SIMILARITY).alias("strict"))
+
+
 @query("""SELECT doc_id, CASE WHEN regexp_matches(source || doc_id, '^\\d{3}') THEN 1 ELSE NULL END AS bad, CASE WHEN doc_id < 1000 THEN doc_id ELSE CAST(left(doc_id::VARCHAR, 3) AS BIGINT) END AS id,
  CAST(coalesce(nullif(regexp_extract(source || '_' || doc_id, '(\\d+)', 1), ''), '-1') AS BIGINT) AS first_number FROM documents""")
 def id_from_name(spark, sf):

@@ -26,16 +26,20 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 
 def similar_at_least(a: Column, b: Column, level: float) -> Column:
-    """``text_similarity(a, b) >= level`` without the full distance matrix for far-apart texts.
+    """``text_similarity(a, b) >= level``, with an edit distance that stops where the level is out of reach.
 
-    Length difference is a lower bound of the distance, so most pairs are settled before any edit
-    distance is computed; the comparison itself is exact.
+    A level allows a pair so many edits, which depends on its longer text. Texts whose lengths differ by more are settled
+    at once; the others are compared within a band of that width around the diagonal, not over the whole matrix. The
+    answer is exact.
     """
     longest = F.greatest(F.length(a), F.length(b))
-    gap = F.abs(F.length(a) - F.length(b))
-    return F.when(longest == 0, F.lit(None).cast("boolean")).when(
-        (1.0 - gap / longest) >= level, (1.0 - F.levenshtein(a, b) / longest) >= level
-    ).otherwise(False)
+    edits = F.ceil((1.0 - level) * longest).cast("int")  # one too many at most; the last comparison decides
+    distance = F.call_function("levenshtein", a, b, edits)
+    return (
+        F.when(longest == 0, F.lit(None).cast("boolean"))
+        .when(F.abs(F.length(a) - F.length(b)) > edits, False)
+        .otherwise((distance >= 0) & ((1.0 - distance / longest) >= level))
+    )
 
 
 def id_from_name(name: Column, digits: int = 3) -> Column:

@@ -1,6 +1,7 @@
 """Guards of the column functions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,12 @@ def test_text(spark):
     assert [check(text.is_number, t) for t in ("12", "-3.5", ".5", "1.2.3", "x", "")] == [True, True, True, False, False, False]
     assert check(text.id_from_name, "042_a.jpg") == 42 and check(text.id_from_name, "x42") is None
     assert check(text.first_number, "spk 7 b8") == 7 and check(text.first_number, "none") == -1
+
+
+def test_bounded_similarity_is_that_of_the_full_distance(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("ab c", k=draw.randrange(0, 14))) for _ in range(60)] + ["", "x" * 500, "x" * 499 + "y", "y" + "x" * 400]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts[::3]], "a string, b string")
+    for level in (0.0, 0.2, text.LOGIN_SIMILARITY, text.STRICT_SIMILARITY, 1.0):
+        full = text.text_similarity(F.col("a"), F.col("b")) >= level
+        assert pairs.filter(~text.similar_at_least(F.col("a"), F.col("b"), level).eqNullSafe(full)).count() == 0
