@@ -9,7 +9,9 @@ from idmatch.catalog.quality import MODEL, _model
 from idmatch.functions import vectors as V
 from idmatch.operators import augment as A
 from idmatch.operators import hinge, linear, metrics, reduce, scoring, split, templates
-from idmatch.plans import gallery
+from idmatch.plans import gallery, release
+from idmatch.session import scratch_path
+from idmatch.sources import versions
 
 
 @query()
@@ -193,6 +195,31 @@ def regression_gate(spark, sf):
     return rounded(linear.regression_gate(share(held), share(df)))
 
 
+@query(f"""WITH {EMB}, f AS (SELECT 0 AS step, avg((label = 3)::INT) * 100 AS accuracy FROM emb UNION ALL SELECT 1, avg((label = 3 AND sample_id % 2 = 1)::INT) * 100 FROM emb
+ UNION ALL SELECT 2, avg((label = 3 OR sample_id % 50 = 0)::INT) * 100 FROM emb), b AS (SELECT accuracy AS baseline FROM f WHERE step = 0)
+SELECT step::INTEGER AS step, {s6('accuracy')} AS accuracy, CASE WHEN step > 0 THEN {s6('baseline')} END AS baseline, CASE WHEN step > 0 THEN {s6('accuracy - baseline')} END AS change,
+ CASE WHEN step > 0 AND accuracy - baseline < -2 THEN 'reject' ELSE 'keep' END AS verdict,
+ (SELECT count(*) FROM emb WHERE label = 3 OR (step = 2 AND sample_id % 50 = 0)) AS threes FROM f, b""")
+def release_gate(spark, sf):
+    """Three releases of a table: the first sets the baseline, the second loses accuracy and is taken back, the third stays.
+
+    The accuracy is that of a constant guess; ``threes`` counts its hits in the table after each release.
+    """
+    root, baseline = scratch_path(spark, "vectors"), scratch_path(spark, "baseline")
+    df = vectors(spark, sf).select("sample_id", "label")
+    versions.create(df, root, ["sample_id"], file_rows=max(1, df.count() // 8))
+    share = lambda rows: rows.agg((F.avg((F.col("label") == 3).cast("double")) * 100.0).alias("accuracy"))
+    relabelled = lambda which, label: df.filter(which).select("sample_id", F.lit(label).cast("long").alias("label"))
+    changes = (None, relabelled((F.col("label") == 3) & (F.col("sample_id") % 2 == 0), 4), relabelled(F.col("sample_id") % 50 == 0, 3))
+    out = None
+    for step, change in enumerate(changes):
+        done = release.release(spark, root, change, "label", share, baseline)
+        threes = versions.read(spark, root).filter("label = 3").count()
+        row = done.select(F.lit(step).alias("step"), "accuracy", "baseline", "change", "verdict", F.lit(threes).cast("long").alias("threes"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "accuracy", "baseline", "change").withColumn("step", F.col("step").cast("int"))
+
+
 U = "(('0x' || substr(md5({} || ':{}'), 1, 8))::BIGINT / 4294967296.0)"
 KEY = "sample_id || ':' || variant"
 EKEY = "sample_id || ':' || variant || ':' || (i - 1)"
