@@ -6,8 +6,10 @@ from idmatch.catalog import query
 from idmatch.catalog.common import (COS, EMB, PARTS, SCORES, cent, parts, probes, r6, rounded, s6, table,
                                     vectors)
 from idmatch.functions import rules
-from idmatch.operators import curves, leakage, metrics, scoring, vectorsets
+from idmatch.operators import curves, leakage, metrics, quality, scoring, vectorsets
 from idmatch.plans import gallery, login
+from idmatch.session import scratch_path
+from idmatch.sources import text_files
 
 
 def _sides(spark, sf):
@@ -393,3 +395,38 @@ def scores_json(spark, sf):
     df = vectors(spark, sf)
     s = scoring.score_all(probes(df), vectorsets.class_centroids(df)).withColumn("score", F.floor(F.col("score") * 1000))
     return relations.scores_json(s)
+
+
+CHANGED = f"""WITH {PARTS}, {cent('train')}, q AS (SELECT sample_id, label, 'base' AS condition, v FROM test UNION ALL SELECT sample_id, label, 'bright', list_transform(v, lambda x: x + 0.05) FROM test),
+s AS (SELECT p.sample_id, p.condition, c.class, {COS} AS score FROM q p CROSS JOIN cent c), rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id, condition ORDER BY score DESC, class) AS rank FROM s),
+x AS (SELECT sample_id, condition, avg(x) AS m, stddev_pop(x) AS sd, count(*) FILTER (x <= -0.1) * 100.0 / count(*) AS dark, count(*) FILTER (x >= 0.2) * 100.0 / count(*) AS bright, min(x) AS lo, max(x) AS hi
+ FROM (SELECT sample_id, condition, unnest(v) AS x FROM q) GROUP BY ALL)"""
+
+
+@query(f"""{CHANGED} SELECT label AS user_real, label AS y_true, 'v' || sample_id || '.csv' AS filename, condition, {s6('m')} AS qc_mean, {s6('sd')} AS qc_std, {s6('dark')} AS qc_pct_dark, {s6('bright')} AS qc_pct_bright,
+ {s6('lo')} AS qc_min, {s6('hi')} AS qc_max, a.class AS pred, {s6('a.score')} AS score1, {s6('b.score')} AS score2, {s6('a.score - b.score')} AS margin, (a.class = label)::INTEGER AS ok, 0::BIGINT AS time_ms
+FROM q JOIN x USING (sample_id, condition) JOIN rk a USING (sample_id, condition) JOIN rk b USING (sample_id, condition) WHERE a.rank = 1 AND b.rank = 2""")
+def quality_batch_report(spark, sf):
+    """Every test vector as it is and brighter, its quality and its recognition, written as a report and read back."""
+    p, g = _sides(spark, sf)
+    both = p.withColumn("condition", F.lit("base")).unionByName(p.withColumn("v", F.transform("v", lambda x: x + 0.05)).withColumn("condition", F.lit("bright")))
+    both = both.withColumn("name", F.col("probe_id")).withColumn("probe_id", F.col("name") * 2 + (F.col("condition") == "bright").cast("int"))
+    values = both.select("probe_id", F.explode("v").alias("x"))
+    rows = both.join(quality.value_profile(values, ["probe_id"], "x", -0.1, 0.2), "probe_id").join(scoring.top2_margin(both, g), "probe_id")
+    path = scratch_path(spark, "batch")
+    text_files.write_report(text_files.quality_batch_report(rows.select(
+        "*", F.col("label").alias("user_real"), F.col("label").alias("y_true"), F.concat(F.lit("v"), "name", F.lit(".csv")).alias("filename"), F.lit(0).cast("long").alias("time_ms"))), path, ",")
+    kinds = ("user_real long, y_true long, filename string, condition string, qc_mean double, qc_std double, qc_pct_dark double, qc_pct_bright double, qc_min double, qc_max double, "
+             "pred long, score1 double, score2 double, margin double, ok int, time_ms long")
+    back = spark.read.schema(kinds).csv(path, header=True)
+    return rounded(back).withColumn("ok", F.col("ok").cast("int"))
+
+
+@query(f"""WITH {SCORES}, listed AS (SELECT unnest(range(12)) AS real) SELECT 'Real_' || real AS "Real", {', '.join(f'count(*) FILTER (pred = {c}) AS "Pred_{c}"' for c in range(12))}
+FROM listed LEFT JOIN top2 ON label = real GROUP BY real""")
+def confusion_report(spark, sf):
+    """The confusion matrix of the test part as a report, with two classes that never occur, read back."""
+    best = scoring.top2_margin(*_sides(spark, sf)).select("probe_id", "pred").join(_sides(spark, sf)[0].select("probe_id", F.col("label").alias("real")), "probe_id")
+    path = scratch_path(spark, "confusion")
+    text_files.write_report(text_files.confusion_report(metrics.confusion(best), list(range(12))), path)
+    return spark.read.schema("Real string, " + ", ".join(f"Pred_{c} long" for c in range(12))).csv(path, header=True, sep=text_files.DELIMITER)

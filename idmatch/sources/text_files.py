@@ -138,3 +138,24 @@ def per_class_report(per_class: DataFrame) -> DataFrame:
         F.col("class").alias("Clase"), F.col("precision").alias("Precision"), F.col("recall").alias("Recall"),
         F.col("f1").alias("F1"), F.col("support").alias("Soporte"),
     )
+
+
+def confusion_report(counts: DataFrame, classes: list[int]) -> DataFrame:
+    """Counts (real, pred, n) as one row Real_i for each listed class, with a column Pred_j for each; absent pairs are 0."""
+    wide = metrics.confusion_matrix(counts, classes)
+    listed = counts.sparkSession.createDataFrame([(c,) for c in classes], f"real {counts.schema['real'].dataType.simpleString()}")
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"Pred_{c}") for c in classes]
+    return listed.join(wide, "real", "left").select(F.concat(F.lit("Real_"), F.col("real")).alias("Real"), *cells)
+
+
+def quality_batch_report(rows: DataFrame) -> DataFrame:
+    """Batch of recognitions under changed conditions in report form.
+
+    ``rows`` holds (user_real, y_true, filename, condition, pred, s1, s2, time_ms) and the columns of
+    :func:`quality.value_profile`. A recognition without a class is not ok.
+    """
+    profile = {"mean_x": "qc_mean", "sd_x": "qc_std", "low_pct": "qc_pct_dark", "high_pct": "qc_pct_bright", "min_x": "qc_min", "max_x": "qc_max"}
+    return rows.select(
+        "user_real", "y_true", "filename", "condition", *[F.col(a).alias(b) for a, b in profile.items()], "pred",
+        F.col("s1").alias("score1"), F.col("s2").alias("score2"), (F.col("s1") - F.col("s2")).alias("margin"),
+        F.coalesce((F.col("pred") == F.col("y_true")).cast("int"), F.lit(0)).alias("ok"), "time_ms")
