@@ -6,6 +6,8 @@ and answers each. The number of buckets follows the amount of text, so a bucket
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -85,6 +87,12 @@ def texts_of(row: dict) -> Texts:
     return Texts(np.frombuffer(raw, np.uint8), np.array(row["offs"], np.int64))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in Python at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def record(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     """Rows of Python values as a batch."""
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idmatch.llm.packed import answered, dealt, pack, record, shared_keys, shift_for, slabs, texts_of
-from idmatch.llm.words import Texts, byte_hashes, minimizers, schema, typed
+from idmatch.llm.packed import answered, dealt, pack, record, rows_of, shared_keys, shift_for, slabs, texts_of
+from idmatch.llm.words import U64, Texts, byte_hashes, minimizers, schema, typed
 from idmatch.session import durable
 
 LENGTH = 200
@@ -18,8 +19,10 @@ LENGTH = 200
 ANCHOR = 128
 #: Symbols of one suffix array; contexts of one anchor stay together.
 ARRAY = 1 << 16
-#: An anchor with more different contexts than this has its strings counted by hash instead.
-CROWDED = 8000
+#: An anchor with more different contexts than this is split by the bytes beside it.
+CROWDED = 256
+#: Bytes of a slab whose hashes are held at once.
+PIECE_BYTES = 1 << 19
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -138,95 +141,168 @@ def runs_of(places: np.ndarray) -> list[int]:
     return np.column_stack([places[np.concatenate([[0], gap + 1])], places[np.append(gap, len(places) - 1)] + 1]).ravel().tolist()
 
 
-def _places(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of anchor-sized runs, starts of whole strings, their anchors)."""
-    runs = byte_hashes(texts.data, anchor)
-    end = np.repeat(texts.offs[1:], np.diff(texts.offs))
-    start = np.flatnonzero(np.arange(len(texts.data)) + length <= end)
-    return runs, start, minimizers(runs, length - anchor + 1)[start] if len(start) else start
+def _pieces(texts: Texts, length: int, anchor: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some bytes of the slab at a time, however long its texts are: (hashes of anchors, starts of whole strings, where
+    the anchor of each stands). A piece reaches ``length - 1`` bytes into the next, so every string lies in one whole."""
+    for at in range(0, len(texts.data), piece):
+        data = texts.data[at : at + piece + length - 1]
+        if len(data) < length:
+            return
+        start = np.arange(at, at + len(data) - length + 1)
+        end = texts.offs[np.searchsorted(texts.offs, start, "right")]
+        inside = start + length <= end
+        runs = byte_hashes(data, anchor)
+        places = minimizers(runs, length - anchor + 1)[inside]
+        yield runs[places], start[inside], places + at
 
 
-def _requests(table: DataFrame, length: int, anchor: int, shift: int) -> DataFrame:
+def _requests(table: DataFrame, length: int, anchor: int, shift: int, piece: int) -> DataFrame:
     """(bucket, slab, keys, twice): the distinct anchors of each slab, and which of them it has at two places."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                runs, _, places = _places(texts_of(row), length, anchor)
-                own, times = np.unique(runs[np.unique(places)], return_counts=True)
+            for row in rows_of(batch):
+                keys, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+                for found, _, place in _pieces(texts_of(row), length, anchor, piece):
+                    place, first = np.unique(place, return_index=True)
+                    keys.append(found[first])
+                    places.append(place)
+                _, first = np.unique(np.concatenate(places), return_index=True)
+                own, times = np.unique(np.concatenate(keys)[first], return_counts=True)
                 out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes()) for b, i, j in dealt(own, shift)]
                 yield record(out, bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary())
 
     return table.select("slab", "offs", "size", "raw").mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary"))
 
 
-def _contexts(table: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(key, digest, slab, at, n, cut, rest): for each shared anchor of a slab the bytes of all n strings that it anchors,
-    without the anchor itself, and where in the slab the first of them starts."""
+def _contexts(table: DataFrame, length: int, anchor: int, piece: int) -> DataFrame:
+    """(key, digest, slab, ats, at, n, cut, rest): for each shared anchor of a slab the bytes of all n strings that it
+    anchors, without the anchor itself, and where in the slab the first of them starts: at all of ``ats``, ``at`` first.
+    Equal contexts of one piece of a slab are one row, so a text that goes on repeating itself gives few."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 texts = texts_of(row)
-                runs, start, places = _places(texts, length, anchor)
-                own, inverse = np.unique(runs[places], return_inverse=True)
-                shared = answered(row, len(own))
-                start, places = start[shared[inverse]], places[shared[inverse]]
-                first = np.flatnonzero(np.diff(places, prepend=-1))
-                last = np.append(first[1:], len(places)) - 1
-                raw, out = texts.data.tobytes(), []
-                for key, a, b, p in zip(runs[places[first]].view(np.int64).tolist(), start[first].tolist(), start[last].tolist(), places[first].tolist(), strict=True):
-                    rest = raw[a:p] + raw[p + anchor : b + length]
-                    out.append((key, hashlib.md5(b"%d:%b" % (p - a, rest)).digest(), row["slab"], a, b - a + 1, p - a, rest))
-                yield record(out, key=pa.int64(), digest=pa.binary(), slab=pa.int64(), at=pa.int64(), n=pa.int32(), cut=pa.int32(), rest=pa.binary())
-
-    return table.mapInArrow(run, schema(key="long", digest="binary", slab="long", at="long", n="int", cut="int", rest="binary"))
+                known = [np.zeros(0, U64)]
+                known.extend(np.unique(found) for found, _, _ in _pieces(texts, length, anchor, piece))
+                own = np.unique(np.concatenate(known))
+                shared = own[answered(row, len(own))]
+                for found, start, places in _pieces(texts, length, anchor, piece):
+                    wanted = np.isin(found, shared)
+                    found, start, places = found[wanted], start[wanted], places[wanted]
+                    if not len(found):
+                        continue
+                    first = np.flatnonzero(np.diff(places, prepend=-1))
+                    last = np.append(first[1:], len(places)) - 1
+                    number: dict[tuple[int, bytes], int] = {}
+                    rows, which = [], np.empty(len(first), np.int64)
+                    spots = zip(found[first].view(np.int64).tolist(), start[first].tolist(), start[last].tolist(), places[first].tolist(), strict=True)
+                    for i, (key, a, b, p) in enumerate(spots):
+                        rest = texts.data[a:p].tobytes() + texts.data[p + anchor : b + length].tobytes()
+                        digest = _digest(p - a, rest)
+                        which[i] = k = number.setdefault((key, digest), len(number))
+                        if k == len(rows):
+                            rows.append((key, digest, row["slab"], a, b - a + 1, p - a, rest))
+                    ats = start[first][np.argsort(which, kind="stable")]
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(which))])
+                    done = record(rows, key=pa.int64(), digest=pa.binary(), slab=pa.int64(), at=pa.int32(), n=pa.int32(), cut=pa.int32(), rest=pa.binary())
+                    yield done.append_column("ats", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ats, pa.int32())))
+
+    return table.mapInArrow(run, schema(key="long", digest="binary", slab="long", at="int", n="int", cut="int", rest="binary", ats="array<int>"))
+
+
+def _digest(cut: int, rest: bytes) -> bytes:
+    return hashlib.md5(b"%d:%b" % (cut, rest)).digest()
 
 
 def _by_suffix_array(groups: DataFrame, width: int) -> DataFrame:
-    """(key, digest, runs) of contexts that lie next to those with the same key."""
+    """(key, digest, runs) of contexts that occur once and lie next to all others with the same key."""
 
     def run(batches):
-        keys, digests, contexts = [], [], []
+        keys, digests, times, contexts = [], [], [], []
 
         def done():
-            out = list(zip(keys, digests, [runs_of(s) for s in repeated_starts(contexts, width)], strict=True))
-            for held in (keys, digests, contexts):
+            runs = [runs_of(s) for s in repeated_starts(contexts, width)]
+            out = [x for x, n in zip(zip(keys, digests, runs, strict=True), times, strict=True) if n == 1 and x[2]]
+            for held in (keys, digests, times, contexts):
                 held.clear()
             return record(out, key=pa.int64(), digest=pa.binary(), runs=pa.list_(pa.int32()))
 
         held = 0
         for batch in batches:
-            for key, digest, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "cut", "rest")], strict=True):
+            for key, digest, n, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "times", "cut", "rest")], strict=True):
                 if held >= ARRAY and key != keys[-1]:
                     yield done()
                     held = 0
                 keys.append(key)
                 digests.append(digest)
+                times.append(n)
                 contexts.append((key, cut, rest))
                 held += len(rest)
         if keys:
             yield done()
 
-    return groups.select("key", "digest", "cut", "rest").mapInArrow(run, schema(key="long", digest="binary", runs="array<int>"))
+    return groups.select("key", "digest", "times", "cut", "rest").mapInArrow(run, schema(key="long", digest="binary", runs="array<int>"))
+
 
+def _split(groups: DataFrame, room: int) -> DataFrame:
+    """(key, digest, times, first, part, inner, n, cut, rest): each context as two, with longer anchors.
 
-def _by_hash(groups: DataFrame, width: int) -> DataFrame:
-    """The same for keys with very many contexts: every string is counted by a digest, combined before the shuffle."""
+    Of the ``room`` bytes that a string has beside its anchor at least ``half`` follow the anchor, or else at least as many
+    come before it. They join the anchor and, with the side they are on, make its new key ``part``. Equal strings have
+    their anchor at one place and so stay together. ``first`` is the number of the first string that went along.
+    """
+    half = (room + 1) // 2
+    left = room - half
 
     def run(batches):
         for batch in batches:
-            for key, digest, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "cut", "rest")], strict=True):
-                out = [(key, digest, i, hashlib.md5(b"%d:%d:%b" % (key, cut - i, rest[i : i + width - 1])).digest()) for i in range(len(rest) + 2 - width)]
-                yield record(out, key=pa.int64(), digest=pa.binary(), at=pa.int32(), string=pa.binary())
+            out = []
+            for key, digest, times, cut, rest in zip(*[batch.column(c).to_pylist() for c in ("key", "digest", "times", "cut", "rest")], strict=True):
+                last = len(rest) - room
+                for a, b, p in ((max(0, cut - left), min(last, cut), cut), (0, min(last, cut - left - 1), cut - half)):
+                    if a <= b:
+                        beside = hashlib.md5(b"%d:%d:%b" % (key, p - cut, rest[p : p + half])).digest()
+                        inner = rest[a:p] + rest[p + half : b + room]
+                        out.append((key, digest, times, a, int.from_bytes(beside[:8], "little", signed=True), _digest(p - a, inner), b - a + 1, p - a, inner))
+            yield record(out, key=pa.int64(), digest=pa.binary(), times=pa.int64(), first=pa.int32(), part=pa.int64(), inner=pa.binary(), n=pa.int32(), cut=pa.int32(), rest=pa.binary())
+
+    kinds = schema(key="long", digest="binary", times="long", first="int", part="long", inner="binary", n="int", cut="int", rest="binary")
+    return groups.select("key", "digest", "times", "cut", "rest").mapInArrow(run, kinds)
+
+
+def _undecided(counts: DataFrame) -> DataFrame:
+    """(key, kinds) of the keys whose contexts must be compared: several different ones, at least one of them single."""
+    return counts.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("key", "kinds")
 
-    spread = durable(groups.select("key", "digest", "cut", "rest").mapInArrow(run, schema(key="long", digest="binary", at="int", string="binary")))
-    twice = spread.groupBy("string").count().filter("count > 1").select("string")
-    found = spread.join(twice, "string").groupBy("key", "digest").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    return found.select("key", "digest", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).alias("runs"))
 
+def _whole(counts: DataFrame) -> DataFrame:
+    """(key, digest, runs) of the contexts that occur twice: all their strings do."""
+    return counts.filter("times > 1").select("key", "digest", F.array(F.lit(0), F.col("n")).alias("runs"))
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
+
+def _compared(mixed: DataFrame, room: int, crowded: int) -> DataFrame:
+    """(key, digest, runs) of the single contexts with strings that another context of their key has too.
+
+    The contexts of a key make one suffix array; if they are more than ``crowded``, the key is split by the bytes beside
+    its anchor until they are not. Each split halves ``room``; without room all contexts of a key are equal.
+    """
+    near = mixed.filter(F.col("kinds") <= crowded).repartition("key").sortWithinPartitions("key")
+    found = _by_suffix_array(near, room + 1)
+    far = mixed.filter(F.col("kinds") > crowded)
+    if far.isEmpty():
+        return found
+    parts = durable(_split(far, room))
+    inner = parts.select(F.col("part").alias("key"), F.col("inner").alias("digest"), "times", "n", "cut", "rest")
+    counts = durable(inner.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.min("n").alias("n"), F.min("cut").alias("cut"), F.min("rest").alias("rest")))
+    judged = _compared(durable(counts.join(_undecided(counts), "key")), room // 2, crowded).union(_whole(counts))
+    mine = parts.filter("times = 1").select("key", "digest", "first", "part", "inner")
+    back = mine.join(judged.select(F.col("key").alias("part"), F.col("digest").alias("inner"), "runs"), ["part", "inner"])
+    return found.union(back.select("key", "digest", F.transform("runs", lambda r: r + F.col("first")).alias("runs")))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED, piece: int = PIECE_BYTES) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, runs) of every document: its bytes without strings that occur twice.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same or another document, by the
@@ -237,36 +313,35 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cr
     at one place lie in one context of less than ``2 * length`` bytes. Equal contexts are counted and become one; a context
     that occurs twice is repeated whole. Different contexts of one anchor are put into one text, the anchor being one
     symbol of it, whose suffix array, built by Lyndon grouping, has equal strings side by side. An anchor with more than
-    ``crowded`` different contexts has its strings counted by digest, so no key is collected in one task.
+    ``crowded`` different contexts is first split by the bytes beside it, so an array stays small whatever the key.
+
+    Texts are read in pieces of ``piece`` bytes that overlap by ``length - 1`` bytes, so a very long text takes no more memory at once.
 
     Null and empty texts, and those shorter than ``length``, lose nothing. Repeated rows are copies of each other; each gets
     a row. An empty table gives no rows.
     """
     table = slabs(typed(docs, doc_id="long", text="string"))
     shift = shift_for(table, 64)
-    width = length - anchor + 1
-    answers = shared_keys(_requests(table, length, anchor, shift), shift)
-    contexts = durable(_contexts(table.select("slab", "offs", "size", "raw").join(answers, "slab", "left"), length, anchor))
-    different = durable(contexts.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("cut").alias("cut"), F.min("rest").alias("rest")))
-    users = different.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("least"))
-    mixed = durable(different.join(users.filter("kinds > 1 AND least = 1").select("key", "kinds"), "key"))
-    near = mixed.filter(F.col("kinds") <= crowded).repartition("key").sortWithinPartitions("key")
-    found = _by_suffix_array(near, width).union(_by_hash(mixed.filter(F.col("kinds") > crowded), width))
-    single = different.filter("times = 1").select("key", "digest")
-    judged = found.join(single, ["key", "digest"], "left_semi").filter(F.size("runs") > 0).union(
-        different.filter("times > 1").select("key", "digest", F.array(F.lit(0), F.col("n")).alias("runs")))
-    gone = contexts.select("key", "digest", "slab", "at").join(judged, ["key", "digest"]).groupBy("slab").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
+    answers = shared_keys(_requests(table, length, anchor, shift, piece), shift)
+    contexts = durable(_contexts(table.select("slab", "offs", "size", "raw").join(answers, "slab", "left"), length, anchor, piece))
+    one = F.min(F.struct("slab", "at")).alias("one")
+    counts = durable(contexts.groupBy("key", "digest").agg(F.sum(F.size("ats")).cast("long").alias("times"), F.min("n").alias("n"), one))
+    asked = counts.join(_undecided(counts), "key").select("key", "digest", "times", "kinds", F.col("one.slab").alias("slab"), F.col("one.at").alias("at"))
+    mixed = durable(contexts.select("key", "digest", "slab", "at", "cut", "rest").join(asked, ["key", "digest", "slab", "at"]))
+    judged = _compared(mixed, length - anchor, crowded).union(_whole(counts))
+    gone = contexts.select("key", "digest", "slab", "ats").join(judged, ["key", "digest"]).groupBy("slab").agg(F.collect_list(F.struct("ats", "runs")).alias("found"))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 texts = texts_of(row)
                 step = np.zeros(len(texts.data) + 1, np.int32)
                 for f in row["found"] or []:
-                    ends = np.array(f["runs"], np.int64) + f["at"]
-                    np.add.at(step, ends[::2], 1)
-                    np.add.at(step, ends[1::2] + length - 1, -1)
-                lost = np.cumsum(step[:-1]) > 0
+                    ats = np.array(f["ats"], np.int64)
+                    for first, end in zip(f["runs"][::2], f["runs"][1::2], strict=True):
+                        np.add.at(step, ats + first, 1)
+                        np.add.at(step, ats + end + length - 1, -1)
+                lost = np.cumsum(step[:-1], dtype=np.int32) > 0
                 kept, removed, runs = [], [], []
                 for a, b in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist(), strict=True):
                     own = lost[a:b]

@@ -64,9 +64,9 @@ def test_suffix_array():
         assert suffixes.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-@pytest.mark.parametrize("crowded", [8000, 1])
-def test_suffix_dedup(docs, empty, crowded):
-    got = sorted(suffixes.suffix_dedup(docs, crowded=crowded).collect(), key=lambda r: (key(r.doc_id), r.n_bytes))
+@pytest.mark.parametrize(("crowded", "piece"), [(256, 1 << 19), (1, 300)])
+def test_suffix_dedup(docs, empty, crowded, piece):
+    got = sorted(suffixes.suffix_dedup(docs, crowded=crowded, piece=piece).collect(), key=lambda r: (key(r.doc_id), r.n_bytes))
     raw = [(i, (t or "").encode()) for i, t, *_ in texts()]
     seen = collections.Counter(x[j : j + 200] for _, x in raw for j in range(len(x) - 199))
     want = []
@@ -81,6 +81,13 @@ def test_suffix_dedup(docs, empty, crowded):
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_long_periodic_text(spark):
+    period = "abcdefghij klmno " * 360_000
+    rows = spark.createDataFrame([(1, period), (2, "q" * 250 + "r"), (3, "z" * 199)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, list(r.runs)) for r in suffixes.suffix_dedup(rows).select("doc_id", "n_bytes", "n_removed", "runs").collect()}
+    assert got == {1: (len(period), len(period), [0, len(period)]), 2: (251, 250, [0, 250]), 3: (199, 0, [])}
+
+
 def test_substring_dedup(docs, empty):
     first: dict = {}
     for i, t, *_ in sorted(texts(), key=lambda d: key(d[0])):
