@@ -350,3 +350,22 @@ def test_main_text(spark):
     assert got[1].text == f"Big & small {clean} Short one. Second A point" and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == "" and got[4].text == clean and got[7].text == clean
     assert pages.extract_main_text(table).count() == len(rows) and pages.extract_main_text(table.filter("false")).count() == 0
+
+
+ARTICLE = ("<article><h1>Title of it</h1><p>The river runs through the town and it is known for the old bridge that was built by the people.</p>"
+           "<p>It is one of the places in which a visitor can see how the mill was used at that time, not far from the station.</p></article>")
+READER = "<div class='comments'><p>I think that this is the best of all the articles on the site and I will be back for more of it.</p></div>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='page has-sidebar'", "div class='content no-sidebar'", "div class='hentry comments-open'", "div class='left-side'",
+                                     "div id='search'", "form id='aspnetForm'", "div class='side'><div class='widget'", "section role='complementary'"])
+def test_main_text_inside_a_wrapper_named_like_furniture(wrapper):
+    page = f"<html><body><nav><a href='x'>Home</a></nav><{wrapper}>{ARTICLE}</div></form></section>{READER}<footer>All rights are reserved by the owner of the site</footer></body></html>"
+    assert pages.main_text(page) == " ".join(re.findall(r"<(?:h1|p)>(.*?)</", ARTICLE))
+
+
+def test_main_text_of_short_blocks_and_deep_pages():
+    page = "<body><ul class=nav><li><a>Home</a></li></ul><p>The cat is on the mat.</p><p>It was there for a day.</p><div class=footer>All of the rights are ours</div></body>"
+    assert pages.main_text(page) == "The cat is on the mat. It was there for a day."
+    assert pages.main_text("<div class='side'>" * 30_000 + "x" + "</div>" * 30_000) == ""
+    assert pages.main_text("<div class='comments'>" + "<p>" + "It is one of the longest of all. " * 20 + "</p></div>" + ARTICLE) == " ".join(re.findall(r"<(?:h1|p)>(.*?)</", ARTICLE))
