@@ -141,19 +141,21 @@ def runs_of(places: np.ndarray) -> list[int]:
     return np.column_stack([places[np.concatenate([[0], gap + 1])], places[np.append(gap, len(places) - 1)] + 1]).ravel().tolist()
 
 
-def _pieces(texts: Texts, length: int, anchor: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Some bytes of the slab at a time, however long its texts are: (hashes of anchors, starts of whole strings, where
-    the anchor of each stands). A piece reaches ``length - 1`` bytes into the next, so every string lies in one whole."""
+def _pieces(texts: Texts, length: int, anchor: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The contexts of a slab, some bytes of it at a time, however long its texts are: (hash of the anchor, starts of the
+    first and the last string that it anchors, where it stands). A piece reaches ``length - 1`` bytes into the next, so
+    every string lies whole in the piece in which it starts."""
     for at in range(0, len(texts.data), piece):
         data = texts.data[at : at + piece + length - 1]
         if len(data) < length:
             return
         start = np.arange(at, at + len(data) - length + 1)
-        end = texts.offs[np.searchsorted(texts.offs, start, "right")]
-        inside = start + length <= end
         runs = byte_hashes(data, anchor)
+        inside = np.flatnonzero(start + length <= texts.offs[np.searchsorted(texts.offs, start, "right")])
         places = minimizers(runs, length - anchor + 1)[inside]
-        yield runs[places], start[inside], places + at
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        last = np.append(first[1:], len(places))[: len(first)] - 1
+        yield runs[places[first]], start[inside[first]], start[inside[last]], places[first] + at
 
 
 def _requests(table: DataFrame, length: int, anchor: int, shift: int, piece: int) -> DataFrame:
@@ -162,14 +164,14 @@ def _requests(table: DataFrame, length: int, anchor: int, shift: int, piece: int
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
-                keys, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-                for found, _, place in _pieces(texts_of(row), length, anchor, piece):
-                    place, first = np.unique(place, return_index=True)
-                    keys.append(found[first])
-                    places.append(place)
-                _, first = np.unique(np.concatenate(places), return_index=True)
-                own, times = np.unique(np.concatenate(keys)[first], return_counts=True)
-                out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes()) for b, i, j in dealt(own, shift)]
+                keys, often = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+                for found, *_ in _pieces(texts_of(row), length, anchor, piece):
+                    own, times = np.unique(found, return_counts=True)
+                    keys.append(own)
+                    often.append(times)
+                own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                twice = np.bincount(inverse, np.concatenate(often), minlength=len(own)) > 1
+                out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(twice[i:j]).tobytes()) for b, i, j in dealt(own, shift)]
                 yield record(out, bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary())
 
     return table.select("slab", "offs", "size", "raw").mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary"))
@@ -184,27 +186,22 @@ def _contexts(table: DataFrame, length: int, anchor: int, piece: int) -> DataFra
         for batch in batches:
             for row in rows_of(batch):
                 texts = texts_of(row)
-                known = [np.zeros(0, U64)]
-                known.extend(np.unique(found) for found, _, _ in _pieces(texts, length, anchor, piece))
-                own = np.unique(np.concatenate(known))
+                own = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(found) for found, *_ in _pieces(texts, length, anchor, piece))]))
                 shared = own[answered(row, len(own))]
-                for found, start, places in _pieces(texts, length, anchor, piece):
-                    wanted = np.isin(found, shared)
-                    found, start, places = found[wanted], start[wanted], places[wanted]
-                    if not len(found):
+                for context in _pieces(texts, length, anchor, piece):
+                    wanted = np.isin(context[0], shared)
+                    keys, first, last, places = [c[wanted] for c in context]
+                    if not len(keys):
                         continue
-                    first = np.flatnonzero(np.diff(places, prepend=-1))
-                    last = np.append(first[1:], len(places)) - 1
                     number: dict[tuple[int, bytes], int] = {}
                     rows, which = [], np.empty(len(first), np.int64)
-                    spots = zip(found[first].view(np.int64).tolist(), start[first].tolist(), start[last].tolist(), places[first].tolist(), strict=True)
-                    for i, (key, a, b, p) in enumerate(spots):
+                    for i, (key, a, b, p) in enumerate(zip(keys.view(np.int64).tolist(), first.tolist(), last.tolist(), places.tolist(), strict=True)):
                         rest = texts.data[a:p].tobytes() + texts.data[p + anchor : b + length].tobytes()
                         digest = _digest(p - a, rest)
                         which[i] = k = number.setdefault((key, digest), len(number))
                         if k == len(rows):
                             rows.append((key, digest, row["slab"], a, b - a + 1, p - a, rest))
-                    ats = start[first][np.argsort(which, kind="stable")]
+                    ats = first[np.argsort(which, kind="stable")]
                     ends = np.concatenate([[0], np.cumsum(np.bincount(which))])
                     done = record(rows, key=pa.int64(), digest=pa.binary(), slab=pa.int64(), at=pa.int32(), n=pa.int32(), cut=pa.int32(), rest=pa.binary())
                     yield done.append_column("ats", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ats, pa.int32())))
@@ -329,19 +326,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cr
     asked = counts.join(_undecided(counts), "key").select("key", "digest", "times", "kinds", F.col("one.slab").alias("slab"), F.col("one.at").alias("at"))
     mixed = durable(contexts.select("key", "digest", "slab", "at", "cut", "rest").join(asked, ["key", "digest", "slab", "at"]))
     judged = _compared(mixed, length - anchor, crowded).union(_whole(counts))
-    gone = contexts.select("key", "digest", "slab", "ats").join(judged, ["key", "digest"]).groupBy("slab").agg(F.collect_list(F.struct("ats", "runs")).alias("found"))
+    # in the slab, where runs of starts begin and end: begin, end, begin, end, ...
+    edges = F.flatten(F.transform("ats", lambda at: F.transform("runs", lambda r: r + at)))
+    gone = contexts.select("key", "digest", "slab", "ats").join(judged, ["key", "digest"]).select("slab", edges.alias("edges")).groupBy("slab").agg(
+        F.flatten(F.collect_list("edges")).alias("edges"))
 
     def run(batches):
         for batch in batches:
-            for row in rows_of(batch):
+            found = batch.column("edges")
+            for i, row in enumerate(rows_of(batch.drop_columns(["edges"]))):
                 texts = texts_of(row)
+                edges = np.asarray(found[i].values, np.int64) if found[i].is_valid else np.zeros(0, np.int64)
                 step = np.zeros(len(texts.data) + 1, np.int32)
-                for f in row["found"] or []:
-                    ats = np.array(f["ats"], np.int64)
-                    for first, end in zip(f["runs"][::2], f["runs"][1::2], strict=True):
-                        np.add.at(step, ats + first, 1)
-                        np.add.at(step, ats + end + length - 1, -1)
-                lost = np.cumsum(step[:-1], dtype=np.int32) > 0
+                np.add.at(step, edges[::2], 1)
+                np.subtract.at(step, edges[1::2] + length - 1, 1)
+                lost = np.cumsum(step[:-1], out=step[:-1]) > 0
                 kept, removed, runs = [], [], []
                 for a, b in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist(), strict=True):
                     own = lost[a:b]
