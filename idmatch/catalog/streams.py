@@ -11,8 +11,8 @@ from idmatch.streaming import jobs
 
 
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The files of a table as a stream, whether the table is one file or a folder of files."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")  # a plain path must be a folder
 
 
 def _run(spark, writer):

@@ -167,20 +167,24 @@ def phrase_usage(events: DataFrame, key: str = "id_texto") -> DataFrame:
 
 def phrase_states(phrases: DataFrame, used: DataFrame, key: str = "id_texto") -> DataFrame:
     """Phrase table after the counted uses: total, and switched off at the limit."""
+    return _after_uses(phrases.join(used, key, "left"), key)
+
+
+def _after_uses(met: DataFrame, key: str) -> DataFrame:
     total = F.coalesce(F.col("contador_usos"), F.lit(0)) + F.coalesce(F.col("used"), F.lit(0))
     off = F.col("used").isNotNull() & (total >= F.coalesce(F.col("limite_usos"), F.lit(relations.USE_LIMIT)))
     state: Column = F.when(off, relations.INACTIVE).otherwise(F.col("estado_texto"))
-    return phrases.join(used, key, "left").select(
-        key, total.cast("long").alias("contador_usos"), state.alias("estado_texto"), "limite_usos"
-    )
+    return met.select(key, total.cast("long").alias("contador_usos"), state.alias("estado_texto"), "limite_usos")
 
 
 def phrase_usage_stream(events: DataFrame, phrases: DataFrame, out: str, key: str = "id_texto") -> DataStreamWriter:
-    """Writes the changed phrases of each micro-batch; the latest batch of a phrase is its state."""
+    """Writes the changed phrases of each micro-batch; the latest batch of a phrase is its state.
+
+    A batch is read once: each reading runs its state update again, and two at a time commit one version of the state.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        changed = phrases.join(batch.select(key), key, "left_semi")
-        write_batch(phrase_states(changed, batch, key), out, batch_id)
+        write_batch(_after_uses(phrases.join(batch, key), key), out, batch_id)
 
     return phrase_usage(events, key).writeStream.outputMode("update").foreachBatch(publish)
 

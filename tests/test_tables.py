@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from idmatch.catalog import streams
 from idmatch.operators import relations
 from idmatch.session import durable, scratch_path, shared_dir
 from idmatch.sources import folders, records, tables, text_files
@@ -213,3 +214,19 @@ def test_windows_and_sessions_equal_batch(spark):
     assert sorted((r["n"], r["peak"]) for r in got) == [(1, 2.0), (2, 1.0)]
     frames = jobs.window_frames(samples, "4 seconds", "2 seconds", "1 second")
     assert frames.agg(F.sum("n")).first()[0] == 8
+
+
+def test_phrase_usage_reads_a_folder_and_updates_its_state_once(spark, tmp_path):
+    uses = spark.range(90).select(F.col("id").alias("event_id"), (F.col("id") % 30).alias("user_id"))
+    uses.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(20, 40).select(F.col("id").alias("item_id")).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = streams.phrase_usage_stream(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(i, 3, "activo") for i in range(20, 30)]
+
+    events = spark.readStream.schema(uses.schema).parquet(f"{tmp_path}/events.parquet").select(F.col("user_id").alias("id_texto"))
+    phrases = spark.range(40).select(F.col("id").alias("id_texto"), F.lit("activo").alias("estado_texto"), F.lit(0).alias("contador_usos"), F.lit(2).alias("limite_usos"))
+    writer = jobs.phrase_usage_stream(events, phrases, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    run = writer.trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(s["numRowsUpdated"] for p in run.recentProgress for s in p["stateOperators"]) == 30
+    assert sorted(map(tuple, jobs.latest_states(spark.read.parquet(f"{tmp_path}/out")).select("id_texto", "contador_usos", "estado_texto").collect())) == [(i, 3, relations.INACTIVE) for i in range(30)]
