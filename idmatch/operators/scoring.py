@@ -53,9 +53,19 @@ class Gallery:
     def scores(self, probes: pa.Array) -> np.ndarray:
         """(probe, class) scores; the best finite score of a class's templates counts, -inf stands for none."""
         out = np.full((len(probes), len(self.classes)), -np.inf)
-        for width, (rows, x) in by_width(probes).items():
+        for rows, at, s in self.products(by_width(probes)):
+            out[np.ix_(rows, at)] = s
+        return out
+
+    def products(self, probes: dict[int, tuple[np.ndarray, np.ndarray]], asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, places of classes, scores) of each width of the probes, or of those ``asked``."""
+        for width, (rows, x) in probes.items():
             if width not in self.widths:
                 continue
+            if asked is not None:
+                rows, x = rows[asked[rows]], x[asked[rows]]
+            if not len(rows):
+                continue
             at, first, t, b = self.widths[width]
             with np.errstate(all="ignore"):
                 s = x @ t.T
@@ -68,7 +78,29 @@ class Gallery:
             s = np.where(np.isfinite(s), s, -np.inf)
             if len(first) < len(t):
                 s = np.maximum.reduceat(s, first, axis=1)
-            out[np.ix_(rows, at)] = s
+            yield rows, at, s
+
+
+class Cell:
+    """Matrix form of a cell: a gallery for each block, in the order of their numbers."""
+
+    def __init__(self, table: pa.Table, metric: str):
+        block = table.column("block").to_numpy()
+        self.galleries = [Gallery(table.filter(pa.array(block == number)), metric) for number in np.unique(block)]
+        self.classes, apart = np.unique(table.column("class").to_numpy()), table.column("apart").to_numpy(zero_copy_only=False)
+        self.apart = np.isin(self.classes, table.column("class").to_numpy()[apart])
+        #: Numbers that a row of scores needs at once.
+        self.n = max([len(self.classes), *[g.n for g in self.galleries]])
+
+    def scores(self, part: pa.RecordBatch) -> np.ndarray:
+        """(probe, class) scores of each probe in the blocks it visits, as those of a gallery."""
+        out, probes = np.full((part.num_rows, len(self.classes)), -np.inf), by_width(part.column("v"))
+        asked = gallery_blocks.wanted(part, len(self.galleries))
+        for k, gallery in enumerate(self.galleries):
+            column = np.searchsorted(self.classes, gallery.classes)
+            for rows, at, s in gallery.products(probes, asked[:, k]):
+                where = np.ix_(rows, column[at])
+                out[where] = np.maximum(out[where], s)
         return out
 
 
@@ -111,7 +143,7 @@ def enrol(gallery: DataFrame | Enrolled) -> Enrolled:
 Reduce = Callable[[pa.RecordBatch, np.ndarray, Gallery | Classes], pa.RecordBatch]
 
 
-def _steps(batch: pa.RecordBatch, gallery: Gallery) -> Iterator[pa.RecordBatch]:
+def _steps(batch: pa.RecordBatch, gallery: Gallery | Cell) -> Iterator[pa.RecordBatch]:
     rows = max(1, PAIRS_PER_STEP // max(1, gallery.n))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
@@ -135,24 +167,24 @@ def _score(
 def _product(rows: DataFrame, met: DataFrame, blocks: gallery_blocks.Blocks, metric: str, schema: str, reduce: Reduce, whole: bool = True, emits: bool = False) -> DataFrame:
     """``reduce`` over the cells of ``met``, the rows with the blocks they visit.
 
-    Scores of a class that lies in several blocks are first put together per row and then reduced on their own;
+    Scores of a class that lies in several cells are first put together per row and then reduced on their own;
     a reduction that may see such a class in parts (``whole`` false) takes them as they come.
     """
     kinds = T._parse_datatype_string(schema)
     out = T.StructType([*kinds.fields, *T._parse_datatype_string("__row long, __class long, __score double").fields])
-    whole = whole and blocks.has_split
+    whole = whole and blocks.has_apart
 
     def each(probes: pa.Table, templates: pa.Table) -> pa.Table:
-        gallery, found, parts = Gallery(templates, metric), [], []
-        split = np.isin(gallery.classes, np.unique(templates.column("class").to_numpy()[templates.column("split").to_numpy(zero_copy_only=False)])) & whole
+        if not templates.num_rows or not probes.num_rows:
+            return pa.Table.from_batches([], to_arrow_schema(out))
+        cell, found, parts = Cell(templates, metric), [], []
+        split = cell.apart & whole
         for batch in probes.combine_chunks().to_batches():
-            for part in _steps(batch, gallery):
-                s = gallery.scores(part.column("v"))
-                found.append(reduce(part, s[:, ~split], Classes(gallery.classes[~split])))
+            for part in _steps(batch, cell):
+                s = cell.scores(part)
+                found.append(reduce(part, s[:, ~split], Classes(cell.classes[~split])))
                 row = np.repeat(part.column("row").to_numpy(), int(split.sum()))
-                parts.append((row, np.tile(gallery.classes[split], part.num_rows), s[:, split].reshape(-1)))
-        if not found:
-            return pa.Table.from_batches([], to_arrow_schema(out))
+                parts.append((row, np.tile(cell.classes[split], part.num_rows), s[:, split].reshape(-1)))
         reduced = pa.Table.from_batches(found)
         triples = pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("__row", "__class", "__score"))})
         return pa.concat_tables([reduced, triples], promote_options="default").select(out.names).cast(to_arrow_schema(out))
@@ -349,7 +381,7 @@ def claimed_scores(probes: DataFrame, gallery: DataFrame | Enrolled, metric: str
         return pa.RecordBatch.from_arrays([part.column("row"), pa.array(better_than(own, _ids(part, "label"), s, block))], ["row", "better"])
 
     # a claim visits the blocks of its class alone; its rank then visits those that may hold a better one
-    claimed = rows.join(blocks.table.select(F.col("class").alias("label"), "block").distinct(), "label").select("row", "label", "v", "block")
+    claimed = rows.join(blocks.of_classes().withColumnRenamed("class", "label"), "label").select("row", "label", "v", "cell", "wanted")
     own = _product(rows, claimed, blocks, metric, "row long, own double", own_score, whole=False).groupBy("row").agg(F.max("own").alias("own")).filter("own IS NOT NULL")
     asked = durable(rows.select("row", "label", "v").join(own, "row"))
     counted = _product(asked, gallery_blocks.visits(asked, blocks.bounds, "own", bounded=metric == COSINE), blocks, metric, "row long, better long", count)

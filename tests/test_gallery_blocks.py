@@ -68,3 +68,15 @@ def test_an_empty_side(spark):
     assert scoring.score_topk(probes.limit(0), gallery, 2, gallery_bytes=100).count() == 0
     lost = scoring.claimed_scores(probes.filter("probe_id = 201"), gallery, gallery_bytes=100).collect()
     assert [(r["pred"], r["own"], r["better"]) for r in lost] == [(None, None, None)]
+
+
+def test_a_probe_is_sent_to_cells_and_not_to_every_block(spark):
+    probes, gallery = tables(spark, 1, 30)
+    blocks = scoring.enrol(gallery).blocks(256)
+    rows = probes.filter(F.size("v") == 8).withColumn("row", F.monotonically_increasing_id()).withColumn("need", F.lit(-2.0))
+    assert len(blocks.bounds.every) > 150
+    every, asked = gallery_blocks.visits(rows, blocks.bounds), gallery_blocks.visits(rows, blocks.bounds, "need")
+    assert every.count() <= rows.count() * 2 * gallery_blocks.CELLS and asked.count() <= rows.count() * 2 * gallery_blocks.CELLS
+    cells = blocks.table.groupBy("class").agg(F.countDistinct("cell").alias("n"), F.max("apart").alias("apart"))
+    assert cells.filter("apart <> (n > 1)").count() == 0
+    assert rows_of(scoring.claimed_scores(probes, gallery)) == rows_of(scoring.claimed_scores(probes, gallery, gallery_bytes=256))
