@@ -26,6 +26,8 @@ FULL = (1 << 15) - 1
 FINE, FULL_FINE = 16, 255
 #: Parts of a set whose sizes bound an overlap of documents in different components.
 FEW = 64
+#: The most that two rows a and b can share by these parts, in SQL.
+FEW_SHARE = (f"aggregate(zip_with(a.few, b.few, (x, y) -> IF(x = {FULL_FINE} AND y = {FULL_FINE}, 1000000000L, CAST(least(x, y) AS BIGINT))), 0L, (s, v) -> s + v)")
 #: Documents whose places are sent to every task: 8 MB.
 SENT = 1 << 20
 
@@ -165,15 +167,20 @@ def _prefix_rows(held: DataFrame) -> DataFrame:
     return held.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
 
 
+def _need(t: Fraction) -> str:
+    """The least overlap of two similar sets of the sizes of rows a and b, in SQL."""
+    p, q = t.numerator, t.denominator
+    return f"ceil(({p}D * (a.n + b.n)) / {p + q}D - 1e-9)"
+
+
 def _filters(t: Fraction) -> str:
     """Length, positional and suffix filter of two prefix rows a and b, in SQL.
 
-    need = the least overlap of two sets of these sizes. Past a shared token, no more can be shared than the shorter rest.
+    Past a shared token, no more can be shared than the shorter rest.
     The suffix filter parts both sets by hash: they share at most the sum of the smaller sizes (a part of ``FULL`` or
     more could be any size, so it bounds nothing).
     """
-    p, q = t.numerator, t.denominator
-    need = f"ceil(({p}D * (a.n + b.n)) / {p + q}D - 1e-9)"
+    p, q, need = t.numerator, t.denominator, _need(t)
     bits = lambda side, h, k: f"(shiftright({side}.p{h}, {15 * k}) & {FULL})"
     parts = [(h, k) for h in (0, 1) for k in range(4)]
     least = " + ".join(f"least({bits('a', h, k)}, {bits('b', h, k)})" for h, k in parts)
@@ -182,13 +189,6 @@ def _filters(t: Fraction) -> str:
             f" AND ({least} >= {need} OR {full})")
 
 
-def _few_share(t: Fraction) -> str:
-    """The suffix filter on ``FEW`` parts of two rows a and b, in SQL."""
-    p, q = t.numerator, t.denominator
-    each = f"IF(x = {FULL_FINE} AND y = {FULL_FINE}, 1000000000L, CAST(least(x, y) AS BIGINT))"
-    return f"aggregate(zip_with(a.few, b.few, (x, y) -> {each}), 0L, (s, v) -> s + v) >= ceil(({p}D * (a.n + b.n)) / {p + q}D - 1e-9)"
-
-
 def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) that may be similar enough by the sizes of finer parts of their sets."""
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"))
@@ -206,8 +206,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     return durable(asked.mapInArrow(test, schema(a="long", b="long")))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents.
+def _side_by_side(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, bits: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) with the whole sets of both documents: packed shingles x and y, sizes na and nb.
 
     Up to ``SENT`` documents to read are named to every task, so the slabs stay where they are; beyond it slabs are shuffled.
     """
@@ -221,12 +221,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t:
         for batch in batches:
             for row in batch.to_pylist():
                 values, begin = sets(texts_of(row), n)
-                yield record([(row["id"][i], int(begin[i + 1] - begin[i]), pack(np.unique(values[begin[i] : begin[i + 1]] >> U64(64 - BITS)), 0)) for i in row["wanted"]],
+                yield record([(row["id"][i], int(begin[i + 1] - begin[i]), pack(np.unique(values[begin[i] : begin[i + 1]] >> U64(64 - bits)), 0)) for i in row["wanted"]],
                              id=pa.int64(), n=pa.int64(), shingles=pa.binary())
 
     found = durable(table.join(wanted, "slab").mapInArrow(read, schema(id="long", n="long", shingles="binary")))
     left = pairs.join(found.withColumnsRenamed({"id": "a", "n": "na", "shingles": "x"}), "a")
-    both = left.join(found.withColumnsRenamed({"id": "b", "n": "nb", "shingles": "y"}), "b")
+    return left.join(found.withColumnsRenamed({"id": "b", "n": "nb", "shingles": "y"}), "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents."""
+    both = _side_by_side(pairs, classes, table, n, BITS)
 
     def test(batches):
         for batch in batches:
@@ -239,6 +244,58 @@ def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t:
     return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(test, schema(a="long", b="long"))
 
 
+def difference_prefix(x: np.ndarray, hub: np.ndarray, t: Fraction, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a set and a hub do not share, and the part of it that a similar set of another component must meet.
+
+    If a and b differ from one hub by A and B, they differ from each other by |A| + |B| - 2 |A & B|, of which a similar
+    pair may have c (|a| + |b|), c = (1 - t) / (1 + t). Two sets linked to the hub are in one component already, so one of
+    the pair differs from the hub by more than c (|a| + |hub|): then A and B share something, and b more than half of B
+    (by equal sizes). The order is the same for all sets of a hub: shingles the hub has not, rare ones first, then those
+    only the hub has, which many sets may lack.
+    """
+    p, q = t.numerator, t.denominator
+    own, lost = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    often = lambda values: seen[(values % U64(COUNTERS)).astype(np.int64)]
+    apart = np.concatenate([own[np.lexsort((own, often(own)))], lost[np.lexsort((lost, -often(lost)))]])
+    d, n = len(apart), len(x)
+    length = min(d, n * (q - p) // p + 1)  # whatever the other set's size
+    if d * (q + p) <= (q - p) * (n + len(hub)):
+        length = min(length, d - ((q - p) * (len(hub) - n) + (q + p) * d) // (2 * (q + p)))
+    return apart, apart[:length]
+
+
+def _differences(members: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
+    """(ref, id, component, n, d, few, prefix) for each of ``members`` (ref, id, component): how many shingles its set and
+    its hub's do not share, the sizes of ``FEW`` parts of them, and their ``difference_prefix``."""
+    both = _side_by_side(members.withColumnsRenamed({"ref": "a", "id": "b"}), classes, table, n, 64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(at, 256).to_pylist():
+                    apart, prefix = difference_prefix(unpack(r["y"], 0), unpack(r["x"], 0), t, shared.value)
+                    few = np.minimum(np.bincount((apart >> U64(58)).astype(np.int64), minlength=FEW), FULL_FINE)
+                    out.append((r["a"], r["b"], r["component"], r["nb"], len(apart), few.astype(np.int16), prefix.view(np.int64)))
+                yield record(out, ref=pa.int64(), id=pa.int64(), component=pa.int64(), n=pa.int64(), d=pa.int64(), few=pa.list_(pa.int16()), prefix=pa.list_(pa.int64()))
+
+    kinds = schema(ref="long", id="long", component="long", n="long", d="long", few="array<smallint>", prefix="array<long>")
+    return durable(both.select("a", "b", "component", "x", "y", "nb").mapInArrow(run, kinds))
+
+
+def _within(members: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
+    """The pairs (a, b) of one hub in different components that may be similar enough, by what they do not share with it."""
+    p, q = t.numerator, t.denominator
+    rows = _differences(members, classes, table, n, t, shared).select("ref", "id", "component", "n", "d", "few", F.posexplode("prefix").alias("at", "token"))
+    split = rows.groupBy("ref", "token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("ref", "token")
+    rows = durable(rows.join(split, ["ref", "token"]))
+    need = f"ceil(({p + q}D * (a.d + b.d) - {q - p}D * (a.n + b.n)) / {2 * (p + q)}D - 1e-9)"
+    met = rows.alias("a").join(rows.alias("b"), F.expr(
+        f"a.ref = b.ref AND a.token = b.token AND a.id < b.id AND a.component <> b.component AND {q} * least(a.n, b.n) >= {p} * greatest(a.n, b.n)"
+        f" AND least(a.d - a.at, b.d - b.at) >= {need} AND {FEW_SHARE} >= {need}"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFrame:
     """(doc_id, id, uid, n_shingles, component) of every document: its set size and the least id its links lead to.
     With ``node="uid"`` the row's uid takes the place of its id.
@@ -247,11 +304,13 @@ def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFra
     with equal sets are one class from the start, so copies never meet in pairs. Each class writes its prefix, the
     rarest shingles by a frequency sketch of all documents, in one order for all; two similar sets share a prefix shingle.
 
-    Round 1 tests every class against the first class (least id) of each of its prefix shingles. Round 2 tests, among
-    classes that share a prefix shingle, all pairs that are not yet in one component: a group of near copies, which round
-    1 has linked to its first member, is not multiplied out, and no link that joins two components is lost. Both rounds
-    apply the length, positional and suffix filters before a pair is made, a finer suffix filter once for each pair, and
-    test each pair that is left once on whole sets.
+    Round 1 tests every class against the hub of each of its prefix shingles: of the shingle's users the one whose prefix
+    has the most users for its size, so the one amid a group of near copies. Round 2 tests pairs that share a prefix shingle and
+    are not yet in one component. Classes whose hub of the widest reach, of those of like size, is the same meet by what they do not share with it
+    (``difference_prefix``), so a group of near copies, each a little further from the others than a link allows, is not
+    multiplied out by what they all have; the others meet at their first common prefix shingle. No link that joins two
+    components is lost. Both rounds apply length, positional and suffix filters before a pair is made, a finer suffix
+    filter once for each pair, and test each pair that is left once on whole sets.
 
     Texts without words (null, empty) have no set and are their own component. Null ids count as one largest id. Rows with one
     id are one document to links; each gets a row. An empty table gives no rows.
@@ -268,19 +327,31 @@ def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFra
     firsts = classes.groupBy("slab").agg(F.collect_list("at").alias("firsts"))
     held = given.filter("bucket < 0").select("slab", "keys", "facts")
     prefixes = durable(_prefix_rows(held.join(answers, "slab", "left").join(firsts, "slab")))
-    first = prefixes.groupBy("token").agg(F.count("*").alias("users"), F.min(F.struct("id", "n", "at", "p0", "p1")).alias("hub")).filter("users > 1")
-    hubs = durable(first.select("token", "users", "hub.*"))
+    users = prefixes.groupBy("token").agg(F.count("*").alias("users")).filter("users > 1")
+    reach = durable(prefixes.select("token", "id").join(users, "token").groupBy("id").agg(F.sum("users").alias("reach")))
+    hubs = durable(prefixes.join(reach, "id").groupBy("token").agg(F.count("*").alias("users"), F.max(F.struct((F.col("reach") / F.col("n")).alias("reach"), "id", "n", "at", "p0", "p1")).alias("hub")).filter(
+        "users > 1").select("token", "users", "hub.*"))
     meets = F.expr(f"a.id <> b.id AND {_filters(t)}")
-    used = durable(prefixes.alias("b").join(hubs.alias("a"), F.expr("a.token = b.token")).select("b.*", "a.users", F.col("a.id").alias("hub_id"), meets.alias("meets")))
+    used = durable(prefixes.alias("b").join(hubs.alias("a"), F.expr("a.token = b.token")).select("b.*", "a.users", "a.reach", F.col("a.id").alias("hub_id"), F.col("a.n").alias("hub_n"), meets.alias("meets"),
+        F.expr("a.id = b.id AND a.n = b.n AND a.at = b.at AND a.p0 = b.p0 AND a.p1 = b.p1").alias("is_hub")))
     pairs = durable(used.filter("meets").select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct())
     links = durable(_verified(_bounded(pairs, classes, t), classes, table, n, t))
     so_far = durable(components(links))
-    rest = used.filter("id <> hub_id AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = used.filter("NOT is_hub AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rest.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
-    rest = rest.join(split, "token").drop("hub_id", "users", "meets")
-    rest = durable(rest.join(classes.select(F.col("rep").alias("id"), "few"), "id"))
-    across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND {_filters(t)} AND {_few_share(t)}"))
-    more = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = durable(rest.join(split, "token").drop("users", "meets", "is_hub"))
+    # a hub of another size has nothing to compare with, and an id with several sets may meet itself
+    hub = F.when(F.expr(f"hub_id <> id AND {t.denominator} * least(n, hub_n) >= {t.numerator} * greatest(n, hub_n)"), F.struct("reach", "hub_id"))
+    home = durable(rest.groupBy("id", "component").agg(F.max(hub).alias("hub")).select("id", "component", F.col("hub.hub_id").alias("ref")))
+    mixed = home.groupBy("ref").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("ref")
+    more = _within(home.join(mixed, "ref"), classes, table, n, t, shared)
+    rest = rest.drop("reach", "hub_id", "hub_n").join(home.select("id", "ref"), "id")
+    split = rest.groupBy("token").agg(F.min("ref").alias("r0"), F.max("ref").alias("r1"), F.max(F.col("ref").isNull()).alias("lone")).filter("r0 < r1 OR lone").select("token")
+    rest = durable(rest.join(split, "token").join(classes.select(F.col("rep").alias("id"), "few"), "id"))
+    across = rest.alias("a").join(rest.alias("b"), F.expr(
+        f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND coalesce(a.ref <> b.ref, true) AND least(a.n - a.at, b.n - b.at) >= {_need(t)} AND {_filters(t)} AND {FEW_SHARE} >= {_need(t)}"))
+    more = more.union(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
+    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _bounded(more, classes, t)
     links = links.union(_verified(more, classes, table, n, t)) if not more.isEmpty() else links
     groups = components(links)

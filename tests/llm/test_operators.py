@@ -134,6 +134,48 @@ def test_jaccard_groups(docs, empty, n, t):
     assert jaccard.jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text too far from each other to link make no pairs by what they have in common; links stay."""
+    r, n, made = random.Random(11), 5, []
+    base = [f"w{j}" for j in range(150)]
+
+    def copy(edits, seed=None):
+        words = list(base)
+        for j in (random.Random(seed) if seed is not None else r).sample(range(5, 145), edits):
+            words[j] = f"e{seed}x{j}" if seed is not None else f"u{r.getrandbits(40)}"
+        return words
+
+    found = [base] + [copy(k) for k in [1, 2, 3] * 8 + [4, 5, 6] * 60]
+    for seed in range(8):  # far from the base, close to each other
+        found += [copy(6, seed) + [f"t{seed}y{j}"] for j in range(3)]
+    found += [copy(5)[: r.randint(100, 150)] for _ in range(20)]
+    r.shuffle(found)
+    sets = [frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) for w in found]
+    parent = list(range(len(found)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    bounded = jaccard._bounded
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return bounded(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_bounded", counted)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string").repartition(3)
+    got = {row.doc_id: row.component_id for row in jaccard.jaccard_groups(rows, n, "0.8").collect()}
+    assert got == {i: root(i) for i in range(len(found))} and len(set(got.values())) > 100
+    assert made[-1] <= len(found), made
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(7, 7)]
