@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from idmatch.llm.components import components
 from idmatch.llm.copies import LAST, keyed
-from idmatch.llm.packed import answered, dealt, pack, record, shared_keys, shift_for, slabs, texts_of, unpack
+from idmatch.llm.packed import dealt, pack, record, shift_for, slabs, texts_of, unpack
 from idmatch.llm.words import U64, Texts, mix, schema, window_hashes, word_hashes, words
-from idmatch.session import durable
+from idmatch.session import drop, durable, scratch
 
 #: Counters of the frequency sketch, which is sent to every task: 2 MB whatever the input.
 COUNTERS = 1 << 18
@@ -28,8 +29,12 @@ FINE, FULL_FINE = 16, 255
 FEW = 64
 #: The most that two rows a and b can share by these parts, in SQL.
 FEW_SHARE = (f"aggregate(zip_with(a.few, b.few, (x, y) -> IF(x = {FULL_FINE} AND y = {FULL_FINE}, 1000000000L, CAST(least(x, y) AS BIGINT))), 0L, (s, v) -> s + v)")
-#: Documents whose places are sent to every task: 8 MB.
-SENT = 1 << 20
+#: Sets to read whose places are sent to every task: 20 MB.
+SENT = 1 << 19
+#: Users of a prefix shingle up to which those of one hub meet by it; those of more meet by what they do not share with the hub.
+CROWD = 16
+#: The last class of set sizes, and the most users of a shingle that are told apart.
+LAST_SIZE, MANY = 255, 255
 
 
 def sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,32 +126,80 @@ def _prefixes(values: np.ndarray, begin: np.ndarray, t: Fraction, seen: np.ndarr
     return values[order][keep], doc[keep], at[keep]
 
 
+def size_classes(size: np.ndarray, t: Fraction) -> np.ndarray:
+    """A class for each set size; two similar sets are of one class or of neighbouring ones."""
+    step = max(math.log(t.denominator / t.numerator), 1e-9) * (1 + 1e-9)
+    return np.minimum(np.log(np.maximum(size, 1)) / step, LAST_SIZE).astype(np.uint8)
+
+
+def entries(token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of token and class in ascending order, and the place of each given pair among them."""
+    order = np.lexsort((kind, token))
+    t, k = token[order], kind[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+    place = np.empty(len(t), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return t[new], k[new], place
+
+
+def like_users(token: np.ndarray, kind: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each entry, how often its token occurs with its own class of sizes or a neighbouring one."""
+    own, k, place = entries(token, kind)
+    total = np.bincount(place, times, minlength=len(own)).astype(np.int64)
+    near = (own[1:] == own[:-1]) & (k[1:].astype(np.int64) - k[:-1] <= 1)
+    out = total.copy()
+    out[1:] += np.where(near, total[:-1], 0)
+    out[:-1] += np.where(near, total[1:], 0)
+    return out[place]
+
+
 def _all_prefixes(table: DataFrame, n: int, t: Fraction, shared, shift: int) -> DataFrame:
-    """Per slab: rows (bucket, slab, keys, twice) with its distinct prefix shingles and which of them it has twice; and a
-    row of bucket -1 whose ``keys`` are the prefixes themselves, with ``facts``: for each document its id, set size, prefix
-    size and the sizes of its set's parts. So texts are not read again once the shared shingles are known."""
+    """Per slab: rows (bucket, slab, keys, kinds, times) with its distinct prefix shingles by size class and how often it has
+    each; and a row of bucket -1 whose ``keys`` are the prefixes themselves, with ``facts``: for each document its id, set
+    size, prefix size and the sizes of its set's parts. So texts are not read again once the users of a shingle are known."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 values, begin = sets(texts_of(row), n)
                 token, owner, _ = _prefixes(values, begin, t, shared.value)
-                own, times = np.unique(token, return_counts=True)
                 size = np.diff(begin)
+                own, kinds, place = entries(token, size_classes(size, t)[owner])
+                times = np.minimum(np.bincount(place, minlength=len(own)), MANY).astype(np.uint8)
                 where = np.repeat(np.arange(len(size)), size) * PARTS + (values >> U64(61)).astype(np.int64)
                 sizes = np.minimum(np.bincount(where, minlength=len(size) * PARTS), FULL).reshape(-1, PARTS)
                 packed = [sum(sizes[:, 4 * h + k] << (15 * k) for k in range(4)) for h in (0, 1)]
                 facts = np.array([row["id"], size, np.bincount(owner, minlength=len(size)), *packed], np.int64)
-                out = [(b, row["slab"], pack(own[i:j], b << shift), np.packbits(times[i:j] > 1).tobytes(), None) for b, i, j in dealt(own, shift)]
-                yield record([*out, (-1, row["slab"], token.tobytes(), None, facts.tobytes())],
-                             bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), twice=pa.binary(), facts=pa.binary())
+                out = [(b, row["slab"], pack(own[i:j], b << shift), kinds[i:j].tobytes(), times[i:j].tobytes(), None) for b, i, j in dealt(own, shift)]
+                yield record([*out, (-1, row["slab"], token.tobytes(), None, None, facts.tobytes())],
+                             bucket=pa.int64(), slab=pa.int64(), keys=pa.binary(), kinds=pa.binary(), times=pa.binary(), facts=pa.binary())
+
+    return table.mapInArrow(run, schema(bucket="long", slab="long", keys="binary", kinds="binary", times="binary", facts="binary"))
+
 
-    return table.mapInArrow(run, schema(bucket="long", slab="long", keys="binary", twice="binary", facts="binary"))
+def _all_users(requests: DataFrame, shift: int) -> DataFrame:
+    """(slab, answers): for each slab, by bucket, the ``like_users`` of its entries among all slabs, ``MANY`` at most.
+
+    ``requests`` holds (bucket, slab, keys, kinds, times), one entry for a slab's shingle and size class however frequent.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = [unpack(r["keys"], r["bucket"] << shift) for r in rows]
+        both = [np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("kinds", "times")]
+        users = np.minimum(like_users(np.concatenate(keys), *both), MANY).astype(np.uint8)
+        ends = np.cumsum([len(k) for k in keys])
+        out = [(r["slab"], r["bucket"], users[e - len(k) : e].tobytes()) for r, k, e in zip(rows, keys, ends, strict=True)]
+        return pa.Table.from_batches([record(out, slab=pa.int64(), bucket=pa.int64(), users=pa.binary())])
+
+    found = requests.groupBy("bucket").applyInArrow(run, schema(slab="long", bucket="long", users="binary"))
+    return found.groupBy("slab").agg(F.sort_array(F.collect_list(F.struct("bucket", "users"))).alias("answers"))
 
 
-def _prefix_rows(held: DataFrame) -> DataFrame:
-    """(token, id, n, at, p0, p1): the prefix shingles that the first documents of two classes may share, with the sizes of
-    their set's parts."""
+def _prefix_rows(held: DataFrame, t: Fraction) -> DataFrame:
+    """(token, id, n, at, p0, p1, reach): the prefix shingles that the first documents of two classes of like size may
+    share, with the sizes of their set's parts and the users of a document's shingles together, for its size."""
 
     def run(batches):
         for batch in batches:
@@ -155,16 +208,21 @@ def _prefix_rows(held: DataFrame) -> DataFrame:
                 ids, size, length, p0, p1 = np.frombuffer(row["facts"], np.int64).reshape(5, -1)
                 owner = np.repeat(np.arange(len(ids)), length)
                 at = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-                own, inverse = np.unique(token, return_inverse=True)
+                own, _, place = entries(token, size_classes(size, t)[owner])
+                users = np.frombuffer(b"".join(a["users"] for a in row["answers"] or []), np.uint8)
+                if len(users) != len(own):
+                    raise ValueError(f"slab {row['slab']} has {len(own)} keys and {len(users)} answers")
+                users = users[place].astype(np.int64)
+                reach = (np.bincount(owner, np.where(users > 1, users, 0), minlength=len(ids)) / np.maximum(size, 1)).astype(np.float32)
                 first = np.zeros(len(ids), bool)
                 first[row["firsts"]] = True
-                keep = answered(row, len(own))[inverse] & first[owner]
+                keep = (users > 1) & first[owner]
                 token, owner, at = token[keep], owner[keep], at[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token.view(np.int64)), pa.array(ids[owner]), pa.array(size[owner].astype(np.int32)),
-                     pa.array(at.astype(np.int32)), pa.array(p0[owner]), pa.array(p1[owner])], ["token", "id", "n", "at", "p0", "p1"])
+                     pa.array(at.astype(np.int32)), pa.array(p0[owner]), pa.array(p1[owner]), pa.array(reach[owner])], ["token", "id", "n", "at", "p0", "p1", "reach"])
 
-    return held.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long"))
+    return held.mapInArrow(run, schema(token="long", id="long", n="int", at="int", p0="long", p1="long", reach="float"))
 
 
 def _need(t: Fraction) -> str:
@@ -206,32 +264,53 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     return durable(asked.mapInArrow(test, schema(a="long", b="long")))
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that may be similar enough by ``FEW`` parts of their sets."""
+    side = lambda s: classes.select(F.col("rep").alias(f"id_{s}"), F.struct("n", "few").alias(s))
+    both = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).join(side("a"), "id_a").join(side("b"), "id_b")
+    return both.filter(f"{FEW_SHARE} >= {_need(t)}").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def _side_by_side(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, bits: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) with the whole sets of both documents: packed shingles x and y, sizes na and nb.
+    """The rows of ``pairs`` (a, b, ...: whole numbers) with the whole sets of both documents: packed shingles x and y, sizes
+    na and nb. The set of b is read with the row that asks for it and goes straight to that of a, which is sent once.
 
-    Up to ``SENT`` documents to read are named to every task, so the slabs stay where they are; beyond it slabs are shuffled.
+    Up to ``SENT`` sets to read are named to every task, so the slabs stay where they are; beyond it slabs are shuffled.
     """
-    involved = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    asked = durable(classes.select("rep", "slab", "at").join(involved, "rep", "left_semi").select("slab", "at"))
-    wanted = asked.groupBy("slab").agg(F.collect_list("at").alias("wanted"))
+    names, place = pairs.columns, classes.select("rep", "slab", "at")
+    of_b = pairs.join(place.withColumnRenamed("rep", "b"), "b").select("slab", "at", *names)
+    of_a = pairs.select("a").distinct().join(place.withColumnRenamed("rep", "a"), "a")
+    of_a = of_a.select("slab", "at", *[F.col("a") if c == "a" else F.lit(None).cast("long").alias(c) for c in names])
+    asked = durable(of_b.union(of_a))
+    wanted = asked.groupBy("slab").agg(F.sort_array(F.collect_list(F.struct("at", *names))).alias("wanted"))
     if asked.count() <= SENT:
         wanted = F.broadcast(wanted)
+    kinds = {**{c: pa.int64() for c in names}, "n": pa.int64(), "shingles": pa.binary()}
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 values, begin = sets(texts_of(row), n)
-                yield record([(row["id"][i], int(begin[i + 1] - begin[i]), pack(np.unique(values[begin[i] : begin[i + 1]] >> U64(64 - bits)), 0)) for i in row["wanted"]],
-                             id=pa.int64(), n=pa.int64(), shingles=pa.binary())
-
-    found = durable(table.join(wanted, "slab").mapInArrow(read, schema(id="long", n="long", shingles="binary")))
-    left = pairs.join(found.withColumnsRenamed({"id": "a", "n": "na", "shingles": "x"}), "a")
-    return left.join(found.withColumnsRenamed({"id": "b", "n": "nb", "shingles": "y"}), "b")
+                out, at, own = [], -1, ()
+                for w in row["wanted"]:
+                    if w["at"] != at:
+                        at = w["at"]
+                        own = (int(begin[at + 1] - begin[at]), pack(np.unique(values[begin[at] : begin[at + 1]] >> U64(64 - bits)), 0))
+                    out.append((*[w[c] for c in names], *own))
+                    if len(out) == 256:
+                        yield record(out, **kinds)
+                        out = []
+                yield record(out, **kinds)
+
+    found = durable(table.join(wanted, "slab").mapInArrow(read, schema(**{c: "long" for c in names}, n="long", shingles="binary")))
+    left = found.filter("b IS NULL").select("a", F.col("n").alias("na"), F.col("shingles").alias("x"))
+    return left.join(found.filter("b IS NOT NULL").withColumnsRenamed({"n": "nb", "shingles": "y"}), "a")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, each tested once on the whole sets of its two documents."""
-    both = _side_by_side(pairs, classes, table, n, BITS)
+    with scratch(pairs.sparkSession) as read:
+        both = _side_by_side(pairs, classes, table, n, BITS)
 
     def test(batches):
         for batch in batches:
@@ -241,7 +320,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, table: DataFrame, n: int, t:
                 keep.append(shared * t.denominator >= t.numerator * (na + nb - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(test, schema(a="long", b="long"))
+    done = durable(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(test, schema(a="long", b="long")))
+    drop(pairs.sparkSession, read)
+    return done
 
 
 def difference_prefix(x: np.ndarray, hub: np.ndarray, t: Fraction, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +348,8 @@ def difference_prefix(x: np.ndarray, hub: np.ndarray, t: Fraction, seen: np.ndar
 def _differences(members: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
     """(ref, id, component, n, d, few, prefix) for each of ``members`` (ref, id, component): how many shingles its set and
     its hub's do not share, the sizes of ``FEW`` parts of them, and their ``difference_prefix``."""
-    both = _side_by_side(members.withColumnsRenamed({"ref": "a", "id": "b"}), classes, table, n, 64)
+    with scratch(members.sparkSession) as read:
+        both = _side_by_side(members.withColumnsRenamed({"ref": "a", "id": "b"}), classes, table, n, 64)
 
     def run(batches):
         for batch in batches:
@@ -280,15 +362,19 @@ def _differences(members: DataFrame, classes: DataFrame, table: DataFrame, n: in
                 yield record(out, ref=pa.int64(), id=pa.int64(), component=pa.int64(), n=pa.int64(), d=pa.int64(), few=pa.list_(pa.int16()), prefix=pa.list_(pa.int64()))
 
     kinds = schema(ref="long", id="long", component="long", n="long", d="long", few="array<smallint>", prefix="array<long>")
-    return durable(both.select("a", "b", "component", "x", "y", "nb").mapInArrow(run, kinds))
+    done = durable(both.select("a", "b", "component", "x", "y", "nb").mapInArrow(run, kinds))
+    drop(members.sparkSession, read)
+    return done
 
 
 def _within(members: DataFrame, classes: DataFrame, table: DataFrame, n: int, t: Fraction, shared) -> DataFrame:
     """The pairs (a, b) of one hub in different components that may be similar enough, by what they do not share with it."""
     p, q = t.numerator, t.denominator
-    rows = _differences(members, classes, table, n, t, shared).select("ref", "id", "component", "n", "d", "few", F.posexplode("prefix").alias("at", "token"))
+    apart = _differences(members, classes, table, n, t, shared)
+    rows = apart.select("ref", "id", "component", "n", "d", F.posexplode("prefix").alias("at", "token"))
     split = rows.groupBy("ref", "token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("ref", "token")
-    rows = durable(rows.join(split, ["ref", "token"]))
+    # an id with several sets has several rows of one hub
+    rows = durable(rows.join(split, ["ref", "token"]).join(apart.select("ref", "id", "n", "d", "few").distinct(), ["ref", "id", "n", "d"]))
     need = f"ceil(({p + q}D * (a.d + b.d) - {q - p}D * (a.n + b.n)) / {2 * (p + q)}D - 1e-9)"
     met = rows.alias("a").join(rows.alias("b"), F.expr(
         f"a.ref = b.ref AND a.token = b.token AND a.id < b.id AND a.component <> b.component AND {q} * least(a.n, b.n) >= {p} * greatest(a.n, b.n)"
@@ -304,13 +390,16 @@ def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFra
     with equal sets are one class from the start, so copies never meet in pairs. Each class writes its prefix, the
     rarest shingles by a frequency sketch of all documents, in one order for all; two similar sets share a prefix shingle.
 
+    A prefix shingle counts for a class only if a set of like size has it too (``size_classes``).
+
     Round 1 tests every class against the hub of each of its prefix shingles: of the shingle's users the one whose prefix
     has the most users for its size, so the one amid a group of near copies. Round 2 tests pairs that share a prefix shingle and
-    are not yet in one component. Classes whose hub of the widest reach, of those of like size, is the same meet by what they do not share with it
+    are not yet in one component. They meet at their first common prefix shingle, unless more than ``CROWD`` classes use it and
+    the hub of the widest reach, of those of like size, is the same for both: those meet by what they do not share with it
     (``difference_prefix``), so a group of near copies, each a little further from the others than a link allows, is not
-    multiplied out by what they all have; the others meet at their first common prefix shingle. No link that joins two
-    components is lost. Both rounds apply length, positional and suffix filters before a pair is made, a finer suffix
-    filter once for each pair, and test each pair that is left once on whole sets.
+    multiplied out by what they all have. No link that joins two components is lost. Both rounds apply length, positional
+    and suffix filters before a pair is made, a finer suffix filter once for each pair, and test each pair that is left once
+    on whole sets.
 
     Texts without words (null, empty) have no set and are their own component. Null ids count as one largest id. Rows with one
     id are one document to links; each gets a row. An empty table gives no rows.
@@ -322,36 +411,37 @@ def linked(docs: DataFrame, n: int, threshold: str, node: str = "id") -> DataFra
         "n", "d1", "d2", F.col("least.id").alias("rep"), "least.slab", "least.at", "least.parts", "least.few"))
     shift = shift_for(table, 64)
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(table, n))
-    given = durable(_all_prefixes(table, n, t, shared, shift))
-    answers = shared_keys(given.filter("bucket >= 0").select("bucket", "slab", "keys", "twice"), shift)
+    with scratch(docs.sparkSession) as asked:
+        given = durable(_all_prefixes(table, n, t, shared, shift))
+    answers = _all_users(given.filter("bucket >= 0").select("bucket", "slab", "keys", "kinds", "times"), shift)
     firsts = classes.groupBy("slab").agg(F.collect_list("at").alias("firsts"))
     held = given.filter("bucket < 0").select("slab", "keys", "facts")
-    prefixes = durable(_prefix_rows(held.join(answers, "slab", "left").join(firsts, "slab")))
-    users = prefixes.groupBy("token").agg(F.count("*").alias("users")).filter("users > 1")
-    reach = durable(prefixes.select("token", "id").join(users, "token").groupBy("id").agg(F.sum("users").alias("reach")))
-    hubs = durable(prefixes.join(reach, "id").groupBy("token").agg(F.count("*").alias("users"), F.max(F.struct((F.col("reach") / F.col("n")).alias("reach"), "id", "n", "at", "p0", "p1")).alias("hub")).filter(
+    prefixes = durable(_prefix_rows(held.join(answers, "slab", "left").join(firsts, "slab"), t))
+    drop(docs.sparkSession, asked)
+    hubs = durable(prefixes.groupBy("token").agg(F.count("*").alias("users"), F.max(F.struct("reach", "id", "n", "at", "p0", "p1")).alias("hub")).filter(
         "users > 1").select("token", "users", "hub.*"))
     meets = F.expr(f"a.id <> b.id AND {_filters(t)}")
-    used = durable(prefixes.alias("b").join(hubs.alias("a"), F.expr("a.token = b.token")).select("b.*", "a.users", "a.reach", F.col("a.id").alias("hub_id"), F.col("a.n").alias("hub_n"), meets.alias("meets"),
+    used = durable(prefixes.alias("b").join(hubs.alias("a"), F.expr("a.token = b.token")).select("b.token", "b.id", "b.n", "b.at", "b.p0", "b.p1", "a.users", "a.reach", F.col("a.id").alias("hub_id"), F.col("a.n").alias("hub_n"), meets.alias("meets"),
         F.expr("a.id = b.id AND a.n = b.n AND a.at = b.at AND a.p0 = b.p0 AND a.p1 = b.p1").alias("is_hub")))
     pairs = durable(used.filter("meets").select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct())
-    links = durable(_verified(_bounded(pairs, classes, t), classes, table, n, t))
+    links = _verified(_bounded(pairs, classes, t), classes, table, n, t)
     so_far = durable(components(links))
     rest = used.filter("NOT is_hub AND users > 2").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rest.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
-    rest = durable(rest.join(split, "token").drop("users", "meets", "is_hub"))
+    rest = durable(rest.join(split, "token").drop("meets", "is_hub"))
     # a hub of another size has nothing to compare with, and an id with several sets may meet itself
     hub = F.when(F.expr(f"hub_id <> id AND {t.denominator} * least(n, hub_n) >= {t.numerator} * greatest(n, hub_n)"), F.struct("reach", "hub_id"))
     home = durable(rest.groupBy("id", "component").agg(F.max(hub).alias("hub")).select("id", "component", F.col("hub.hub_id").alias("ref")))
-    mixed = home.groupBy("ref").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("ref")
-    more = _within(home.join(mixed, "ref"), classes, table, n, t, shared)
-    rest = rest.drop("reach", "hub_id", "hub_n").join(home.select("id", "ref"), "id")
-    split = rest.groupBy("token").agg(F.min("ref").alias("r0"), F.max("ref").alias("r1"), F.max(F.col("ref").isNull()).alias("lone")).filter("r0 < r1 OR lone").select("token")
-    rest = durable(rest.join(split, "token").join(classes.select(F.col("rep").alias("id"), "few"), "id"))
-    across = rest.alias("a").join(rest.alias("b"), F.expr(
-        f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND coalesce(a.ref <> b.ref, true) AND least(a.n - a.at, b.n - b.at) >= {_need(t)} AND {_filters(t)} AND {FEW_SHARE} >= {_need(t)}"))
-    more = more.union(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
-    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = durable(rest.drop("reach", "hub_id", "hub_n").join(home.select("id", "ref"), "id"))
+    crowded = rest.filter(f"users > {CROWD} AND ref IS NOT NULL").select("ref", "token", "id", "component")
+    mixed = crowded.groupBy("ref", "token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    members = durable(crowded.join(mixed, ["ref", "token"], "left_semi").select("ref", "id", "component").distinct())
+    met = rest.alias("a").join(rest.alias("b"), F.expr(
+        f"a.token = b.token AND a.id < b.id AND a.component <> b.component AND (a.users <= {CROWD} OR coalesce(a.ref <> b.ref, true))"
+        f" AND least(a.n - a.at, b.n - b.at) >= {_need(t)} AND {_filters(t)}"))
+    more = _within(members, classes, table, n, t, shared).union(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
+    more = durable(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = durable(_alike(more, classes, t))
     more = _bounded(more, classes, t)
     links = links.union(_verified(more, classes, table, n, t)) if not more.isEmpty() else links
     groups = components(links)

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -176,6 +177,45 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert made[-1] <= len(found), made
 
 
+def test_jaccard_users_of_like_size():
+    """A shingle's users are those of sets that may be similar: no class of like sizes is cut, others do not count."""
+    r = np.random.default_rng(5)
+    for t in (Fraction("0.9"), Fraction("0.8"), Fraction(1)):
+        size = np.arange(1, 3000)
+        kind = jaccard.size_classes(size, t).astype(int)
+        least = -(-size * t.numerator // t.denominator)  # the smallest set that may be similar
+        assert (kind - kind[least - 1] <= 1).all()
+    token, kind = r.integers(0, 12, 300).astype(np.uint64), r.integers(0, 9, 300).astype(np.uint8)
+    got = jaccard.like_users(token, kind, np.ones(300, np.uint8))
+    assert got.tolist() == [sum(token[j] == token[i] and abs(int(kind[j]) - int(kind[i])) <= 1 for j in range(300)) for i in range(300)]
+
+
+def test_jaccard_of_small_groups_reads_no_differences(spark, monkeypatch):
+    """Few texts that are alike but not linked meet by their prefixes; their whole sets are not sent to their hub's."""
+    r, n, asked, found = random.Random(3), 5, [], []
+    for g in range(6):
+        base = [f"g{g}w{j}" for j in range(120)]
+        for i in range(8):
+            words = list(base)
+            for j in r.sample(range(5, 115), 5):
+                words[j] = f"g{g}i{i}x{j}"
+            found.append(words)
+    differences = jaccard._differences
+
+    def counted(members, *rest):
+        asked.append(members.count())
+        return differences(members, *rest)
+
+    monkeypatch.setattr(jaccard, "_differences", counted)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string").repartition(3)
+    sets = [frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) for w in found]
+    least = list(range(len(found)))
+    for _ in found:
+        least = [min(least[j] for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)) for a in sets]
+    assert {x.doc_id: x.component_id for x in jaccard.jaccard_groups(rows, n, "0.8").collect()} == dict(enumerate(least))
+    assert asked == [0]
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(7, 7)]
