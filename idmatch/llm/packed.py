@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idmatch.llm.words import U64, Texts, schema, slices
-from idmatch.session import durable
+from idmatch.session import durable, small_batches
 
 #: Text bytes of a slab, about (a longer text is a slab of its own), and for each bucket.
 SLAB_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -79,7 +79,8 @@ def slabs(rows: DataFrame, limit: int = 0) -> DataFrame:
                      pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), *held], ["slab", "offs", "size", "raw", *names])
                 n += 1
 
-    return durable(rows.mapInArrow(run, out))
+    with small_batches(rows.sparkSession):  # the texts are compressed already, and a codec would hold whole pages outside the heap
+        return durable(rows.mapInArrow(run, out), compression="uncompressed")
 
 
 def texts_of(row: dict) -> Texts:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting that names the folder of the ``scratch`` block around a call.
 SCOPE = "idmatch.scratch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows as a written table in the shared folder.
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """The rows as a written table in the shared folder; ``options`` are those of a Parquet writer.
 
     Cuts lineage and fixes the rows in one pass (a checkpoint would run the last stage twice), so a lost
     executor changes nothing and later readers get column pruning.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +45,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{(spark.conf.get(SCOPE, None) or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """What runs inside the block hands rows to Python in Arrow batches of about ``size``, which stay outside the heap."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Intermediate tables written inside the block go to one folder, whose path it gives; see ``drop``."""

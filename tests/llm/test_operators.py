@@ -7,14 +7,19 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from idmatch.llm import chat, classifier, components, decontaminate, jaccard, katz, mixing, pages, rules, substrings, suffixes
+from idmatch import session
+from idmatch.llm import chat, classifier, components, decontaminate, jaccard, katz, mixing, packed, pages, rules, substrings, suffixes
+from idmatch.llm.words import whole, window_hashes, word_hashes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, slab string, id string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,6 +114,82 @@ def test_substring_dedup(docs, empty):
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def _slab(n_bytes: int) -> dict:
+    """A slab of texts of about 2000 bytes, their ids descending in part, with a passage that every tenth has."""
+    r = random.Random(7)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(5000)]
+    passage = " ".join(r.choices(vocabulary, k=40))
+    found = [(" ".join(r.choices(vocabulary, k=330)) + (f" {passage}" if i % 10 == 0 else "")).encode() for i in range(n_bytes // 2000)]
+    raw, offs = b"".join(found), np.cumsum([0, *map(len, found)])
+    return {"slab": 3, "id": [i ^ 5 for i in range(len(found))], "offs": offs.tolist(), "size": len(raw), "raw": pa.compress(raw, "zstd", asbytes=True)}
+
+
+def test_windows_of_a_slab_in_parts_and_pieces(monkeypatch):
+    row = _slab(60_000)
+    texts_of_row, ids = packed.texts_of(row), np.array(row["id"])
+    w = words(texts_of_row)
+    start = np.flatnonzero(whole(w, 13))
+    want = window_hashes(word_hashes(texts_of_row, w), 13)[start]
+    monkeypatch.setattr(substrings, "PART_BYTES", 7000)
+    keys, docs = substrings._windows(texts_of_row, 13)
+    assert keys.tolist() == want.tolist() and docs.tolist() == w.doc[start].tolist()
+    least: dict = {}
+    for k, i in zip(keys.tolist(), ids[docs].tolist()):
+        least[k] = min(i, least.get(k, i))
+    found = substrings._asked(row, 13, 58).to_pylist()
+    told = [x for r in found for x in zip(packed.unpack(r["keys"], r["bucket"] << 58).tolist(), (packed.unplanes(r["ids"]).astype(np.int64) + r["base"]).tolist())]
+    assert told == sorted(least.items()) and all(r["slab"] == 3 for r in found)
+
+
+def test_earlier_windows_of_a_bucket(monkeypatch):
+    r = np.random.default_rng(4)
+    low, width = 63 << 58, 1 << 58
+    pool = np.unique(r.integers(low, low + width, 300, np.uint64))
+    pool[-1] = low + width - 1  # the largest key there is
+    keys = [np.sort(r.choice(pool, n, False)) for n in (200, 1, 0, 150, 250)]
+    ids = [r.integers(0, 4, len(k)) for k in keys]
+    least: dict = {}
+    for k, i in zip(np.concatenate(keys).tolist(), np.concatenate(ids).tolist()):
+        least[k] = min(i, least.get(k, i))
+    want = [[least[x] < i for x, i in zip(k.tolist(), own.tolist())] for k, own in zip(keys, ids)]
+    for together in (1 << 17, 50, 1):
+        monkeypatch.setattr(substrings, "TOGETHER", together)
+        assert [x.tolist() for x in substrings._earlier(keys, ids, low, width)] == want
+
+
+def test_substring_dedup_takes_little_memory_for_a_slab(spark, monkeypatch):
+    """The tasks of a slab of 4 MB, run here: the requests, and the texts that are left."""
+    row = _slab(4 << 20)
+    runs = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, *_: runs.append(run) or df)
+    substrings._requests(spark.createDataFrame([], "slab long, id array<long>, offs array<long>, size long, raw binary"), 13, 58)
+    batch = pa.RecordBatch.from_pylist([row, row])
+    tracemalloc.start()
+    try:
+        for _ in runs[0](iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 10 * row["size"]
+    finally:
+        tracemalloc.stop()
+
+
+def test_slabs_are_written_plainly_in_small_batches(spark):
+    before = spark.conf.get(session.BATCH_BYTES)
+    rows = spark.range(4).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 100) AS text")
+    with session.scratch(spark) as folder:
+        table = packed.slabs(rows)
+    files = [f for f in table.inputFiles() if folder.split("/")[-1] in f]
+    found = pq.ParquetFile(files[0].removeprefix("file:").replace("///", "/")).metadata.row_group(0)
+    assert {found.column(i).compression for i in range(found.num_columns)} == {"UNCOMPRESSED"}
+    assert spark.conf.get(session.BATCH_BYTES) == before
+    assert sorted(i for r in table.collect() for i in r.doc_id) == [0, 1, 2, 3]
+    with pytest.raises(KeyError), session.small_batches(spark):
+        assert spark.conf.get(session.BATCH_BYTES) == "4m"
+        raise KeyError
+    assert spark.conf.get(session.BATCH_BYTES) == before
+    session.drop(spark, folder)
+
+
 @pytest.mark.parametrize(("n", "t"), [(3, "0.9"), (5, "0.8"), (3, "0.5")])
 def test_jaccard_groups(docs, empty, n, t):
     def shingles(text):
