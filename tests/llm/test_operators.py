@@ -158,7 +158,7 @@ def test_earlier_windows_of_a_bucket(monkeypatch):
 
 
 def test_substring_dedup_takes_little_memory_for_a_slab(spark, monkeypatch):
-    """The tasks of a slab of 4 MB, run here: the requests, and the texts that are left."""
+    """The task that makes the requests of two slabs of 4 MB, run here."""
     row = _slab(4 << 20)
     runs = []
     monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, *_: runs.append(run) or df)
